@@ -12,11 +12,19 @@ from strandworks.llm.common import is_train, read_table
 from strandworks.llm.exact_topk import top_k
 from strandworks.llm.language_id import fit, identify
 from strandworks.llm.mixing import mix
+from strandworks.llm.nn_descent import nearest
 from strandworks.llm.packing import pack
+from strandworks.llm.pseudonyms import pseudonymise
+from strandworks.llm import quality_knn
 from strandworks.llm.simhash_golay import near_duplicates
+from strandworks.llm.suffix_dedup import remove_repeats
 from strandworks.llm.token_counts import token_counts
 
 
+#: The key of the registered query; a job takes its own from a secret store.
+PSEUDONYM_KEY = b"registered query"
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -25,6 +33,24 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, train = read_table(spark, sf_dir, "documents"), is_train("doc_id", 4, 2)
+    voters = quality_knn.fit(docs, read_table(spark, sf_dir, "labels"), train)
+    return quality_knn.vote(docs, voters).select("doc_id", (~train).alias("held_out"), "score", "predicted")
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,6 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_exact_topk": op2_exact_topk,
+        "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_quality": op4_quality,
+        "op5_pseudonyms": op5_pseudonyms,
+        "op6_nn_descent": op6_nn_descent,
         "op7_packing": op7_packing,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,

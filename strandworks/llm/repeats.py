@@ -122,50 +122,109 @@ def suffix_order(symbol: np.ndarray, follow: np.ndarray, depth: int) -> np.ndarr
     return order
 
 
-def merge_transforms(orders: list[np.ndarray], before: list[np.ndarray], symbols: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The merged order of the suffixes of all shards, and where it shows a common prefix shorter than ``depth``.
+def merge_transforms(orders: list[np.ndarray], before: list[np.ndarray], ends: list[int], symbols: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged order of the suffixes of all shards, and where suffixes begin to differ within ``depth`` symbols.
 
-    ``orders``: each shard's suffix order; ``before``: by suffix, the symbol before it (-1 at a string's start), that
-    is the shard's transform once put in order. An interleave says from which shard each place of the merged order
-    comes. A round reads the transforms through the interleave and deals the suffixes to the symbols before them,
-    which sorts by one symbol more; a place where symbol or former block changes begins a block, and the round's
-    number is the common prefix there. No suffix is compared with another.
+    ``orders``: each shard's suffix order, its ``ends[i]`` empty suffixes (one for each string) first; ``before``: by
+    suffix, the symbol before it (-1 at a string's start), which in the order is the shard's transform. An interleave
+    says which shard each place of the merged order comes from. A round reads the transforms through the interleave
+    and deals the suffixes to the symbols before them, which sorts them by one symbol more. Where the symbol or the
+    former block changes a new block begins: its common prefix with the place before is shorter than the round's
+    number. Suffixes are never compared or sorted anew.
 
-    Returns the interleave's places as numbers of suffixes (shard after shard) and the first places of blocks.
+    Returns the suffixes (numbered shard after shard) by place, and which places begin a block.
     """
     base = np.concatenate([[0], np.cumsum([len(o) for o in orders])])
-    total = int(base[-1])
-    shard = np.repeat(np.arange(len(orders), dtype=np.uint16), np.diff(base))
+    total, loose = int(base[-1]), sum(ends)
     transform = np.concatenate([b[o] for o, b in zip(orders, before, strict=True)])
-    # strings start before their first symbol: those suffixes come last in every round, shard by shard, in order
-    interleave, block = shard.copy(), np.zeros(total, np.int64)
-    new = np.zeros(total, bool)
-    ends = [np.ones(len(o), bool) for o in orders]
-    del ends
+    kind = np.uint8 if len(orders) <= 256 else np.uint16 if len(orders) <= 65536 else np.int64
+    numbers = np.arange(len(orders), dtype=kind)
+    tails = np.repeat(numbers, ends)
+    interleave = np.concatenate([tails, np.repeat(numbers, np.diff(base) - ends)])
+    block = np.zeros(total, np.int64)  # no symbol has been read: all agree
+
+    def places() -> np.ndarray:
+        out = np.empty(total, np.int64)
+        out[np.argsort(interleave, kind="stable")] = np.arange(total)
+        return out
+
     for _ in range(depth):
-        # the suffix at each place is the next one of its shard
-        place = np.empty(total, np.int64)
-        place[np.argsort(interleave, kind="stable")] = np.arange(total)
-        read = transform[place]
-        inside = read >= 0
-        order = np.nonzero(inside)[0]
+        read = transform[places()]
+        order = np.nonzero(read >= 0)[0]
         order = order[_radix(read[order], symbols)]
-        moved, source, symbol = interleave[order], block[order], read[order]
+        symbol, former = read[order], block[order]
         new = np.ones(len(order), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (source[1:] != source[:-1])
-        # suffixes without a symbol after them are not reached by any transform: they stand first, each a block
-        loose = total - len(order)
-        rest = shard_tails(orders, before, shard, base) if loose else np.zeros(0, np.uint16)
-        interleave = np.concatenate([rest, moved])
-        block = np.concatenate([np.arange(loose), loose + np.cumsum(new) - 1])
-        new = np.concatenate([np.ones(loose, bool), new])
-    place = np.empty(total, np.int64)
-    place[np.argsort(interleave, kind="stable")] = np.arange(total)
+        new[1:] = (symbol[1:] != symbol[:-1]) | (former[1:] != former[:-1])
+        interleave = np.concatenate([tails, interleave[order]])
+        block = np.concatenate([np.arange(loose), loose - 1 + np.cumsum(new)])
+    begins = np.ones(total, bool)
+    begins[1:] = block[1:] != block[:-1]
     flat = np.concatenate([o + b for o, b in zip(orders, base[:-1], strict=True)])
-    return flat[place], new
+    return flat[places()], begins
+
 
+def merged_repeats(runs: list[bytes], width: int, step: int, shard_bytes: int = SHARD) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the run, starts, ends) of the bytes covered by windows that stand more than once in the runs.
 
-def shard_tails(orders: list[np.ndarray], before: list[np.ndarray], shard: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """The shards of the suffixes that end their strings, shard by shard."""
-    counts = [len(b) - int((b >= 0).sum()) for b in before]
-    return np.repeat(np.arange(len(orders), dtype=np.uint16), counts)
+    A string of symbols is every step-th position of a run. Symbols that stand once end it: no repeated window holds
+    one. The rest is dealt to shards by run.
+    """
+    depth = width // step
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    if len(data) < width:
+        return []
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(runs)), sizes)
+    (hashes,) = rolling(data, (step,))
+    n = len(hashes)
+    whole = owner[:n] == owner[step - 1 : step - 1 + n]
+    rank, many = _rank(hashes)
+    common = whole & (np.bincount(rank, whole, many)[rank] > 1)
+    window = len(data) - width + 1
+    live = owner[:window] == owner[width - 1 :]
+    for j in range(depth):
+        live &= common[j * step : j * step + window]
+    if not live.any():
+        return []
+    kept = np.zeros(n, bool)
+    for j in range(depth):
+        kept[j * step : j * step + window] |= live
+    at = np.nonzero(kept)[0]
+    run = owner[at]
+    at = at[np.lexsort((at, (at - first[run]) % step, run))]
+    run = owner[at]
+    chained = np.zeros(len(at), bool)  # the next position continues the string
+    chained[:-1] = (at[1:] == at[:-1] + step) & (run[1:] == run[:-1])
+    symbol, symbols = _rank(rank[at])
+    shard = first[run] // max(1, min(shard_bytes, len(data) // 2))
+    cuts = np.concatenate([[0], np.nonzero(np.diff(shard))[0] + 1, [len(at)]])
+    orders, before, ends, suffixes = [], [], [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        on = chained[a:b]
+        last = np.nonzero(~on)[0]
+        m = len(last)
+        follow = np.where(on, np.arange(1, b - a + 1), -1)
+        previous = np.full(b - a, -1, np.int64)
+        previous[1:][on[:-1]] = symbol[a : b - 1][on[:-1]]
+        orders.append(np.concatenate([np.arange(m), m + suffix_order(symbol[a:b], follow, depth)]))
+        before.append(np.concatenate([symbol[a:b][last], previous]))
+        ends.append(m)
+        suffixes += [np.full(m, -1, np.int64), at[a:b]]
+    order, begins = merge_transforms(orders, before, ends, symbols, depth)
+    alone = begins & np.append(begins[1:], True)
+    found = np.concatenate(suffixes)[order[~alone]]
+    mask = np.zeros(len(data), bool)
+    mask[found[found >= 0]] = True
+    mask[:window] &= live
+    mask[window:] = False
+    starts = np.nonzero(mask & ~np.concatenate([[False], mask[:-1]]))[0]
+    stops = np.nonzero(mask & ~np.concatenate([mask[1:], [False]]))[0] + width
+    # a run's windows end before the next run's begin, but they may be neighbours
+    split = np.nonzero(mask[1:] & mask[:-1] & (owner[1:] != owner[:-1]))[0] + 1
+    starts, stops = np.sort(np.concatenate([starts, split])), np.sort(np.concatenate([stops, split - 1 + width]))
+    out, of = [], owner[starts]
+    for i in np.unique(of):
+        mine = of == i
+        out.append((int(i), starts[mine] - first[i], stops[mine] - first[i]))
+    return out
