@@ -220,10 +220,8 @@ def nearest(table: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec
     whose = cut(asked.join(named, asked["v"] == named["nv"]).select(F.col("id").alias("query_id"), "v", "node"))
     starts = nodes.join(whose.select("node").distinct(), "node", "left_semi").select("node", "x")
     walked = _walk(starts, graph, nodes, dim)
-    found = whose.join(walked, whose["node"] == walked["q"]).select("query_id", F.col("v").alias("qv"), walked["v"].alias("at"))
     ids = nodes.select(F.col("node").alias("at"), F.explode("ids").alias("vec_id"))
-    pairs = whose.select("query_id", F.col("v").alias("qv"), "node").join(walked.withColumnRenamed("v", "at"), F.col("node") == F.col("q")).select("query_id", "qv", "at")
-    del found
+    pairs = whose.select("query_id", F.col("v").alias("qv"), "node").join(walked.select(F.col("q").alias("node"), F.col("v").alias("at")), "node").select("query_id", "qv", "at")
     close = pairs.join(ids, "at").where(F.col("vec_id") != F.col("query_id")).join(vectors.select(F.col("id").alias("vec_id"), F.col("v").alias("cv")), "vec_id").select("query_id", "vec_id", "qv", "cv")
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
