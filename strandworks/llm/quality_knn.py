@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting on latent-semantic vectors.
 
-A text is a bag of hashed words and of word shapes (how a word is cased and what marks surround it). Weighted counts
-of a bounded sample of labelled rows give a latent-semantic basis by a singular value decomposition; the sample's
+A text is a bag of hashed words and of word shapes (how a word is cased and what marks surround it), beside a few
+traits of the whole text (how often a word repeats the one before it, and the like). Weighted counts of a bounded sample of labelled rows give a latent-semantic basis by a singular value decomposition; the sample's
 vectors are broadcast. Every document's vector meets all of them in blocks of exact cosine products, and the labels
 of the nearest vote with their similarity as weight.
 """
@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from strandworks.llm.common import bounded_batches
 FIT_ROWS = 1500
 #: Hash buckets of words and of shapes, dimensions of the basis, neighbours that vote.
 WORDS, SHAPES, LATENT, NEIGHBOURS = 512, 512, 48, 25
+#: Traits of a text, each as a share and its complement, and their weight beside words and shapes.
+TRAITS, TRAIT_WEIGHT = 4, 6.0
 #: Power of the similarity that weights a vote.
 SHARPNESS = 4
 #: Words that a worker remembers.
@@ -59,18 +62,24 @@ _FEATURES = Features()
 
 
 def features(texts: list[str | None]) -> np.ndarray:
-    """Damped counts by bucket, a row for each text; words and shapes have length one each."""
-    out = np.zeros((len(texts), WORDS + SHAPES), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        counts = Counter((text or "").split())
+    """Damped counts by bucket, then traits, a row for each text; words, shapes and traits have length one each."""
+    out = np.zeros((len(texts), WORDS + SHAPES + 2 * TRAITS), np.float32)
+    bags = out[:, : WORDS + SHAPES]
+    for row, whole, text in zip(bags, out, texts, strict=True):
+        found = (text or "").split()
+        counts = Counter(found)
         if not counts:
             continue
+        lines = [x for x in text.split("\n") if x.strip()]
+        share = np.array([sum(map(eq, found, found[1:])) / len(found), 1 - len(set(lines)) / max(1, len(lines)), sum(map(str.isupper, found)) / len(found), 1 - len(counts) / len(found)])
+        whole[WORDS + SHAPES :: 2] = np.sqrt(share)
+        whole[WORDS + SHAPES + 1 :: 2] = np.sqrt(1 - share)
         pairs = np.array(list(map(_FEATURES.__getitem__, counts)))
         n = np.fromiter(counts.values(), float, len(counts))
         row += np.bincount(pairs[:, 0], n, WORDS + SHAPES)
         row += np.bincount(pairs[:, 1], n, WORDS + SHAPES)
-    np.log1p(out, out=out)
-    for part in (slice(0, WORDS), slice(WORDS, None)):
+    np.log1p(bags, out=bags)
+    for part in (slice(0, WORDS), slice(WORDS, WORDS + SHAPES), slice(WORDS + SHAPES, None)):
         size = np.linalg.norm(out[:, part], axis=1, keepdims=True)
         out[:, part] /= np.where(size > 0, size, 1)
     return out
@@ -132,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label_col: str = "q
         return Voters(np.ones(1), np.ones((1, 1)), np.zeros((0, 1), np.float32), np.zeros(0), prior)
     x = np.array([np.frombuffer(r.x, np.float16) for r in found]).astype(float)
     weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.3
+    weight[WORDS + SHAPES :] = TRAIT_WEIGHT
     scaled = x * weight
     values, vectors = np.linalg.eigh(scaled.T @ scaled)
     basis = vectors[:, ::-1][:, : min(LATENT, len(x))]
