@@ -26,7 +26,7 @@ from strandworks.llm.repeats import merged_repeats, rolling, segments
 WIDTH, STEP = 400, 50
 #: Bytes of the runs whose transforms are merged in one go, at least one anchor's.
 BUCKET = 2 << 20
-#: Different runs under one anchor beyond which its windows are counted by a shuffle on their hashes instead.
+#: Different runs under one anchor beyond which its windows are dealt by their own hashes instead.
 MANY = 4000
 NO_ID = -(1 << 63)
 
@@ -48,71 +48,87 @@ def _runs(width: int, gram: int):
     return run
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs that are to be compared; a row of the input is a text and the list of its runs."""
-    for batch in batches:
-        rows = []
-        for kid, th, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-            if runs:
-                raw = memoryview(text.as_buffer())
-                rows += [(r["anchor"], kid, th, r["a"], r["target"], r["many"], bytes(raw[r["a"] : r["a"] + r["n"] + r["tail"]])) for r in runs]
-                if len(rows) >= 2000:
-                    yield _slice_batch(rows)
-                    rows = []
-        if rows:
-            yield _slice_batch(rows)
+SLICES = pa.schema([("key", pa.int64()), ("kid", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("target", pa.bool_()), ("many", pa.bool_()), ("bytes", pa.binary())])
+
 
+def _slices(width: int):
+    """The bytes of the runs that are to be compared, under their anchor; a row of the input is a text and its runs.
 
-SLICES = pa.schema([("anchor", pa.int64()), ("kid", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("target", pa.bool_()), ("many", pa.bool_()), ("bytes", pa.binary())])
+    Of a run under a very common anchor, each window goes under its own hash with a second hash as its bytes.
+    """
 
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SLICES, strict=True)], schema=SLICES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for kid, th, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if not runs:
+                    continue
+                raw = memoryview(text.as_buffer())
+                for r in runs:
+                    piece = raw[r["a"] : r["a"] + r["n"] + width - 1]
+                    if r["many"]:
+                        half, whole = rolling(np.frombuffer(piece, np.uint8), (width // 2, width))
+                        second = half[: len(whole)] ^ (half[width - width // 2 :][: len(whole)] << np.uint64(1))
+                        rows += [(h, kid, th, r["a"] + i, r["target"], True, x.tobytes()) for i, (h, x) in enumerate(zip(whole.view(np.int64).tolist(), second, strict=True))]
+                    else:
+                        rows.append((r["anchor"], kid, th, r["a"], r["target"], False, bytes(piece)))
+                    if len(rows) >= 2000:
+                        yield flush(rows)
+                        rows = []
+            if rows:
+                yield flush(rows)
 
-def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SLICES, strict=True)], schema=SLICES)
+    return run
 
 
 def _merge(width: int, step: int):
-    """Repeated windows of whole anchors, a bucket at a time; the rows of a partition are sorted by anchor."""
+    """Repeated windows of whole anchors, a bucket at a time; the rows of a partition are sorted by key.
+
+    Windows of very common anchors stream by: of each hash only the first is held until a second one comes.
+    """
+
+    def ranges(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["kid", "th", "s", "e"])
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         found: list[tuple[int, int, int, int]] = []
-        for i, starts, ends in merged_repeats([r[5] for r in rows], width, step):
-            _, kid, th, a, target, _ = rows[i]
+        for i, starts, ends in merged_repeats([r[6] for r in rows], width, step):
+            _, kid, th, a, target, _, _ = rows[i]
             if target:
                 found += [(kid, th, a + int(s), a + int(e)) for s, e in zip(starts, ends, strict=True)]
-        columns = list(zip(*found, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["kid", "th", "s", "e"])
+        return ranges(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, key, first = 0, None, {}
         for batch in batches:
+            found: list[tuple[int, int, int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[5]:
+                    if row[0] != key:
+                        key, first = row[0], {}
+                    before = first.get(row[6], False)
+                    first[row[6]] = row if before is False else None
+                    if before is not False:
+                        found += [(x[1], x[2], x[3], x[3] + width) for x in (before, row) if x is not None and x[4]]
+                    continue
                 if size >= BUCKET and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
+            if found:
+                yield ranges(found)
         if held:
             yield flush(held)
 
     return run
 
 
-def _windows(width: int):
-    """Two hashes of each window of the runs of very common anchors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kid, th, a, target, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                half, whole = rolling(data, (width // 2, width))
-                n = len(whole)
-                second = half[:n] ^ (half[width - width // 2 :][:n] << np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kid)), pa.array(np.full(n, th)), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(np.full(n, target)), pa.array(whole.view(np.int64)), pa.array(second.view(np.int64))], names=["kid", "th", "s", "target", "h1", "h2"])
-
-    return run
-
-
 def repeated_ranges(texts: DataFrame, width: int = WIDTH, step: int = STEP, gram: int = 32) -> DataFrame:
     """``kid``, ``th``, ``s``, ``e``: byte ranges covered by repeated windows; they may overlap.
 
@@ -126,18 +142,11 @@ def repeated_ranges(texts: DataFrame, width: int = WIDTH, step: int = STEP, gram
     judged = cut(contents.join(variants, "anchor").where((F.col("copies") > 1) | (F.col("variants") > 1) | F.col("again")))
     whole = live.join(judged.where(F.col("copies") > 1).select("anchor", "content"), ["anchor", "content"], "left_semi").select("kid", "th", F.col("a").alias("s"), (F.col("a") + F.col("n") + width - 1).alias("e"))
 
-    work = judged.where((F.col("variants") > 1) | F.col("again") & (F.col("copies") == 1)).select("one.*", F.struct(F.col("one.a").alias("a"), F.col("one.n").alias("n"), F.lit(width - 1).alias("tail"), "anchor", (F.col("copies") == 1).alias("target"), (F.col("variants") > MANY).alias("many")).alias("r"))
+    work = judged.where((F.col("variants") > 1) | F.col("again") & (F.col("copies") == 1)).select("one.*", F.struct(F.col("one.a").alias("a"), F.col("one.n").alias("n"), "anchor", (F.col("copies") == 1).alias("target"), (F.col("variants") > MANY).alias("many")).alias("r"))
     by_text = work.groupBy("kid", "th").agg(F.collect_list("r").alias("runs"))
-    slices = texts.join(by_text, ["kid", "th"], "left").select("kid", "th", "text", "runs").mapInArrow(_slices, "anchor long, kid long, th long, a int, target boolean, many boolean, bytes binary")
-    few = slices.where(~F.col("many")).select("anchor", "kid", "th", "a", "target", "bytes")
-    n = partitions(texts.sparkSession)
-    merged = few.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_merge(width, step), "kid long, th long, s int, e int")
-    out = whole.unionByName(merged)
-    if judged.where(F.col("variants") > MANY).limit(1).count():
-        windows = cut(slices.where("many").select("kid", "th", "a", "target", "bytes").mapInArrow(_windows(width), "kid long, th long, s int, target boolean, h1 long, h2 long"))
-        again = windows.groupBy("h1", "h2").count().where(F.col("count") > 1).select("h1", "h2")
-        out = out.unionByName(windows.where("target").join(again, ["h1", "h2"], "left_semi").select("kid", "th", "s", (F.col("s") + width).alias("e")))
-    return out
+    slices = texts.join(by_text, ["kid", "th"], "left").select("kid", "th", "text", "runs").mapInArrow(_slices(width), "key long, kid long, th long, a int, target boolean, many boolean, bytes binary")
+    merged = slices.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_merge(width, step), "kid long, th long, s int, e int")
+    return whole.unionByName(merged)
 
 
 def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
