@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows in one Arrow batch for operators that hold whole texts in a Python worker.
 TEXT_BATCH_ROWS = 1000
@@ -62,3 +63,16 @@ def partitions(spark: SparkSession) -> int:
 def is_train(doc_id: str, modulus: int, held: int) -> F.Column:
     """Whether a document's checksum lets its labels be learned from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus != held
+
+
+def sample_of(df: DataFrame, group: str, share: dict, most: int) -> DataFrame:
+    """At most ``most`` rows of each group, those with the smallest hash ``h`` among a share of the hashes.
+
+    ``share`` gives each group's part of the hash range, so a window sees no more than about ``most`` rows of a group.
+    """
+    part = F.lit(0.0)
+    for value, x in share.items():
+        part = F.when(F.col(group) == value, F.lit(float(x))).otherwise(part)
+    some = df.where(F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53)) < part)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("h"))
+    return some.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
