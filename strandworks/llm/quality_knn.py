@@ -1,9 +1,10 @@
 """Quality by nearest-neighbour voting on latent-semantic vectors.
 
 A text is a bag of hashed words and of word shapes (how a word is cased and what marks surround it), beside a few
-traits of the whole text (how often a word repeats the one before it, and the like). Weighted counts of a bounded sample of labelled rows give a latent-semantic basis by a singular value decomposition; the sample's
-vectors are broadcast. Every document's vector meets all of them in blocks of exact cosine products, and the labels
-of the nearest vote with their similarity as weight.
+traits of the whole text (how often a word repeats the one before it, and the like). Weighted counts of a bounded
+sample of labelled rows give a latent-semantic basis by a singular value decomposition; the sample's vectors are
+broadcast. Every document's vector meets all of them in blocks of exact cosine products, and the labels of the
+nearest vote with their similarity as weight.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from strandworks.llm.common import bounded_batches
+from strandworks.llm.common import bounded_batches, sample_of
 
 #: Labelled rows of a label that the classifier is fitted on (those with the smallest hash of id).
 FIT_ROWS = 1500
@@ -122,12 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label_col: str = "q
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"), F.count("*").alias("n")).withColumn("h", F.xxhash64("id"))
-    part = Window.partitionBy("label", F.pmod(F.col("h"), F.lit(64))).orderBy("h", "id")
-    some = known.withColumn("r", F.row_number().over(part)).where(F.col("r") <= FIT_ROWS)
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("r") <= FIT_ROWS)
-    chosen = some.select("id", "label")
-    sample = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == chosen["id"]).select("label", text_col)
+    known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).withColumn("h", F.xxhash64("id"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    some = sample_of(known, "label", {k: min(1.0, 1.2 * FIT_ROWS / n) for k, n in counts.items()}, FIT_ROWS)
+    chosen = some.select("id", "label")  # at most FIT_ROWS rows of each label
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "id").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,8 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label_col: str = "q
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.float16).tobytes() for x in rows], pa.binary())], names=["label", "x"])
 
     found = sample.mapInArrow(run, "label int, x binary").orderBy("label", "x").limit(4 * FIT_ROWS).collect()
-    shares = {x.label: x.n for x in known.groupBy("label").count().withColumnRenamed("count", "n").collect()}
-    prior = shares.get(1, 0) / max(1, sum(shares.values()))
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if not found:
         return Voters(np.ones(1), np.ones((1, 1)), np.zeros((0, 1), np.float32), np.zeros(0), prior)
     x = np.array([np.frombuffer(r.x, np.float16) for r in found]).astype(float)
