@@ -58,24 +58,27 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] =
 
 
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take so that their sum comes nearest to the budget from below.
+    """How many of each length to take so that their sum comes nearest to the budget; of two, the smaller sum.
 
     Bounded by binary splitting; the sums reached are bits of an integer, kept after each item for the way back.
     """
     items = []
     for i, (n, c) in enumerate(zip(lengths, counts, strict=True)):
-        c, step = min(c, budget // n if n else 0), 1
+        c, step = min(c, 2 * budget // n if n else 0), 1
         while c > 0:
             items.append((i, min(step, c)))
             c -= step
             step *= 2
-    mask, reached = (1 << (budget + 1)) - 1, [1]
+    mask, reached = (1 << (2 * budget + 1)) - 1, [1]
     for i, k in items:
         now = reached[-1]
         reached.append((now | now << (k * lengths[i])) & mask)
         if reached[-1] >> budget & 1:
             break
-    left, taken = reached[-1].bit_length() - 1, [0] * len(lengths)
+    under = (reached[-1] & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    over = reached[-1] >> (budget + 1)
+    above = budget + (over & -over).bit_length() if over else under
+    left, taken = above if over and above - budget < budget - under else under, [0] * len(lengths)
     for (i, k), before in zip(reversed(items[: len(reached) - 1]), reversed(reached[:-1]), strict=True):
         if not before >> left & 1:
             taken[i] += k
@@ -106,7 +109,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         taken[i] += k
         spare[i] -= k
         left -= k * n
-    fits = [i for i in range(bisect_right(lengths.tolist(), left)) if spare[i] > 0]
+    fits = [i for i in range(bisect_right(lengths.tolist(), 2 * left)) if spare[i] > 0]
     if fits and left > 0:
         chosen = knapsack([int(lengths[i]) for i in fits], [int(spare[i]) for i in fits], left)
         taken[fits] += np.array(chosen, np.int64)
