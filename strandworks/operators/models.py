@@ -86,7 +86,7 @@ def _logistic(data: DataFrame, c: float, l1: float = 1.0):
     return LogisticRegression(elasticNetParam=l1, regParam=1.0 / (data.count() * c), standardization=False, maxIter=200, tol=1e-8).fit(data)
 
 
-def svm_rfe(df: DataFrame, genes: list[str], keep: int = 1, share: float = 0.0, c: float = 1.0) -> list[str]:
+def svm_rfe(df: DataFrame, genes: list[str], keep: int = 1, share: float = 0.0, c: float = 1.0, rounds: int = 50) -> list[str]:
     """Genes from the last eliminated to the first: each round drops those with the least squared weight.
 
     One a round, or a share of what is left when there are many.
@@ -95,7 +95,7 @@ def svm_rfe(df: DataFrame, genes: list[str], keep: int = 1, share: float = 0.0,
     n = df.count()
     while len(left) > keep:
         data = vectors(df, left)
-        w = LinearSVC(regParam=1.0 / (n * c), maxIter=50, standardization=False).fit(data).coefficients.toArray()
+        w = LinearSVC(regParam=1.0 / (n * c), maxIter=rounds, standardization=False).fit(data).coefficients.toArray()
         order = sorted(range(len(left)), key=lambda i: (w[i] ** 2, left[i]))
         drop = {left[i] for i in order[: max(1, int(share * len(left)))]}
         drop = set(list(drop)[: len(left) - keep]) if len(left) - len(drop) < keep else drop
@@ -104,16 +104,16 @@ def svm_rfe(df: DataFrame, genes: list[str], keep: int = 1, share: float = 0.0,
     return [*left, *reversed(gone)]
 
 
-def svm_rfe_cv(df: DataFrame, genes: list[str], most: int, k: int = 5, seed: int = 2026, share: float = 0.2) -> DataFrame:
+def svm_rfe_cv(df: DataFrame, genes: list[str], most: int, k: int = 5, seed: int = 2026, share: float = 0.2, rounds: int = 50) -> DataFrame:
     """(k, accuracy, best): cross-validated accuracy by number of genes, ranked within each fold."""
     data = stratified_folds(df, k, seed).persist()
     hits = {n: 0 for n in range(1, min(most, len(genes)) + 1)}
     total = data.count()
     for fold in range(k):
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        order = svm_rfe(train, genes, share=share)
+        order = svm_rfe(train, genes, share=share, rounds=rounds)
         for n in hits:
-            model = LinearSVC(regParam=1.0 / total, maxIter=50, standardization=False).fit(vectors(train, order[:n]))
+            model = LinearSVC(regParam=1.0 / total, maxIter=rounds, standardization=False).fit(vectors(train, order[:n]))
             hits[n] += model.transform(vectors(test, order[:n])).where(F.col("prediction") == F.col("label")).count()
     data.unpersist()
     best = max(hits, key=lambda n: (hits[n], -n))
@@ -210,7 +210,7 @@ def pca_scores(matrix: DataFrame, samples: DataFrame, most: int = 2000, k: int =
     return scores.join(samples, "sample"), [float(x) for x in model.explainedVariance.toArray()]
 
 
-def nested_lodo(tests: DataFrame, matrix: DataFrame, batches: DataFrame, labels: DataFrame, most: int = 40, top: int = 12, costs: tuple[float, ...] = (0.05, 0.2, 1.0), rounds: int = 8, trees: int = 30) -> DataFrame:
+def nested_lodo(tests: DataFrame, matrix: DataFrame, batches: DataFrame, labels: DataFrame, most: int = 40, top: int = 12, costs: tuple[float, ...] = (0.05, 0.2, 1.0), rounds: int = 8, trees: int = 30, k: int = 4, svm_rounds: int = 50) -> DataFrame:
     """Leave one dataset out with every choice inside: (held_out, n_test, n_robust, n_core, core, auc).
 
     ``tests``: dataset, gene, b, p for all datasets, computed once; ``matrix``: sample, gene, value; ``batches``:
@@ -224,8 +224,7 @@ def nested_lodo(tests: DataFrame, matrix: DataFrame, batches: DataFrame, labels:
     out = []
     for held in [r[0] for r in tests.select("dataset").distinct().orderBy("dataset").collect()]:
         inner = tests.where(F.col("dataset") != held)
-        k = inner.select("dataset").distinct().count()
-        scores = rra(rank_lists(inner, genes), n, k)
+        scores = rra(rank_lists(inner, genes), n, inner.select("dataset").distinct().count())
         robust = robust_genes(scores, mean_lfc(inner, genes), agree=False).orderBy("score", "gene")
         names = [str(r.gene) for r in robust.limit(most).collect()]
         total = robust.count()
@@ -239,9 +238,9 @@ def nested_lodo(tests: DataFrame, matrix: DataFrame, batches: DataFrame, labels:
             return wide(z, names).join(on.select(F.col("sample").alias("id"), "y", "dataset"), "id").checkpoint(eager=True)
 
         train, test = ready(labels.where(F.col("dataset") != held)), ready(labels.where(F.col("dataset") == held))
-        path = l1_path(train, names, list(costs), k=4)
+        path = l1_path(train, names, list(costs), k=k)
         lasso = [r.gene for r in path.where(F.col("best") & (F.col("coef") != 0)).collect()]
-        ranked = svm_rfe(train, names, share=0.3)[:top]
+        ranked = svm_rfe(train, names, share=0.3, rounds=svm_rounds)[:top]
         forest = [r.gene for r in boruta(train, names, rounds, trees).where(F.col("hits") > rounds / 2).collect()]
         counts = {g: (g in lasso) + (g in ranked) + (g in forest) for g in names}
         core = [g for g in names if counts[g] >= 2] or names[:5]

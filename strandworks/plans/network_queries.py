@@ -134,13 +134,13 @@ def a17_pca(spark, v):
 @query()
 def m1_l1_path(spark, v):
     df, genes = labelled(v, 12)
-    return md.l1_path(df, genes, [0.05, 0.5], k=3)
+    return md.l1_path(df, genes, [0.05, 0.5], k=2)
 
 
 @query()
 def m2_svm_rfe(spark, v):
-    df, genes = labelled(v, 6)
-    return md.svm_rfe_cv(df, genes, 3, k=3, share=0.4)
+    df, genes = labelled(v, 4)
+    return md.svm_rfe_cv(df, genes, 2, k=2, share=0.5, rounds=8)
 
 
 @query()
@@ -180,7 +180,7 @@ def m8_nested_lodo(spark, v):
 
     meta = v("v_meta")
     labels = meta.select("sample", "dataset", F.col("grp").cast("int").alias("y"))
-    return md.nested_lodo(ordered(v).select("dataset", "gene", "b", "p").checkpoint(eager=True), expressed(v).select("gene", "sample", "value").checkpoint(eager=True), meta.select("sample", (F.col("dataset") * 10 + F.col("cell")).alias("batch")), labels, most=8, top=4, costs=(0.5,), rounds=2, trees=10)
+    return md.nested_lodo(ordered(v).select("dataset", "gene", "b", "p").checkpoint(eager=True), expressed(v).select("gene", "sample", "value").checkpoint(eager=True), meta.select("sample", (F.col("dataset") * 10 + F.col("cell")).alias("batch")), labels, most=5, top=3, costs=(0.5,), rounds=1, trees=5, k=2, svm_rounds=8)
 
 
 @query("""

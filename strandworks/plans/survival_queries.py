@@ -85,7 +85,7 @@ def s4_cox_by_gene(spark, v):
 
 
 @query("""
-SELECT stage, CAST(count(*) AS DOUBLE) AS pairs, round(sum(CASE WHEN i.risk > j.risk THEN 1 WHEN i.risk = j.risk THEN 0.5 ELSE 0 END), 6) + 0.0 AS agree,
+SELECT stage, CAST(count(*) AS DOUBLE) AS pairs, round(CAST(sum(CASE WHEN i.risk > j.risk THEN 1 WHEN i.risk = j.risk THEN 0.5 ELSE 0 END) AS DOUBLE), 6) + 0.0 AS agree,
   round(sum(CASE WHEN i.risk > j.risk THEN 1 WHEN i.risk = j.risk THEN 0.5 ELSE 0 END) / count(*), 6) + 0.0 AS cindex
 FROM v_cohort i JOIN v_cohort j USING (stage) WHERE i.event = 1 AND j.time > i.time GROUP BY stage""")
 def s5_cindex(spark, v):

@@ -240,15 +240,15 @@ def p2_melting_temp(spark, v):
 
 
 def transcripts(v) -> DataFrame:
-    """One transcript for each of a few hundred texts' letters, with a coding part."""
+    """One transcript for each text with enough letters, with a coding part of 180 bases."""
     letters = F.translate(F.regexp_replace(F.lower(F.substring("text", 1, 2000)), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTTGCAACGTGTCAGATCCTGAAC")
-    return v("documents").select(F.col("doc_id").alias("gene"), F.substring(letters, 1, 420).alias("seq")).where(F.length("seq") >= 300).select("gene", "seq", F.lit(1).alias("low"), F.length("seq").alias("high"))
+    return v("documents").select(F.col("doc_id").alias("gene"), F.substring(letters, 1, 420).alias("seq")).where(F.length("seq") >= 300).select("gene", "seq", F.lit(1).alias("low"), F.lit(180).alias("high"))
 
 
 @query()
 def p1_p3_p4_p5_design_primers(spark, v):
     rows = transcripts(v)
-    return sq.design_primers(rows, rows.select("gene", F.array(F.lit(150), F.lit(300)).alias("ends")))
+    return sq.design_primers(rows, rows.select("gene", F.array(F.lit(60), F.lit(120)).alias("ends")))
 
 
 HITS = "ah AS (SELECT *, CASE WHEN se > ss THEN 'plus' ELSE 'minus' END AS strand, regexp_replace(q, '_[FR]$', '') AS gene, q[-1] AS side FROM v_hits WHERE pid >= 95 AND alen >= plen - 1 AND qe >= plen - 1)"

@@ -52,8 +52,8 @@ FROM {lineitem}""",
 SELECT concat('s', CAST(u AS STRING)) AS sample, CASE WHEN u DIV 6 = 0 THEN 'A' ELSE 'B' END AS model,
        CASE WHEN (u DIV 3) % 2 = 0 THEN 'parental' ELSE 'resistant' END AS condition, u % 3 AS replicate, concat('G', CAST(g AS STRING)) AS gene,
        CASE w WHEN 0 THEN 'std' WHEN 1 THEN 'noRT' WHEN 2 THEN 'NTC' ELSE 'sample' END AS well_type,
-       CAST(CASE WHEN w = 0 THEN CASE e % 5 WHEN 0 THEN 1 WHEN 1 THEN 10 WHEN 2 THEN 100 WHEN 3 THEN 1000 ELSE 10000 END END AS DOUBLE) AS dilution,
-       CASE WHEN w = 0 THEN 38 - CASE e % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 3.4 WHEN 2 THEN 6.8 WHEN 3 THEN 10.2 ELSE 13.6 END + CAST(e % 13 AS DOUBLE) / 200
+       CAST(CASE WHEN w = 0 THEN CASE e DIV 10 % 5 WHEN 0 THEN 1 WHEN 1 THEN 10 WHEN 2 THEN 100 WHEN 3 THEN 1000 ELSE 10000 END END AS DOUBLE) AS dilution,
+       CASE WHEN w = 0 THEN 38 - CASE e DIV 10 % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 3.4 WHEN 2 THEN 6.8 WHEN 3 THEN 10.2 ELSE 13.6 END + CAST(e % 13 AS DOUBLE) / 200
             WHEN w = 1 OR w = 2 THEN 27.0 + e % 12
             ELSE 20 + g * 0.5 + CASE WHEN (u DIV 3) % 2 = 1 AND g < 6 THEN 1.5 ELSE 0 END + CAST(e % 29 AS DOUBLE) / 40 + CASE WHEN e % 31 = 0 THEN 16 ELSE 0 END END AS cq
 FROM (SELECT event_id AS e, user_id % 12 AS u, event_id % 10 AS g, CASE WHEN event_id % 50 < 3 THEN 3 WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 23 = 1 THEN 1 WHEN event_id % 41 = 2 THEN 2 ELSE 3 END AS w FROM {events}) t""",
