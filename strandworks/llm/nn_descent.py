@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandworks.llm.common import cut, partitions
+from strandworks.llm.common import cut
 
 #: Neighbours of a node in the graph, directions of the first graph, rows of a block, rounds of NN-descent.
-DEGREE, DIRECTIONS, BLOCK, ROUNDS = 16, 4, 512, 3
+DEGREE, DIRECTIONS, BLOCK, ROUNDS = 32, 6, 4096, 2
 #: Neighbours that are compared at once; a node with more is dealt into several groups.
-GROUP = 48
+GROUP = 96
 #: Nodes that a query holds and opens in a step, and its steps.
-BEAM, OPEN, STEPS = 32, 12, 4
+BEAM, OPEN, STEPS = 64, 24, 4
 SEED = 11
 
 
@@ -43,12 +43,19 @@ def _unit(lists: pa.ListArray, dim: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def _half(raw: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(raw.to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+def _packed(unit: np.ndarray) -> list[bytes]:
+    """Vectors as signed bytes, scaled to their largest component: enough to find neighbours, not to score them."""
+    scaled = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
+    return [row.tobytes() for row in scaled]
+
+
+def _unpacked(raw: pa.Array, dim: int) -> np.ndarray:
+    out = np.frombuffer(b"".join(raw.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 def _nodes(vectors: DataFrame, dim: int, k: int) -> DataFrame:
-    """One row for each different vector: its smallest id, its k + 1 smallest ids, and the unit vector in half precision."""
+    """One row for each different vector: its smallest id, its k + 1 smallest ids, and the vector in signed bytes."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,9 +73,9 @@ def _nodes(vectors: DataFrame, dim: int, k: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _unit(batch.column(0), dim).astype(np.float16)
+                x = _packed(_unit(batch.column(0), dim))
                 ids = batch.column(1)
-                yield pa.RecordBatch.from_arrays([pa.array([i[0].as_py() for i in ids], pa.int64()), ids, pa.array([row.tobytes() for row in x], pa.binary())], names=["node", "ids", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([i[0].as_py() for i in ids], pa.int64()), ids, pa.array(x, pa.binary())], names=["node", "ids", "x"])
 
     return cut(merged.mapInArrow(pack, "node long, ids array<long>, x binary"))
 
@@ -97,33 +104,40 @@ def _top(u: np.ndarray, v: np.ndarray, s: np.ndarray, degree: int) -> pa.RecordB
 def _first(nodes: DataFrame, dim: int, degree: int) -> DataFrame:
     """Exact neighbours in blocks along random directions."""
     rng = np.random.default_rng(SEED)
-    parts = []
+    parts, pieces = [], max(1, nodes.count() // BLOCK)  # ranges of about a block, whatever the session's partitions
     for _ in range(DIRECTIONS):
         planes = rng.normal(size=(dim, 7)).astype(np.float32)
 
         def place(batches: Iterator[pa.RecordBatch], planes=planes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    p = _half(batch.column(1), dim) @ planes
+                    p = _unpacked(batch.column(1), dim) @ planes
                     sign = (p[:, :6] > 0) @ (1 << np.arange(6))
                     sign ^= sign >> 1  # neighbours in order differ in few signs
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sign + 0.5 + np.tanh(p[:, 6]) / 2.001)], names=["node", "x", "at"])
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            n = min(degree, len(ids) - 1)
+            for at in range(0, len(ids) if n > 0 else 0, 512):
+                rows = np.arange(at, min(at + 512, len(ids)))
+                s = x[rows] @ x.T
+                s[np.arange(len(rows)), rows] = -2
+                j = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                yield _top(np.repeat(ids[rows], n), ids[j.ravel()], np.round(np.take_along_axis(s, j, axis=1).ravel(), 6), degree)
+
+        def compare(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            ids, x = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
             for batch in batches:
-                ids, x = batch.column(0).to_numpy(), _half(batch.column(1), dim) if batch.num_rows else None
-                for at in range(0, len(ids), BLOCK):
-                    i, m = ids[at : at + BLOCK], x[at : at + BLOCK]
-                    if len(i) < 2:
-                        continue
-                    s = m @ m.T
-                    np.fill_diagonal(s, -2)
-                    n = min(degree, len(i) - 1)
-                    j = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    yield _top(np.repeat(i, n), i[j.ravel()], np.take_along_axis(s, j, axis=1).ravel(), degree)
+                if batch.num_rows:
+                    ids, x = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([x, _unpacked(batch.column(1), dim)])
+                while len(ids) >= 2 * BLOCK:
+                    yield from block(ids[:BLOCK], x[:BLOCK])
+                    ids, x = ids[BLOCK:], x[BLOCK:]
+            for part in np.array_split(np.arange(len(ids)), max(1, round(len(ids) / BLOCK))):
+                yield from block(ids[part], x[part])
 
         spread = nodes.select("node", "x").mapInArrow(place, "node long, x binary, at double")
-        spread = spread.repartitionByRange(partitions(nodes.sparkSession), "at", "node").sortWithinPartitions("at", "node")
+        spread = spread.repartitionByRange(pieces, "at", "node").sortWithinPartitions("at", "node")
         parts.append(spread.select("node", "x").mapInArrow(compare, "u long, v long, s float"))
     out = parts[0]
     for x in parts[1:]:
@@ -148,7 +162,7 @@ def _join(graph: DataFrame, nodes: DataFrame, dim: int, degree: int) -> DataFram
             if not len(flat):
                 continue
             offsets = offsets - offsets[0]
-            m, low, x = flat.field(0).to_numpy(), flat.field(1).to_numpy(), _half(flat.field(2), dim)
+            m, low, x = flat.field(0).to_numpy(), flat.field(1).to_numpy(), _unpacked(flat.field(2), dim)
             us, vs, ss = [], [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 s = x[a:b] @ x[a:b].T
@@ -174,7 +188,7 @@ def _scored(pairs: DataFrame, dim: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = np.einsum("ij,ij->i", _half(batch.column(2), dim), _half(batch.column(3), dim))
+                s = np.einsum("ij,ij->i", _unpacked(batch.column(2), dim), _unpacked(batch.column(3), dim))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(s, 6).astype(np.float32))], names=["q", "v", "s"])
 
     return pairs.mapInArrow(score, "q long, v long, s float")
@@ -191,7 +205,7 @@ def _walk(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int) -> D
         held = held.withColumn("turn", ~F.col("open") & (shut <= OPEN))
         turn = held.where("turn").select("q", F.col("v").alias("u"))
         new = turn.join(edges, "u").select("q", "v").distinct().join(held.select("q", "v"), ["q", "v"], "left_anti")
-        found = _scored(new.join(ours, "q").join(theirs, "v").select("q", "v", "qx", "x"), dim).withColumn("open", F.lit(False))
+        found = _scored(new.join(theirs, "v").join(ours, "q").select("q", "v", "qx", "x"), dim).withColumn("open", F.lit(False))
         held = held.select("q", "v", "s", (F.col("open") | F.col("turn")).alias("open")).unionByName(found)
         held = cut(held.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM).drop("r"))
     return held.select("q", "v")
