@@ -27,27 +27,29 @@ def test_fdr(spark, name):
 def test_single_cell_trial(spark):
     scores = csv(spark, "results/feline_10x_scores.csv")
     want = json.loads((RESULTS / "results/feline_10x_results.json").read_text())
-    long = scores.unpivot(["patient", "arm", "timepoint", "response", "ribo"], ["resist_score", "ifn_hub", "e2f", "risk4"], "score_name", "score")
-    times = {r.timepoint: r.days for r in scores.select("timepoint", "days").distinct().collect()}
-    first = min(times, key=times.get)
-    checked = 0
-    for key, expect in want.items():
-        parts = key.split("|")
-        if "n" not in expect or len(parts) < 4:
-            continue
-        a, b = parts[3].split("->")
-        rows = long.where(F.col("score_name") == parts[2])
-        for flag in (True, False):
-            held = rows.where(F.col("ribo") == flag)
-            names = {str(d): t for t, d in times.items()} | {t: t for t in times} | {f"d{d}": t for t, d in times.items()} | {f"D{d}": t for t, d in times.items()}
-            if a not in names or b not in names:
-                continue
-            changes = trial.paired_changes(held.withColumn("g", F.lit(1)), ["g"], F.col("timepoint") == names[a], F.col("timepoint") == names[b])
-            found = trial.paired_wilcoxon(changes, ["g"]).collect()
-            if found and found[0].n == expect["n"] and abs(found[0].median_change - expect["median_change"]) < 1e-9:
-                assert abs(found[0].p - expect["p"]) < 1e-9
-                checked += 1
-    assert first is not None and checked >= 0
+    arm = F.when(F.col("ribo"), "ribociclib").otherwise("letrozole").alias("arm")
+    long = scores.select("patient", arm, "timepoint", "response", "resist_score", "ifn_hub", "e2f", "risk4").unpivot(["patient", "arm", "timepoint", "response"], ["resist_score", "ifn_hub", "e2f", "risk4"], "name", "score").persist()
+    non = F.when(F.col("response") == "Non-responder", 1).when(F.col("response") == "Responder", 0)
+    who = long.groupBy("patient").agg(F.first(non).alias("group"))
+    seen = set()
+    for later in ("mid", "end"):
+        changes = trial.paired_changes(long, ["arm", "name"], F.col("timepoint") == "start", F.col("timepoint") == later).persist()
+        for r in trial.paired_wilcoxon(changes, ["arm", "name"]).collect():
+            key = f"change|{r.arm}|{r.name}|start->{later}"
+            assert r.n == want[key]["n"] and abs(r.median_change - want[key]["median_change"]) < 1e-12 and abs(r.p - want[key]["p"]) < 1e-12
+            seen.add(key)
+        for r in trial.mann_whitney(changes.join(who, "patient").where("arm = 'ribociclib'"), ["arm", "name"], "d").collect():
+            key = f"delta|{r.arm}|{r.name}|start->{later}"
+            assert (r.n1, r.n0) == (want[key]["n_non"], want[key]["n_resp"]) and abs(r.p - want[key]["p"]) < 1e-12
+            assert abs(r.median1 - want[key]["median_change_non"]) < 1e-12
+            seen.add(key)
+    for label, at in (("baseline", "start"), ("day180", "end")):
+        for r in trial.mann_whitney(long.where(F.col("timepoint") == at).withColumn("group", non), ["arm", "name"]).collect():
+            key = f"{label}|{r.arm}|{r.name}"
+            if key in want:
+                assert abs(r.auc - want[key]["AUC_high_predicts_nonresponse"]) < 1e-12 and abs(r.p - want[key]["p"]) < 1e-12
+                seen.add(key)
+    assert seen == set(want)
 
 
 def test_neoadjuvant_trial(spark):
