@@ -160,7 +160,7 @@ def _search(candidates: DataFrame, queries: DataFrame, beat: DataFrame | None, r
         return spark.createDataFrame([], "query_id long, vec_id long, score long")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(queries.count() - 1).cast("long")))
     left = candidates.withColumnRenamed("block", "c").withColumn("q", every)
-    right = queries.withColumnRenamed("block", "q").withColumn("c", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    right = queries.withColumnRenamed("block", "q").withColumn("c", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))  # keys of both sides have one type, as they are hashed
     return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(run, "query_id long, vec_id long, score long")
 
 

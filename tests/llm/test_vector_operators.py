@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from strandworks.llm import exact_topk
 from strandworks.llm.exact_topk import search_block, top_k
 from strandworks.llm.nn_descent import nearest
 
@@ -38,6 +39,24 @@ def test_top_k(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Every pair of blocks meets, in whatever partition its key falls."""
+    monkeypatch.setattr(exact_topk, "BLOCK", 40)
+    monkeypatch.setattr(exact_topk, "QUERIES", 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        x = vectors()
+        ints = np.floor(256 * x.astype(float)).astype(np.int64)
+        got = top_k(table(spark, x).repartition(3), F.col("id") % 20 == 0).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for i in range(0, 400, 20):
+        score = ints @ ints[i]
+        want += [(i, int(j)) for j in [j for j in np.lexsort((np.arange(400), -score)) if j != i][:5]]
+    assert sorted((r.query_id, r.vec_id) for r in got) == sorted(want)
+
+
 def test_top_k_small_and_empty(spark):
     x = vectors(20)[:3]
     assert top_k(table(spark, x), F.col("id") == 0).count() == 2
