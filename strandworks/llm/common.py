@@ -55,6 +55,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, build):
+    """What one operator keeps in a Python worker between tasks; another operator's is dropped first.
+
+    Workers outlive jobs, so the caches of a pipeline's stages would add up in their memory.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from strandworks.llm.common import bounded_batches
+from strandworks.llm.common import bounded_batches, worker_state
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 2048, 64, 2048
@@ -66,15 +66,6 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, CHUNKS.findall(text)))
 
 
-_IDS: dict[str, Ids] = {}
-
-
-def _ids(path: str) -> Ids:
-    if path not in _IDS:
-        _IDS[path] = Ids(path)
-    return _IDS[path]
-
-
 @dataclass
 class Item:
     """A piece that is yet to be placed; ids are kept, as it may be cut once more."""
@@ -184,7 +175,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: tuple[int, int, int] = (T
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, number = _ids(tokenizer_path), TaskContext.get().partitionId() << 40
+        ids_of, number = worker_state(("packing", tokenizer_path), lambda: Ids(tokenizer_path)), TaskContext.get().partitionId() << 40
         step = min(limits[0], limits[2])
         owners: list = []
         totals: list[int] = []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandworks.llm.common import bounded_batches
+from strandworks.llm.common import bounded_batches, worker_state
 
 ROUNDS = 8
 #: Days that dates are permuted among.
@@ -244,7 +244,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     keep = [id_col] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Feistel(key)
+        f = worker_state(("pseudonyms", key), lambda: Feistel(key))
         for batch in batches:
             done = [replace(x.as_py(), f) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=[*keep, text_col, "n_replaced"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandworks.llm.common import bounded_batches, sample_of
+from strandworks.llm.common import bounded_batches, sample_of, worker_state
 
 #: Labelled rows of a label that the classifier is fitted on (those with the smallest hash of id).
 FIT_ROWS = 1500
@@ -58,11 +58,9 @@ class Features(dict):
         return found
 
 
-_FEATURES = Features()
-
-
 def features(texts: list[str | None]) -> np.ndarray:
     """Damped counts by bucket, then traits, a row for each text; words, shapes and traits have length one each."""
+    buckets = worker_state(("quality",), Features)
     out = np.zeros((len(texts), WORDS + SHAPES + 2 * TRAITS), np.float32)
     bags = out[:, : WORDS + SHAPES]
     for row, whole, text in zip(bags, out, texts, strict=True):
@@ -74,7 +72,7 @@ def features(texts: list[str | None]) -> np.ndarray:
         share = np.array([sum(map(eq, found, found[1:])) / len(found), 1 - len(set(lines)) / max(1, len(lines)), sum(map(str.isupper, found)) / len(found), 1 - len(counts) / len(found)])
         whole[WORDS + SHAPES :: 2] = np.sqrt(share)
         whole[WORDS + SHAPES + 1 :: 2] = np.sqrt(1 - share)
-        pairs = np.array(list(map(_FEATURES.__getitem__, counts)))
+        pairs = np.array(list(map(buckets.__getitem__, counts)))
         n = np.fromiter(counts.values(), float, len(counts))
         row += np.bincount(pairs[:, 0], n, WORDS + SHAPES)
         row += np.bincount(pairs[:, 1], n, WORDS + SHAPES)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandworks.llm.common import bounded_batches, cut, partitions
+from strandworks.llm.common import bounded_batches, cut, partitions, worker_state
 from strandworks.operators.graph import connected_components
 
 SEED = 42
@@ -101,6 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("simhash",), dict)
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])

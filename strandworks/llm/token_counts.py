@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strandworks.llm.common import bounded_batches
+from strandworks.llm.common import bounded_batches, worker_state
 
 MARK = "▁"
 #: Merged pre-tokens that a worker remembers, and the longest it remembers.
@@ -108,15 +108,6 @@ class Counter:
         return total
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
-def _counter(proof: Proof) -> Counter:
-    if proof.path not in _COUNTERS:
-        _COUNTERS[proof.path] = Counter(proof)
-    return _COUNTERS[proof.path]
-
-
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of each whole text.
 
@@ -128,7 +119,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     proof = docs.sparkSession.sparkContext.broadcast(prove(model_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(proof.value)
+        counter = worker_state(("token counts", proof.value.path), lambda: Counter(proof.value))
         for batch in batches:
             texts = batch.column(1)
             size = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
