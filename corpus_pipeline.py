@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from strandworks.llm.common import is_train, read_table, stored
 from strandworks.llm.language_id import UNDETERMINED, fit, identify
 from strandworks.llm.mixing import mix
+from strandworks.llm.near_copies import near_copies
 from strandworks.llm.packing import pack
 from strandworks.llm.pseudonyms import pseudonymise
 from strandworks.llm.queries import PSEUDONYM_KEY
-from strandworks.llm.simhash_golay import near_duplicates
 
 #: Posterior below which a document's language is not known well enough.
 LEAST_SCORE = 0.5
 
-#: SQL cannot express the stages (a fitted model, SimHash components, a keyed cipher, a tokenizer): tests use brute force.
+#: SQL cannot express the stages (a fitted model, components of near copies, a keyed cipher, a tokenizer): tests use brute force.
 ORACLE_SQL = None
 
 
@@ -31,9 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id; repeated rows are one."""
+    """One document of each group of near copies (similarity of five-word shingles 0.8 or more): the one with the
+    smallest id; repeated rows are one."""
     keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("th")))
-    kept = near_duplicates(keyed, id_col="__key").select(F.col("component_id").alias("__key")).distinct()
+    kept = near_copies(keyed, id_col="__key").select(F.col("component_id").alias("__key")).distinct()
     return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
@@ -57,7 +58,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language ID", language), ("SimHash near-dedup", near_dedup), ("PII pseudonyms", pseudonyms), ("source mix", mixture), ("packing", packing)]
+STAGES = [("language ID", language), ("near-dedup", near_dedup), ("PII pseudonyms", pseudonyms), ("source mix", mixture), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
