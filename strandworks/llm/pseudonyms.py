@@ -4,6 +4,10 @@ Numbers and dates that pass their format's own validation are permuted by a keye
 format: a card number becomes a card number with a valid check digit, a date a calendar date written the same way,
 an address an address. The permutation depends on the key, the kind and the format alone, so equal values get equal
 pseudonyms in all documents, different ones different pseudonyms, and the holder of the key can undo it.
+
+Card numbers and IBANs are looked for within runs of groups: a value begins and ends with a group, as digits inside a
+longer unbroken number are no card. Where a pseudonym and a group beside it happen to be valid together, which is
+rare, undoing finds that other value.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ class Feistel:
         size = max(1, (bits + 7) // 8)
         out, block = b"", 0
         while len(out) < size:
-            out += blake2b(half.to_bytes(size, "big"), key=self.key, person=bytes([i, block & 255]), salt=blake2b(tweak, digest_size=16).digest()).digest()
+            out += blake2b(half.to_bytes(size, "big"), key=self.key, person=bytes([i, block & 255]) + (block >> 8).to_bytes((block.bit_length() + 7) // 8 - 1 if block else 0, "big"), salt=blake2b(tweak, digest_size=16).digest()).digest()
             block += 1
         return int.from_bytes(out[:size], "big") & ((1 << bits) - 1)
 
@@ -103,7 +107,13 @@ def _card(f: Feistel, m: str, back: bool) -> str | None:
 
 
 def _phone(f: Feistel, m: str, back: bool) -> str | None:
+    """The ten digits. Where neither a country code nor brackets mark a number, area and exchange must begin with 2 to
+    9, as in the numbering plan, and do so afterwards."""
     d = "".join(c for c in m if c in DIGITS)
+    if len(d) == 10 and m[0] != "(":
+        if d[0] in "01" or d[3] in "01":
+            return None
+        return _spread(m, f.string("phone-plain", d, [DIGITS[2:] if i in (0, 3) else DIGITS for i in range(10)], back))
     lead = len(d) - 10
     return _spread(m, d[:lead] + f.string(f"phone{d[:lead]}", d[lead:], [DIGITS] * 10, back))
 
@@ -152,7 +162,7 @@ def _date(f: Feistel, m: str, back: bool) -> str | None:
 
 def _iban(f: Feistel, m: str, back: bool) -> str | None:
     s = m.replace(" ", "")
-    if not 15 <= len(s) <= 34 or int("".join(IBAN_VALUES[c] for c in s[4:] + s[:4])) % 97 != 1:
+    if not 15 <= len(s) <= 34 or not IBAN_FORM.fullmatch(m) or int("".join(IBAN_VALUES[c] for c in s[4:] + s[:4])) % 97 != 1:
         return None
     body = f.string(f"iban{s[:2]}{len(s)}", s[4:], [DIGITS if c in DIGITS else ALPHABETS[2] for c in s[4:]], back)
     check = 98 - int("".join(IBAN_VALUES[c] for c in body + s[:2]) + "00") % 97
@@ -165,7 +175,8 @@ def _secret(f: Feistel, m: str, back: bool) -> str | None:
     alphabet = HEX_LOWER if m == m.lower() else HEX_UPPER
     if not (re.search("[0-9]", m) and re.search("[A-Fa-f]", m)) or any(c not in alphabet for c in m):
         return None
-    return f.string(f"hex{len(m)}{alphabet[-1]}", m, [alphabet] * len(m), back)
+    x = f.permute(f"hex{len(m)}{alphabet[-1]}", int(m, 16), 16 ** len(m), back)
+    return f"{x:0{len(m)}x}" if alphabet == HEX_LOWER else f"{x:0{len(m)}X}"
 
 
 def _email(f: Feistel, m: str, back: bool) -> str | None:
@@ -180,16 +191,24 @@ def _email(f: Feistel, m: str, back: bool) -> str | None:
     return "".join(next(it) if a else c for c, a in zip(name, at, strict=True)) + "@" + domain
 
 
+IBAN_FORM = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 #: Kind, pattern, what may not stand before it, and the permutation. Earlier kinds win where they overlap.
 KINDS: tuple[tuple[str, re.Pattern, re.Pattern, Callable], ...] = (
-    ("secret", re.compile(r"[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"), re.compile(r"[0-9A-Za-z]"), _secret),
-    ("iban", re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), re.compile(r"[A-Za-z0-9]"), _iban),
-    ("card", re.compile(r"\d(?:[ -]?\d){12,18}(?!\d)"), re.compile(r"[\d.]"), _card),
-    ("phone", re.compile(r"(?:\+1[ .-]?\(\d{3}\)|\+1[ .-]\d{3}|\(\d{3}\))[ .-]?\d{3}[.-]\d{4}(?!\d)"), re.compile(r"\d"), _phone),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"), re.compile(r"[0-9A-Za-z]"), _secret),
+    ("iban", re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9])*"), re.compile(r"[A-Za-z0-9]"), _iban),
+    ("phone", re.compile(r"(?:(?:\+1[ .-]?\(\d{3}\)|\+1[ .-]\d{3}|\(\d{3}\))[ .-]?\d{3}[ .-]\d{4}|\+1\d{10}|(?<![\d.-])\d{3}([ .-])\d{3}\1\d{4}(?!-\d))(?!\d)"), re.compile(r"\d"), _phone),
+    ("card", re.compile(r"\d(?:[ -]?\d){12,}"), re.compile(r"[\d.]"), _card),
     ("ssn", re.compile(r"\d{3}-\d{2}-\d{4}(?![\d-])"), re.compile(r"[\d-]"), _ssn),
     ("date", re.compile(r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d])"), re.compile(r"[\d./-]"), _date),
     ("ip", re.compile(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"), re.compile(r"[\d.]"), _ip),
 )
+#: Kinds whose pattern takes a run of groups, among which the value may have neighbours: a group, how the first one
+#: begins, least and most characters.
+GROUPED = {
+    "iban": (re.compile(r"[A-Z0-9]+"), re.compile(r"[A-Z]{2}\d{2}"), 15, 34),
+    "card": (re.compile(r"\d+"), re.compile(r"[2-6]"), 13, 19),
+}
+WORD = re.compile(r"[A-Za-z0-9]")
 EMAIL = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 NAME = re.compile(r"[\w.+%-]+\Z")
 LONGEST_NAME = 128
@@ -203,10 +222,36 @@ def spans(text: str | None, f: Feistel, back: bool = False) -> list[tuple[int, i
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
 
-    def put(a: int, b: int, kind: str, new: str | None) -> None:
-        if new is not None and not any(a < y and x < b for x, y in taken):
-            found.append((a, b, kind, new))
-            taken.append((a, b))
+    def put(a: int, b: int, kind: str, new: str | None) -> bool:
+        if new is None or any(a < y and x < b for x, y in taken):
+            return False
+        found.append((a, b, kind, new))
+        taken.append((a, b))
+        return True
+
+    def search(run: re.Match, kind: str, before: re.Pattern, change: Callable) -> None:
+        """The values in a run: from each group on the longest that is valid, then on from the group after it."""
+        group, first, least, most = GROUPED[kind]
+        groups = [g.span() for g in group.finditer(text, *run.span())]
+        if kind == "iban" and WORD.match(text, run.end()):
+            groups.pop()
+        i = 0
+        while i < len(groups):
+            a, size, ends, begin = groups[i][0], 0, [], i
+            i += 1
+            if not first.match(text, a) or a and before.match(text[a - 1]):
+                continue
+            for j in range(begin, len(groups)):
+                size += groups[j][1] - groups[j][0]
+                if size > most:
+                    break
+                if size >= least:
+                    ends.append(j)
+            for j in reversed(ends):
+                b = groups[j][1]
+                if put(a, b, kind, change(f, text[a:b], back)):
+                    i = j + 1
+                    break
 
     if "@" in text:
         for m in EMAIL.finditer(text):
@@ -216,7 +261,9 @@ def spans(text: str | None, f: Feistel, back: bool = False) -> list[tuple[int, i
                     put(a, m.end(), "email", _email(f, text[a : m.end()], back))
     for kind, pattern, before, change in KINDS:
         for m in pattern.finditer(text):
-            if not (m.start() and before.match(text[m.start() - 1])):
+            if kind in GROUPED:
+                search(m, kind, before, change)
+            elif not (m.start() and before.match(text[m.start() - 1])):
                 put(m.start(), m.end(), kind, change(f, m[0], back))
     return sorted(found)
 
