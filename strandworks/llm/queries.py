@@ -34,7 +34,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents"))
+    return remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=True)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,25 +57,24 @@ def sliding(x: np.ndarray, width: int, fold: np.ufunc) -> np.ndarray:
 def segments(data: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of windows of one text whose smallest anchor hash is the same.
 
-    Returns for each run: its first window, its number of windows, the anchor, a sum and the first of its windows'
-    hashes (equal runs have equal ones), and whether an anchor that stands twice may repeat a window inside it.
-    What is returned for a window depends on the window's bytes alone, so equal windows meet under one anchor.
+    Returns for each run: its first window, its number of windows, the anchor, and whether an anchor that stands
+    twice may repeat a window inside it. A window's anchor depends on the window's bytes alone, so equal windows meet
+    under one anchor.
     """
     parts = []
     for at in range(0, len(data) - width + 1, BLOCK):
         block = data[at : at + BLOCK + width - 1]
-        grams, windows = rolling(block, (gram, width))
+        (grams,) = rolling(block, (gram,))
         least = sliding(grams, width - gram + 1, np.minimum)
         new = np.concatenate([[True], least[1:] != least[:-1]])
         first = np.nonzero(new)[0]
         length = np.diff(np.append(first, len(least)))
         anchor = least[first]
-        total = np.add.reduceat(mix(windows + np.uint64(BASE)), first)
         held = sliding(np.concatenate([np.zeros(width - gram, np.uint64), least, np.zeros(width - gram, np.uint64)]), width - gram + 1, np.maximum)
         chosen = grams[grams == held]
         value, count = np.unique(chosen, return_counts=True)
         again = np.isin(anchor, value[count > 1])
-        parts.append((first + at, length, anchor, total, windows[first], again))
+        parts.append((first + at, length, anchor, again))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -163,6 +162,29 @@ def merge_transforms(orders: list[np.ndarray], before: list[np.ndarray], ends: l
     return flat[places()], begins
 
 
+def _told_apart(data: np.ndarray, size: int, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The ranks of the strings of ``size`` bytes at the given places, with strings of one hash but different bytes
+    told apart. ``rank``: the rank of the hash at each of those places."""
+    if not len(at):
+        return rank
+    first = np.full(int(rank.max()) + 1, -1, np.int64)
+    first[rank[::-1]] = at[::-1]
+    twin = first[rank]
+    if size >= 8:
+        words = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,))
+        same = np.ones(len(at), bool)
+        for j in (*range(0, size - 8, 8), size - 8):
+            same &= words[at + j] == words[twin + j]
+    else:
+        same = np.logical_and.reduce([data[at + j] == data[twin + j] for j in range(size)])
+    if same.all():
+        return rank
+    out, names = rank.copy(), {}
+    for i in np.nonzero(np.isin(rank, rank[~same]))[0].tolist():
+        out[i] = names.setdefault((int(rank[i]), data[at[i] : at[i] + size].tobytes()), len(first) + len(names))
+    return out
+
+
 def merged_repeats(runs: list[bytes], width: int, step: int, shard_bytes: int = SHARD) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the run, starts, ends) of the bytes covered by windows that stand more than once in the runs.
 
@@ -196,7 +218,7 @@ def merged_repeats(runs: list[bytes], width: int, step: int, shard_bytes: int =
     run = owner[at]
     chained = np.zeros(len(at), bool)  # the next position continues the string
     chained[:-1] = (at[1:] == at[:-1] + step) & (run[1:] == run[:-1])
-    symbol, symbols = _rank(rank[at])
+    symbol, symbols = _rank(_told_apart(data, step, at, rank[at]))
     shard = first[run] // max(1, min(shard_bytes, len(data) // 2))
     cuts = np.concatenate([[0], np.nonzero(np.diff(shard))[0] + 1, [len(at)]])
     orders, before, ends, suffixes = [], [], [], []

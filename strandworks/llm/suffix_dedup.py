@@ -6,6 +6,9 @@ whose windows are all the same as another run's are repeated as a whole. The oth
 suffix-sorted: shards of runs get their own suffix order and Burrows-Wheeler transform over symbols of STEP bytes;
 the transforms are merged by refining an interleave symbol by symbol. Where neighbours in the merged order begin to
 differ gives their common prefix, and intervals that agree for WIDTH bytes are the repeated windows.
+
+Nothing is removed on a rolling hash alone: those only bring candidates together. Whole runs, and windows under very
+common anchors, are equal if their 128-bit BLAKE2 digests are; symbols of the transforms are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -26,24 +29,32 @@ from strandworks.llm.repeats import merged_repeats, rolling, segments
 WIDTH, STEP = 400, 50
 #: Bytes of the runs whose transforms are merged in one go, at least one anchor's.
 BUCKET = 2 << 20
-#: Different runs under one anchor beyond which its windows are dealt by their own hashes instead.
+#: Different runs under one anchor beyond which its windows are dealt by their own digests instead. Both ways give the
+#: same result; the second one spreads a very common anchor over many tasks.
 MANY = 4000
-NO_ID = -(1 << 63)
+RUNS = "kid long, th long, a int, n int, anchor long, content binary, again boolean"
+
+
+def digest(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _runs(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
+            contents: list[bytes] = []
             for kid, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.as_buffer()
                 if raw is None or raw.size < width:
                     continue
-                first, length, anchor, total, head, again = segments(np.frombuffer(raw, np.uint8), width, gram)
-                n = len(first)
-                out.append((np.full(n, kid), np.full(n, th), first.astype(np.int32), length.astype(np.int32), anchor.view(np.int64), (total ^ (head * np.uint64(0xFF51AFD7ED558CCD))).view(np.int64), again))
+                first, length, anchor, again = segments(np.frombuffer(raw, np.uint8), width, gram)
+                n, view = len(first), memoryview(raw)
+                contents += [digest(view[a:b]) for a, b in zip(first.tolist(), (first + length + width - 1).tolist(), strict=True)]
+                out.append((np.full(n, kid), np.full(n, th), first.astype(np.int32), length.astype(np.int32), anchor.view(np.int64), again))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["kid", "th", "a", "n", "anchor", "content", "again"])
+                kid, th, first, length, anchor, again = (pa.array(np.concatenate(x)) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([kid, th, first, length, anchor, pa.array(contents, pa.binary()), again], names=["kid", "th", "a", "n", "anchor", "content", "again"])
 
     return run
 
@@ -54,25 +65,27 @@ SLICES = pa.schema([("key", pa.int64()), ("kid", pa.int64()), ("th", pa.int64())
 def _slices(width: int):
     """The bytes of the runs that are to be compared, under their anchor; a row of the input is a text and its runs.
 
-    Of a run under a very common anchor, each window goes under its own hash with a second hash as its bytes.
+    Of a run under a very common anchor, each window goes under its own hash with its digest as its bytes. Repeated
+    rows of one text are read once.
     """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SLICES, strict=True)], schema=SLICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
             for kid, th, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                if not runs:
+                if not runs or (kid, th) in done:
                     continue
+                done.add((kid, th))
                 raw = memoryview(text.as_buffer())
                 for r in runs:
                     piece = raw[r["a"] : r["a"] + r["n"] + width - 1]
                     if r["many"]:
-                        half, whole = rolling(np.frombuffer(piece, np.uint8), (width // 2, width))
-                        second = half[: len(whole)] ^ (half[width - width // 2 :][: len(whole)] << np.uint64(1))
-                        rows += [(h, kid, th, r["a"] + i, r["target"], True, x.tobytes()) for i, (h, x) in enumerate(zip(whole.view(np.int64).tolist(), second, strict=True))]
+                        (whole,) = rolling(np.frombuffer(piece, np.uint8), (width,))
+                        rows += [(h, kid, th, r["a"] + i, r["target"], True, digest(piece[i : i + width])) for i, h in enumerate(whole.view(np.int64).tolist())]
                     else:
                         rows.append((r["anchor"], kid, th, r["a"], r["target"], False, bytes(piece)))
                     if len(rows) >= 2000:
@@ -134,7 +147,7 @@ def repeated_ranges(texts: DataFrame, width: int = WIDTH, step: int = STEP, gram
 
     ``texts``: kid and th (together the key of a text) and text.
     """
-    runs = stored(texts.mapInArrow(_runs(width, gram), "kid long, th long, a int, n int, anchor long, content long, again boolean"))
+    runs = stored(texts.mapInArrow(_runs(width, gram), RUNS))
     seen = runs.groupBy("anchor").agg(F.count("*").alias("total"), F.max("again").alias("again")).where((F.col("total") > 1) | F.col("again")).select("anchor")
     live = cut(runs.join(seen, "anchor", "left_semi"))
     contents = live.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("kid", "th", "a", "n")).alias("one"))
@@ -163,33 +176,37 @@ def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, step: int = STEP, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Each text without the bytes covered by strings of ``width`` bytes that also start elsewhere.
 
-    Texts are UTF-8 bytes; strings never cross texts and are judged on the input. Returns for every row: the id,
-    ``n_bytes``, ``n_removed``, ``n_spans`` (maximal runs of removed bytes), ``kept_sha256`` and, if asked for,
-    ``kept`` (binary). Null and empty texts have no bytes. Repeated rows are copies of each other, so their strings
-    are repeated; rows of one id may hold different texts. A null id is allowed. ``width`` is a multiple of ``step``.
+    Texts are UTF-8 bytes; strings never cross texts and are judged on the input. Returns for every row: the id (of
+    any type), ``n_bytes``, ``n_removed``, ``n_spans`` (maximal runs of removed bytes), ``kept_sha256`` and, if asked
+    for, ``text``: what is kept as a string, without the parts of a character that a removal cuts in two.
+
+    Null and empty texts, and texts shorter than ``width``, lose nothing; an empty table gives no rows. Repeated rows
+    are copies of each other, so their strings are repeated; rows of one id may hold different texts. A null id is
+    allowed. Further columns are ignored. ``width`` is a multiple of ``step``.
     """
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("kid"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    # both joins below read this one exchange: the texts are shuffled once
+    # the two hashes only name a text: rows that share both have the same text and lose the same bytes
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("kid"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     ranges = repeated_ranges(texts.select("kid", "th", "text"), width, step)
-    by_text = ranges.groupBy("kid", "th").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    by_text = ranges.groupBy("kid", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    fields = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("text", T.StringType())]
+    out = T.StructType(fields if keep_text else fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for kid, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = memoryview(text.as_buffer() or b"")
                 spans = union_of([(r["s"], r["e"]) for r in ranges or []])
-                digest, at, kept = hashlib.sha256(), 0, []
+                sha, at, kept = hashlib.sha256(), 0, []
                 for s, e in [*spans, (len(raw), len(raw))]:
-                    digest.update(raw[at:s])
+                    sha.update(raw[at:s])
                     if keep_text:
-                        kept.append(bytes(raw[at:s]))
+                        kept.append(raw[at:s])
                     at = e
-                rows.append((None if kid == NO_ID else kid, len(raw), sum(e - s for s, e in spans), len(spans), digest.hexdigest(), b"".join(kept)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            arrays = [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays[: 6 if keep_text else 5], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if keep_text else 5])
+                rows.append((len(raw), sum(e - s for s, e in spans), len(spans), sha.hexdigest(), *([b"".join(kept).decode("utf-8", "ignore")] if keep_text else [])))
+            columns = list(zip(*rows, strict=True)) or [[]] * (len(out) - 1)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=out.names)  # noqa: B905
 
-    out = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if keep_text else [])])
-    return texts.select("kid", "th", "text").join(by_text, ["kid", "th"], "left").select("kid", "text", "ranges").mapInArrow(run, out)
+    return texts.join(by_text, ["kid", "th"], "left").select("id", "text", "ranges").mapInArrow(run, out)

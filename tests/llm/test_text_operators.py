@@ -77,15 +77,41 @@ def test_packing(spark):
 @pytest.mark.parametrize("limits", [(64, 4, 64), (50, 100, 20), (64, 2, 10)])
 def test_packing_limits(limits):
     random.seed(2)
-    items = [packing.Item(i, 0, bytes(4 * random.randint(1, 120)), 0) for i in range(200)]
-    for item in items:
-        item.loss = random.randint(0, item.tokens)
+    items = []
+    for i in range(200):
+        n = random.randint(1, 120)
+        items.append(packing.Item(i, 0, bytes(4 * n), (random.randint(0, n), n)))
     done = packing.pack_items(items, limits)
     assert sum(s.tokens for s in done) == sum(i.tokens for i in items)
     assert sum(s.loss for s in done) == sum(i.loss for i in items)
     assert all(s.tokens <= limits[0] and len(s.pieces) <= limits[1] and s.loss <= limits[2] for s in done)
 
 
+def test_packing_ids_are_the_library_s():
+    ids, tokenizer = packing.Ids(BYTES), Tokenizer.from_file(BYTES)
+    assert ids.merges is not None
+    random.seed(11)
+    every = "".join(chr(c) for c in [*range(0xD800), *range(0xE000, 0x2FA20, 7)])
+    odd = [" " * 150_000, "a" * 20_000, "x\n \t" * 3000, " " * 90_000 + "x", "<|endoftext|> a <|endoftext|>", "it's we'LL 'tis'", every, "\x1c \x85 \u180e\u2028"]
+    for t in [*odd, *(t for _, t, *_ in texts(seed=12) if t)]:
+        assert ids.of(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_prompts_bear_no_loss(spark):
+    rows = [(i, " word" * (20 + i % 50), " ask" * (i % 90)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, prompt string")
+    got = packing.pack(docs, BYTES, (128, 3, 60), prompt_col="prompt").collect()
+    asked = {i: i % 90 for i, *_ in rows}
+    used = collections.defaultdict(lambda: [0, 0, 0])
+    for r in got:
+        loss = max(0, min(r.start + r.length, r.doc_tokens - 1) - max(r.start, asked[r.doc_id]))
+        for k, x in enumerate((r.length, 1, loss)):
+            used[r.sequence_id][k] += x
+    assert sum(r.length for r in got) == sum(20 + i % 50 + i % 90 + 1 for i, *_ in rows)
+    assert all(x[0] <= 128 and x[1] <= 3 and x[2] <= 60 for x in used.values())
+    assert all(any(x[k] == m for x in used.values()) for k, m in ((1, 3), (2, 60)))  # segments and loss both bind
+
+
 def test_mixing(spark):
     rows = [*texts(), *[(1000 + i, "same size text", "en", "hot") for i in range(5000)]]
     got = mixing.mix(table(spark, rows)).collect()
@@ -238,9 +264,27 @@ def test_suffix_dedup(spark, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "MANY", many)
         got = [tuple(r) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+    named = spark.createDataFrame([(f"d{i}", t) for i, t in docs], "doc_id string, text string")
+    kept = suffix_dedup.remove_repeats(named, keep_text=True).collect()
+    assert sorted((r.doc_id, *r[1:5]) for r in kept) == sorted((f"d{x[0]}", *x[1:]) for x in want)
+    assert all(len(r.text.encode()) <= r.n_bytes - r.n_removed for r in kept)
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_many_equal_rows(spark):
+    random.seed(6)
+    long = "".join(random.choice("abcdefgh ") for _ in range(3000))
+    rows = [(1, long, None, None)] * 3000 + [(2, "x" + long[100:900] + "y", None, None), (3, long[:399], None, None)]
+    got = collections.Counter((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect())
+    assert got == {(1, 3000, 1): 3000, (2, 800, 1): 1, (3, 0, 0): 1}
+
+
+def test_merged_repeats_despite_equal_hashes(monkeypatch):
+    full = repeats.rolling
+    monkeypatch.setattr(repeats, "rolling", lambda data, sizes: [x % np.uint64(5) for x in full(data, sizes)])
+    test_merged_repeats()
+
+
 def test_merged_repeats():
     random.seed(5)
     for trial in range(120):
