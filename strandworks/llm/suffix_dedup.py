@@ -145,19 +145,20 @@ def _merge(width: int, step: int):
 def repeated_ranges(texts: DataFrame, width: int = WIDTH, step: int = STEP, gram: int = 32) -> DataFrame:
     """``kid``, ``th``, ``s``, ``e``: byte ranges covered by repeated windows; they may overlap.
 
-    ``texts``: kid and th (together the key of a text) and text.
+    ``texts``: kid and th (together the key of a text), text, and what else the caller keeps beside a text.
     """
-    runs = stored(texts.mapInArrow(_runs(width, gram), RUNS))
+    runs = stored(texts.select("kid", "th", "text").mapInArrow(_runs(width, gram), RUNS))
     seen = runs.groupBy("anchor").agg(F.count("*").alias("total"), F.max("again").alias("again")).where((F.col("total") > 1) | F.col("again")).select("anchor")
     live = cut(runs.join(seen, "anchor", "left_semi"))
-    contents = live.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("kid", "th", "a", "n")).alias("one"))
+    # on its own, so that the join with a very common anchor's number of runs can be split
+    contents = cut(live.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.max("again").alias("again"), F.min(F.struct("kid", "th", "a", "n")).alias("one")))
     variants = contents.groupBy("anchor").agg(F.count("*").alias("variants"))
     judged = cut(contents.join(variants, "anchor").where((F.col("copies") > 1) | (F.col("variants") > 1) | F.col("again")))
     whole = live.join(judged.where(F.col("copies") > 1).select("anchor", "content"), ["anchor", "content"], "left_semi").select("kid", "th", F.col("a").alias("s"), (F.col("a") + F.col("n") + width - 1).alias("e"))
 
     work = judged.where((F.col("variants") > 1) | F.col("again") & (F.col("copies") == 1)).select("one.*", F.struct(F.col("one.a").alias("a"), F.col("one.n").alias("n"), "anchor", (F.col("copies") == 1).alias("target"), (F.col("variants") > MANY).alias("many")).alias("r"))
     by_text = work.groupBy("kid", "th").agg(F.collect_list("r").alias("runs"))
-    slices = texts.join(by_text, ["kid", "th"], "left").select("kid", "th", "text", "runs").mapInArrow(_slices(width), "key long, kid long, th long, a int, target boolean, many boolean, bytes binary")
+    slices = texts.join(by_text, ["kid", "th"], "left").select("kid", "th", "text", "runs", *(c for c in texts.columns if c not in ("kid", "th", "text"))).mapInArrow(_slices(width), "key long, kid long, th long, a int, target boolean, many boolean, bytes binary")
     merged = slices.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_merge(width, step), "kid long, th long, s int, e int")
     return whole.unionByName(merged)
 
@@ -187,7 +188,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, step: int = STEP, id_col
     bounded_batches(docs.sparkSession)
     # the two hashes only name a text: rows that share both have the same text and lose the same bytes
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("kid"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(texts.select("kid", "th", "text"), width, step)
+    # all columns go through both joins, so that they read one exchange: the texts are shuffled once
+    ranges = repeated_ranges(texts, width, step)
     by_text = ranges.groupBy("kid", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
     fields = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("text", T.StringType())]
     out = T.StructType(fields if keep_text else fields[:-1])
