@@ -75,8 +75,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def is_train(doc_id: str, modulus: int, held: int) -> F.Column:
-    """Whether a document's checksum lets its labels be learned from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus != held
+    """Whether a document's checksum lets its labels be learned from; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus != held
 
 
 def sample_of(df: DataFrame, group: str, share: dict, most: int) -> DataFrame:

@@ -16,20 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from strandworks.llm.common import bounded_batches, cut, sample_of, worker_state
+from strandworks.llm.common import bounded_batches, sample_of, worker_state
 
 UNDETERMINED = "und"
 #: Labelled rows of a language that the model is fitted on (those with the smallest hash of id).
 FIT_ROWS = 1500
-#: Words and n-grams of a language that the model keeps, the most frequent first.
-FIT_TERMS = 30_000
 LONGEST_GRAM = 4
-#: Words that a worker remembers.
+#: Words that a worker remembers, and the longest it remembers; longer ones are scored anew each time.
 CACHE_ENTRIES = 500_000
 CACHE_CHARS = 48
 #: How much one word can say: posterior odds stay below certainty on short texts.
@@ -60,9 +58,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, counts in found.items():
             grams: list[Counter] = [Counter() for _ in range(LONGEST_GRAM + 1)]
             for word, n in counts.items():
-                rows.append((lang, 0, word[:CACHE_CHARS], n))
+                rows.append((lang, 0, word, n))
                 for k in range(1, LONGEST_GRAM + 1):
-                    for g in grams_of(word[:CACHE_CHARS], k):
+                    for g in grams_of(word, k):
                         grams[k][g] += n
             rows += [(lang, k, g, n) for k in range(1, LONGEST_GRAM + 1) for g, n in grams[k].items()]
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -88,7 +86,7 @@ class Model:
 
         From left to right, each place takes the longest known n-gram, down to single characters.
         """
-        padded, grams = f"^{word[:CACHE_CHARS]}$", self.grams
+        padded, grams = f"^{word}$", self.grams
         rows, at, used = [], 0, 0
         while at < len(padded):
             for k in range(LONGEST_GRAM, 0, -1):
@@ -136,44 +134,51 @@ class Scorer(dict):
             return UNDETERMINED, 0.0
         if self.used > CACHE_ENTRIES + len(self.model.words):
             self.reset()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.scores[rows].sum(axis=0) * FLOOR
+        short = words if len(max(words, key=len)) <= CACHE_CHARS else [w for w in words if len(w) <= CACHE_CHARS or w in self]
+        rows = np.fromiter(map(self.__getitem__, short), np.int64, len(short))
+        total = self.scores[rows].sum(axis=0)
+        if len(short) < len(words):
+            total = total + sum(n * self.model.backoff(w) for w, n in Counter(w for w in words if len(w) > CACHE_CHARS and w not in self).items())
+        total = total * FLOOR
         best = int(np.argmax(total))  # ties go to the first language by code point
         return self.model.langs[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
-def fit(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most FIT_ROWS rows of each language, counted in Spark; the result's size is bounded by FIT_TERMS."""
+def fit(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
+    """Fit on at most ``fit_rows`` rows of each language, counted in Spark over their whole texts.
+
+    The sample's size bounds the model: all words and n-grams of the sample are in it, however long or rare. Rows whose
+    text or language is null are not learned from; where two rows share a hash of their id, either may be taken.
+    """
     bounded_batches(docs.sparkSession)
     labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = {r["lang"]: min(1.0, 1.2 * FIT_ROWS / r["count"]) for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # a row for each language
-    sample = sample_of(labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")), "lang", share, FIT_ROWS)
+    share = {r["lang"]: min(1.0, 1.2 * fit_rows / r["count"]) for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # a row for each language
+    sample = sample_of(labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")), "lang", share, fit_rows)
     counts = sample.select("text", "lang").mapInArrow(_terms, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
-    ranked = cut(counts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term"))).where(F.col("r") <= FIT_TERMS))
-    rows = ranked.select("lang", "kind", "term", "n").collect()  # at most FIT_TERMS of each kind and language
-    langs = tuple(sorted({x.lang for x in rows}))
-    place = {x: i for i, x in enumerate(langs)}
-    words, grams = {}, {}
-    found: dict[int, dict[str, np.ndarray]] = {k: {} for k in range(LONGEST_GRAM + 1)}
-    for x in sorted(rows, key=lambda x: (x.kind, x.term)):
-        found[x.kind].setdefault(x.term, np.zeros(len(langs)))[place[x.lang]] = x.n
-    scores = {}
-    for kind, table in found.items():
-        every = np.array(list(table.values())).reshape(len(table), len(langs))
-        log = np.log((every + 0.5) / (every.sum(axis=0) + 0.5 * max(1, len(table))))
+    terms = counts.toArrow().sort_by([("kind", "ascending"), ("term", "ascending")])  # those of at most fit_rows texts of each language
+    langs = tuple(sorted(terms["lang"].unique().to_pylist()))
+    words, grams, scores = {}, {}, {}
+    for kind in range(LONGEST_GRAM + 1):
+        part = terms.filter(pc.equal(terms["kind"], kind)).combine_chunks()
+        found = pc.unique(part["term"])
+        every = np.zeros((len(found), len(langs)))
+        every[pc.index_in(part["term"], found).to_numpy(), pc.index_in(part["lang"], pa.array(langs, pa.string())).to_numpy()] = part["n"].to_numpy()
+        log = np.log((every + 0.5) / (every.sum(axis=0) + 0.5 * max(1, len(found))))
         log -= log.mean(axis=1, keepdims=True) if len(langs) else 0
         scores[kind] = np.clip(log, -MOST_ODDS, MOST_ODDS) * max(kind, 1)
         target = grams if kind else words
-        target.update({t: len(target) + i for i, t in enumerate(table)})
+        target.update(zip(found.to_pylist(), range(len(target), len(target) + len(found))))
     grams_score = np.concatenate([scores[k] for k in range(1, LONGEST_GRAM + 1)])
     return Model(uuid.uuid4().hex, langs, words, scores[0], grams, grams_score)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``lang_pred`` and ``score`` (the posterior of that language) for every row of ``docs``.
 
     Null texts and texts without a letter are ``und`` with score 0. Ties go to the first language by code point.
-    Repeated rows stay; the columns in ``keep`` (by default the id) are carried along, others are dropped.
+    Words of any length count with all their characters. Repeated rows stay and an empty table gives no rows; the
+    columns in ``keep`` (by default the id) are carried along under any name, others are dropped, and ``prefix`` goes
+    before the names of the two new columns.
     """
     bounded_batches(docs.sparkSession)
     keep = [id_col] if keep is None else keep
@@ -183,7 +188,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         scorer = worker_state(("language ID", shared.value.key), lambda: Scorer(shared.value))
         for batch in batches:
             found = [scorer.score(x.as_py()) for x in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[f.name for f in out.fields])
 
-    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(score, out)
+    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
+    return docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text")).mapInArrow(score, out)
