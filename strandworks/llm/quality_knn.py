@@ -32,24 +32,23 @@ WORDS, SHAPES, LATENT, NEIGHBOURS = 512, 512, 48, 25
 TRAITS, TRAIT_WEIGHT = 4, 6.0
 #: Power of the similarity that weights a vote.
 SHARPNESS = 4
-#: Words that a worker remembers.
+#: Words that a worker remembers, and the longest it remembers.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 TRAIT = (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+"))
 
 
 def shape(word: str) -> str:
     """Runs of capitals, small letters and digits become one sign each; other characters stay."""
-    out = word[:CACHE_CHARS]
     for mark, pattern in zip("Aa0", TRAIT, strict=True):
-        out = pattern.sub(mark, out)
-    return out[:8]
+        word = pattern.sub(mark, word)
+    return word
 
 
 class Features(dict):
     """Packed bucket numbers (word, shape) by word."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        plain = word[:CACHE_CHARS].lower().strip(".,;:!?").encode("utf-8", "surrogatepass")
+        plain = word.lower().strip(".,;:!?").encode("utf-8", "surrogatepass")
         found = (zlib.crc32(plain) % WORDS, WORDS + zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPES)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
@@ -85,7 +84,7 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Voters:
-    """The broadcast model: at most 2 * FIT_ROWS vectors of LATENT numbers."""
+    """The broadcast model: at most ``fit_rows`` vectors of LATENT numbers for each label."""
 
     weight: np.ndarray
     basis: np.ndarray
@@ -104,53 +103,56 @@ class Voters:
         out = np.empty(len(texts))
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), block):
-            x = self.latent(features(texts[at : at + block])).astype(np.float32)
-            near = x @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(x), 1))
-            w = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(float) ** SHARPNESS
+            near = self.latent(features(texts[at : at + block])) @ self.vectors.T
+            near = np.round(near, 9)  # equal vectors are equally near, whatever the order of their sums
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            w = np.where(near >= least[:, None], np.maximum(near, 0) ** SHARPNESS, 0)
             total = w.sum(axis=1)
-            out[at : at + block] = np.where(total > 0, (w * self.labels[top]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
+            out[at : at + block] = np.where(total > 0, w @ self.labels / np.where(total > 0, total, 1), self.prior)
         return np.clip(out, 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Voters:
-    """Fit on at most FIT_ROWS rows of each label; weights and basis come from that sample alone.
+def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Voters:
+    """Fit on at most ``fit_rows`` ids of each label; weights and basis come from that sample alone.
 
-    Rows with a null label or text are not learned from; if an id is labelled twice, the higher label counts.
+    Rows with a null id, label or text are not learned from. If an id is labelled twice, the higher label counts; if
+    it has several texts, the first of them in order is learned from, so an id is one voter.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).withColumn("h", F.xxhash64("id"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    some = sample_of(known, "label", {k: min(1.0, 1.2 * FIT_ROWS / n) for k, n in counts.items()}, FIT_ROWS)
-    chosen = some.select("id", "label")  # at most FIT_ROWS rows of each label
+    some = sample_of(known, "label", {k: min(1.0, 1.2 * fit_rows / n) for k, n in counts.items()}, fit_rows)
+    chosen = some.select("id", "label")  # at most fit_rows rows of each label
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").select("label", "text")
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.float16).tobytes() for x in rows], pa.binary())], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in rows], pa.binary())], names=["label", "x"])
 
-    found = sample.mapInArrow(run, "label int, x binary").orderBy("label", "x").limit(4 * FIT_ROWS).collect()
+    found = sorted((r.label, r.x) for r in sample.mapInArrow(run, "label int, x binary").collect())  # a row for each id of the sample
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if not found:
-        return Voters(np.ones(1), np.ones((1, 1)), np.zeros((0, 1), np.float32), np.zeros(0), prior)
-    x = np.array([np.frombuffer(r.x, np.float16) for r in found]).astype(float)
+        return Voters(np.ones(1), np.ones((1, 1)), np.zeros((0, 1)), np.zeros(0), prior)
+    x = np.array([np.frombuffer(r, np.float32) for _, r in found]).astype(float)
     weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.3
     weight[WORDS + SHAPES :] = TRAIT_WEIGHT
     scaled = x * weight
     values, vectors = np.linalg.eigh(scaled.T @ scaled)
     basis = vectors[:, ::-1][:, : min(LATENT, len(x))]
-    voters = Voters(weight, basis, np.zeros((0, 1), np.float32), np.array([r.label for r in found], float), prior)
-    return Voters(weight, basis, voters.latent(x).astype(np.float32), voters.labels, prior)
+    voters = Voters(weight, basis, np.zeros((0, 1)), np.array([label for label, _ in found], float), prior)
+    return Voters(weight, basis, voters.latent(x), voters.labels, prior)
 
 
 def vote(docs: DataFrame, voters: Voters, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from the threshold on) of every row.
 
-    Null and empty texts have no neighbours: their score is the share of label 1 among the labels learned from.
-    Repeated rows stay; other columns are dropped. Nothing is shuffled.
+    The NEIGHBOURS nearest vote, and all that are as near as the last of them. Null and empty texts have no
+    neighbours: their score is the share of label 1 among the labels learned from. Words of any length count with all
+    their characters. Repeated rows stay and get one score; an empty table gives no rows; a null id stays null; other
+    columns are dropped. Nothing is shuffled.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(voters)
