@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from strandworks.llm.common import bounded_batches, worker_state
 
 ROUNDS = 8
-#: Days that dates are permuted among.
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: First and last days of the spans within which dates are permuted: usual dates stay usual ones, all others stay dates.
+DAYS = tuple((datetime.date(a, 1, 1).toordinal(), datetime.date(b, 12, 31).toordinal()) for a, b in ((1900, 2099), (1, 1899), (2100, 9999)))
 #: Alphabets within which a character stays; fixed values.
 DIGITS = "0123456789"
 HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
@@ -147,12 +148,11 @@ def _date(f: Feistel, m: str, back: bool) -> str | None:
             day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
         except ValueError:
             continue
-        if not FIRST_DAY <= day <= LAST_DAY:
-            continue
-        x, new = day - FIRST_DAY, None
+        number, (first, last) = next((i, span) for i, span in enumerate(DAYS) if span[0] <= day <= span[1])
+        x, new = day - first, None
         while new is None or (order == (2, 0, 1) and new.day <= 12):  # else it would read as day first
-            x = f.permute(f"date{mark}{order}", x, LAST_DAY - FIRST_DAY + 1, back)
-            new = datetime.date.fromordinal(FIRST_DAY + x)
+            x = f.permute(f"date{mark}{order}{number or ''}", x, last - first + 1, back)
+            new = datetime.date.fromordinal(first + x)
         out = ["", "", ""]
         for i, (at, value) in enumerate(zip(order, (new.year, new.month, new.day), strict=True)):
             out[at] = f"{value:04d}" if i == 0 else f"{value:02d}"
@@ -179,6 +179,26 @@ def _secret(f: Feistel, m: str, back: bool) -> str | None:
     return f"{x:0{len(m)}x}" if alphabet == HEX_LOWER else f"{x:0{len(m)}X}"
 
 
+def _international(f: Feistel, m: str, back: bool) -> str | None:
+    """A number of 8 to 15 digits after a plus sign; its first group (at most three digits) is the country's and stays."""
+    d = "".join(c for c in m if c in DIGITS)
+    lead = re.match(r"\d+", m[1:])
+    keep = len(lead[0]) if lead and len(lead[0]) <= 3 else 2
+    if not 8 <= len(d) <= 15 or d[0] == "0":
+        return None
+    return "+" + _spread(m[1:], d[:keep] + f.string(f"phone+{d[:keep]}", d[keep:], [DIGITS] * (len(d) - keep), back))
+
+
+def _token(f: Feistel, m: str, back: bool) -> str | None:
+    """An access key: its published prefix stays, every other character stays within its kind."""
+    lead = TOKEN_LEAD.match(m).end()
+    at = [next((a for a in ALPHABETS[:3] if c in a), "") for c in m[lead:]]
+    inside = [(c, a) for c, a in zip(m[lead:], at, strict=True) if a]
+    form = "".join(str(ALPHABETS.index(a)) if a else c for c, a in zip(m[lead:], at, strict=True))
+    it = iter(f.string(f"token{m[:lead]}{form}", "".join(c for c, _ in inside), [a for _, a in inside], back))
+    return m[:lead] + "".join(next(it) if a else c for c, a in zip(m[lead:], at, strict=True))
+
+
 def _email(f: Feistel, m: str, back: bool) -> str | None:
     """The part before the sign, by the kind of each character; the domain stays."""
     name, _, domain = m.rpartition("@")
@@ -191,12 +211,16 @@ def _email(f: Feistel, m: str, back: bool) -> str | None:
     return "".join(next(it) if a else c for c, a in zip(name, at, strict=True)) + "@" + domain
 
 
+#: Published prefixes of access keys; fixed values.
+TOKEN_LEAD = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|AIza")
 IBAN_FORM = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 #: Kind, pattern, what may not stand before it, and the permutation. Earlier kinds win where they overlap.
 KINDS: tuple[tuple[str, re.Pattern, re.Pattern, Callable], ...] = (
     ("secret", re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"), re.compile(r"[0-9A-Za-z]"), _secret),
+    ("token", re.compile(r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9_-]{32,}+|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"), re.compile(r"[0-9A-Za-z_-]"), _token),
     ("iban", re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9])*"), re.compile(r"[A-Za-z0-9]"), _iban),
     ("phone", re.compile(r"(?:(?:\+1[ .-]?\(\d{3}\)|\+1[ .-]\d{3}|\(\d{3}\))[ .-]?\d{3}[ .-]\d{4}|\+1\d{10}|(?<![\d.-])\d{3}([ .-])\d{3}\1\d{4}(?!-\d))(?!\d)"), re.compile(r"\d"), _phone),
+    ("international", re.compile(r"\+[1-9]\d{0,2}(?:[ .-]?\(0?\d{1,4}\)|[ .-]?\d{1,4}){2,6}(?!\d)"), re.compile(r"[\d+]"), _international),
     ("card", re.compile(r"\d(?:[ -]?\d){12,}"), re.compile(r"[\d.]"), _card),
     ("ssn", re.compile(r"\d{3}-\d{2}-\d{4}(?![\d-])"), re.compile(r"[\d-]"), _ssn),
     ("date", re.compile(r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d])"), re.compile(r"[\d./-]"), _date),
@@ -209,24 +233,23 @@ GROUPED = {
     "card": (re.compile(r"\d+"), re.compile(r"[2-6]"), 13, 19),
 }
 WORD = re.compile(r"[A-Za-z0-9]")
-EMAIL = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
-NAME = re.compile(r"[\w.+%-]+\Z")
-LONGEST_NAME = 128
-ANY = re.compile(r"[\d@]|[0-9A-Fa-f]{32}")
+EMAIL = re.compile(r"(?<![\w.+%-])([\w.+%-]++)@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+ANY = re.compile(r"[\d@]|[0-9A-Fa-f]{32}|AIza|AKIA|ASIA|gh[pousr]_|_pat_|glpat-|xox[abprs]-|sk[_-]")
 
 
 def spans(text: str | None, f: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of what is replaced in a text, in order and without overlaps."""
     if not text or not ANY.search(text):
         return []
-    found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order; they never overlap
 
     def put(a: int, b: int, kind: str, new: str | None) -> bool:
-        if new is None or any(a < y and x < b for x, y in taken):
+        if new is None:
+            return False
+        i = bisect_left(found, (a,))
+        if i and found[i - 1][1] > a or i < len(found) and found[i][0] < b:
             return False
-        found.append((a, b, kind, new))
-        taken.append((a, b))
+        found.insert(i, (a, b, kind, new))
         return True
 
     def search(run: re.Match, kind: str, before: re.Pattern, change: Callable) -> None:
@@ -255,17 +278,16 @@ def spans(text: str | None, f: Feistel, back: bool = False) -> list[tuple[int, i
 
     if "@" in text:
         for m in EMAIL.finditer(text):
-            if name := NAME.search(text[max(0, m.start() - LONGEST_NAME) : m.start()]):
-                a = m.start() - len(name[0].lstrip(".-%"))
-                if a < m.start():
-                    put(a, m.end(), "email", _email(f, text[a : m.end()], back))
+            a = m.end(1) - len(m[1].lstrip(".-%"))
+            if a < m.end(1):
+                put(a, m.end(), "email", _email(f, text[a : m.end()], back))
     for kind, pattern, before, change in KINDS:
         for m in pattern.finditer(text):
             if kind in GROUPED:
                 search(m, kind, before, change)
             elif not (m.start() and before.match(text[m.start() - 1])):
                 put(m.start(), m.end(), kind, change(f, m[0], back))
-    return sorted(found)
+    return found
 
 
 def replace(text: str | None, f: Feistel, back: bool = False) -> tuple[str | None, int]:
@@ -280,11 +302,12 @@ def replace(text: str | None, f: Feistel, back: bool = False) -> tuple[str | Non
     return "".join([*out, text[at:]]), len(held)
 
 
-def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Every row with its text's personal data replaced, and ``n_replaced``.
 
-    Columns: ``keep`` (by default the id), the text under its own name, ``n_replaced``. Null texts stay null, empty
-    ones empty, both with 0; repeated rows stay and get the same pseudonyms. Nothing is shuffled; the key is a
+    Columns: ``keep`` (by default the id, under any names), the text under its own name, and ``n_replaced`` behind
+    ``prefix``. Null texts stay null, empty ones empty, both with 0; repeated rows stay and get the same pseudonyms; an
+    empty table gives no rows. Texts and the values in them may have any length. Nothing is shuffled; the key is a
     parameter and is never written out.
     """
     bounded_batches(docs.sparkSession)
@@ -294,7 +317,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         f = worker_state(("pseudonyms", key), lambda: Feistel(key))
         for batch in batches:
             done = [replace(x.as_py(), f) for x in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=[*keep, text_col, "n_replaced"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=out.names)
 
-    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField(text_col, T.StringType()), T.StructField("n_replaced", T.LongType())])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, out)
+    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField(text_col, T.StringType()), T.StructField(f"{prefix}n_replaced", T.LongType())])
+    return docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("__text")).mapInArrow(run, out)
