@@ -4,7 +4,9 @@ Candidates are dealt by descending length into packed blocks. All vectors are ro
 Gram matrix (the right singular vectors of the table), so that the first coordinates hold most of a product. For a
 query q, a block is left out if |q| times its longest vector cannot reach q's k-th score so far; a candidate is left
 out if its partial sum plus the product of the residual lengths (Cauchy-Schwarz) cannot. Survivors get the exact
-integer product. A first pass over the longest block gives each query the score to beat.
+integer product. Blocks are searched in bands, the longest first and each band larger than those before it; a band's
+results raise the scores to beat, and before a band is shuffled each block of queries keeps only the candidate blocks
+that are long enough for one of its queries.
 """
 
 from __future__ import annotations
@@ -28,18 +30,24 @@ STAGES = (0.125, 0.25, 0.5)
 SLACK = 1e-9
 #: Products below this are exact in double precision.
 EXACT = 2.0**52
+#: Length from which integer vectors take no part.
+LONGEST = 2.0**31
+#: How many times as many blocks a band has as those before it, and the blocks whose lengths are looked at to choose them.
+GROWTH, LOOKED_AT = 3, 1000
 PACKED = "block long, most double, n int, dim int, ids binary, data binary"
 
 
 def integer_vectors(table: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id`` and ``v`` = floor(scale * x) of the vectors that take part.
+    """``id`` and ``v`` = floor(scale * x) of the vectors that take part; a row for each row.
 
-    Null vectors and ids, and vectors that hold null or non-finite components, take no part. Rows of one id are one
-    vector (the smallest), so a repeated row is not a second candidate.
+    Null vectors and ids, and vectors that hold null or non-finite components, take no part; nor do vectors whose
+    integers have a length of 2^31 or more, as their products may not fit a long.
     """
     wide = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return table.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), wide.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(LONGEST / scale)))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    rows = table.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), wide.alias("v"))
+    return rows.withColumn("norm", square).where(F.col("norm") < F.lit(LONGEST**2))
 
 
 def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -142,8 +150,30 @@ def search_block(qids: np.ndarray, q: np.ndarray, beat: np.ndarray, cids: np.nda
     return out
 
 
-def _search(candidates: DataFrame, queries: DataFrame, beat: DataFrame | None, rotation, k: int, spark) -> DataFrame:
-    """Every pair of a candidate block and a query block in a task of its own."""
+def _long_enough(queries: DataFrame, candidates: DataFrame, first: int, last: int) -> DataFrame:
+    """``c`` and ``q``: the pairs of a candidate block from ``first`` to ``last`` and a query block that may matter.
+
+    Blocks stand in order of falling length, so a query block needs those before the first that is too short for all
+    its queries. The lengths of LOOKED_AT evenly spaced blocks tell where that is; only they reach the driver.
+    """
+    step = max(1, (last - first + 1) // LOOKED_AT)
+    marks = candidates.where(F.col("block").between(first, last) & ((F.col("block") - first) % step == 0)).select("block", "most").orderBy("block").collect()
+    at, most = [int(x.block) for x in marks], [float(x.most) for x in marks]
+    schema = "q long, upto long"
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = []
+            for need in batch.column(1).to_pylist():
+                short = int(np.searchsorted(-np.array(most), -need, side="right"))  # the first mark below what is needed
+                ends.append(at[short] if short < len(at) else last + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, pa.int64())], names=["q", "upto"])
+
+    return queries.select("block", "need").mapInArrow(reach, schema).where(F.col("upto") > first).select("q", F.explode(F.sequence(F.lit(first).cast("long"), F.col("upto") - 1)).alias("c"))
+
+
+def _search(candidates: DataFrame, queries: DataFrame, first: int, last: int, rotation, k: int) -> DataFrame:
+    """Every needed pair of a candidate block and a query block in a task of its own. ``queries`` hold their lows."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple[int, int, int]] = []
@@ -154,27 +184,24 @@ def _search(candidates: DataFrame, queries: DataFrame, beat: DataFrame | None, r
             rows = search_block(qids, q, lows, cids, c, rotation.value, k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    queries = queries.withColumn("lows", F.lit(None).cast("binary")) if beat is None else queries.join(beat, "block", "left")
-    first, last = candidates.agg(F.min("block"), F.max("block")).collect()[0]
-    if first is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score long")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(queries.count() - 1).cast("long")))
-    left = candidates.withColumnRenamed("block", "c").withColumn("q", every)
-    right = queries.withColumnRenamed("block", "q").withColumn("c", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))  # keys of both sides have one type, as they are hashed
+    pairs = cut(_long_enough(queries, candidates, first, last))
+    left = candidates.withColumnRenamed("block", "c").join(pairs, "c")
+    right = queries.withColumnRenamed("block", "q").join(pairs, "q")
     return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(run, "query_id long, vec_id long, score long")
 
 
 def top_k(table: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k highest integer inner products with all other rows; ties go to the smaller id.
 
-    ``is_query`` is a condition on the column ``id``. Vectors become floor(scale * x); see :func:`integer_vectors` for the rows that take no part. Shorter vectors end
-    in zeros. A query never finds its own id. Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; fewer
-    rows if there are fewer candidates, none for an empty table. The query set meets all rows block by block; a
-    block pair is one group, so no task and not the driver holds more than two blocks.
+    ``is_query`` is a condition on the column ``id``. Vectors become floor(scale * x); see :func:`integer_vectors` for
+    the rows that take no part. Shorter vectors end in zeros. Every row is a candidate, also where rows share an id,
+    but rows of the query's own id are not; if several rows of an id ask, their pairs are ranked together. Returns
+    ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; fewer rows if there are fewer candidates, none for an
+    empty table. Blocks of queries meet blocks of rows; a pair of blocks is one group, so no task and not the driver
+    holds more than two blocks.
     """
     spark = table.sparkSession
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    vectors = cut(integer_vectors(table, scale, id_col, vector_col).withColumn("q", F.coalesce(is_query, F.lit(False))).withColumn("norm", norm))
+    vectors = cut(integer_vectors(table, scale, id_col, vector_col).withColumn("q", F.coalesce(is_query, F.lit(False))))
     dim = vectors.agg(F.max(F.size("v"))).collect()[0][0]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not dim or dim < 1:
@@ -186,26 +213,35 @@ def top_k(table: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256, id
     candidates = _packed(ordered, dim, BLOCK)
     if not queries.take(1):
         return empty
-    head = cut(_search(candidates.where(F.col("block") == 0), queries, None, rotation, k, spark))
-    ranked = head.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") == k)
-    beat = _lows(queries, ranked)
-    rest = _search(candidates.where(F.col("block") > 0), queries, beat, rotation, k, spark)
+    blocks = candidates.count()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return head.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found, first, width = None, 0, 1
+    while first < blocks:
+        last = min(blocks, first + width) - 1
+        asked = queries.withColumn("lows", F.lit(None).cast("binary")).withColumn("need", F.lit(float("-inf"))) if found is None else queries.join(_lows(queries, found.where(F.col("rank") == k)), "block", "left")
+        new = _search(candidates, asked, first, last, rotation, k)
+        every = new if found is None else found.drop("rank").unionByName(new)
+        found = cut(every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        first, width = last + 1, GROWTH * (last + 1)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def _lows(queries: DataFrame, ranked: DataFrame) -> DataFrame:
-    """The score to beat of each query, packed in the order of its block."""
+    """The score to beat of each query, packed in the order of its block, and ``need``: the length below which no
+    candidate can reach the score to beat of any of them."""
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block)), pa.array(held), pa.array(np.arange(len(held)), pa.int32())], names=["block", "query_id", "at"])
+            for block, ids, data, n, dim in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                size = np.linalg.norm(np.frombuffer(data, np.int64).reshape(n, dim).astype(float), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.frombuffer(ids, np.int64)), pa.array(size), pa.array(np.arange(n), pa.int32())], names=["block", "query_id", "size", "at"])
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        low = group.sort_values("at")["score"].astype(float).fillna(-np.inf).to_numpy()
-        return pd.DataFrame({"block": [key[0]], "lows": [low.tobytes()]})
-
-    named = queries.select("block", "ids").mapInArrow(ids, "block long, query_id long, at int")
-    return named.join(ranked.select("query_id", "score"), "query_id", "left").groupBy("block").applyInPandas(pack, "block long, lows binary")
+        group = group.sort_values("at")
+        low = group["score"].astype(float).fillna(-np.inf).to_numpy()
+        size = group["size"].to_numpy()
+        need = np.where(low > 0, low * (1 - 1e-9) / np.where(size > 0, size, 1), -np.inf)  # rounding must not lose a tie
+        return pd.DataFrame({"block": [key[0]], "lows": [low.tobytes()], "need": [float(need.min())]})
+
+    named = queries.select("block", "ids", "data", "n", "dim").mapInArrow(unpack, "block long, query_id long, size double, at int")
+    return named.join(ranked.select("query_id", "score"), "query_id", "left").groupBy("block").applyInPandas(pack, "block long, lows binary, need double")

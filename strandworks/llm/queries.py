@@ -90,7 +90,8 @@ WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
     FROM embeddings
     WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(CAST(x AS DOUBLE)) >= 8388608)) = 0
+      AND coalesce(list_sum(list_transform(embedding, lambda x: pow(floor(256 * CAST(x AS DOUBLE)), 2))), 0) < pow(2.0, 62)),
 p AS (
     SELECT q.vec_id AS query_id, c.vec_id,
            CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
