@@ -28,6 +28,8 @@ SHARE, MOST = 1.5, 2.0
 KNAPSACK = 16_384
 #: Documents of one length that are ranked in one group.
 GROUP = 2_000
+#: Rows up to which a table of counts is broadcast; a larger one is shuffled.
+BROADCAST = 300_000
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,9 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     """How many documents of each length (ascending) to take for a budget of words: the even share, then the rest.
 
     The rest is below one document of each length. Single documents, the longest first, bring it down to the size
-    of the knapsack; the knapsack fits what is left.
+    of the knapsack; the knapsack fits what is left and comes as near to it as any choice of the documents then spare.
+    As it may take any of those of at most twice what is left, the sum ends within half the shortest spare length of
+    the budget.
     """
     whole = int(np.dot(lengths, counts))
     if budget <= 0 or not whole:
@@ -116,23 +120,26 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return taken
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """How many words the mix takes of every row, with its source's size and target.
 
-    Returns the id (and the columns in ``keep``), ``size`` (words of the whole text; null: 0), ``source_size``,
-    ``target`` and ``taken``: 0, ``size`` or twice ``size``. Sources go by code point, a null source last and on its
-    own. Rows are chosen by a seeded hash of id and source, ties by id; repeated rows count one by one. Rows
-    without words take nothing. Only the table of sources reaches the driver; the histogram of one source is
-    one group of bounded size (its distinct lengths), and rows of one length are ranked in groups of about GROUP.
+    Returns the id (or the columns in ``keep``, under any names; rows are drawn by the first of them), and behind
+    ``prefix`` ``size`` (words of the whole text; null: 0), ``source_size``, ``target`` and ``taken``: 0, ``size`` or
+    twice ``size``. Sources go by code point, a null source last and on its own. Rows are chosen by a seeded hash of
+    id and source, ties by the columns kept; repeated rows count one by one. Rows without words take nothing and take
+    no part in any join; an empty table gives no rows. Only the table of sources reaches the driver; the histogram of
+    one source is one group of bounded size (its distinct lengths), and rows of one length are ranked in groups of
+    about GROUP.
     """
     if most != int(most) or most < 1:
         raise ValueError("a source repeats a whole number of times at most")
     keep = [id_col] if keep is None else keep
-    rows = cut(docs.select(*keep, F.col(source_col).alias("__source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    counted = cut(rows.groupBy("__source", "size").agg(F.count("*").alias("n")))
-    found = targets([(x[0], x[1]) for x in counted.groupBy("__source").agg(F.sum(F.col("size") * F.col("n"))).collect()], weights, share, most)
+    kept = [f"__keep{i}" for i in range(len(keep))]
+    rows = cut(docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    counted = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    found = targets([(x[0], x[1]) for x in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n"))).collect()], weights, share, most)
     spark = docs.sparkSession
-    table = spark.createDataFrame([(x.name, x.size, x.target, min(int(x.target // x.size), int(most)) if x.size else 0) for x in found], "__source string, source_size long, target double, epochs int")
+    table = spark.createDataFrame([(x.name, x.size, x.target, min(int(x.target // x.size), int(most)) if x.size else 0) for x in found], "source string, source_size long, target double, epochs int")
     budgets = {x.name: round(x.target) - x.size * (min(int(x.target // x.size), int(most)) if x.size else 0) for x in found}
     shared = spark.sparkContext.broadcast(budgets)
 
@@ -140,22 +147,29 @@ def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, shar
         name = key[0] if isinstance(key[0], str) else None
         group = group.sort_values("size")
         taken = fit_counts(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), shared.value.get(name, 0))
-        return pd.DataFrame({"s": name, "size": group["size"], "n": group["n"], "quota": taken}).astype({"s": object})
+        return pd.DataFrame({"source": name, "size": group["size"], "n": group["n"], "quota": taken}).astype({"source": object})
 
-    chosen = cut(counted.where(F.col("size") > 0).groupBy("__source").applyInPandas(choose, "s string, size long, n long, quota long"))
-    draw = F.xxhash64(F.lit(seed), F.col(keep[0]), F.col("__source"))
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """An inner join in which null keys are equal; every row of the left side has its match."""
+        right = right.withColumnsRenamed({c: f"__{c}" for c in on})
+        few = F.broadcast(right) if right.count() <= BROADCAST else right
+        return left.join(few, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]).drop(*(f"__{c}" for c in on))
+
+    chosen = cut(counted.where(F.col("size") > 0).groupBy("source").applyInPandas(choose, "source string, size long, n long, quota long"))
+    draw = F.xxhash64(F.lit(seed), F.col(kept[0]), F.col("source"))
     parts = F.ceil(F.col("n") / GROUP)
-    fraction = (F.shiftrightunsigned(draw, 11).cast("double") / F.lit(float(1 << 53)))
-    dealt = rows.join(chosen, rows["__source"].eqNullSafe(chosen["s"]) & (rows["size"] == chosen["size"]), "left").select(rows["*"], "s", "n", "quota").withColumn("draw", draw).withColumn("part", F.coalesce(F.least(F.floor(fraction * parts), parts - 1), F.lit(0)))
+    fraction = F.shiftrightunsigned("draw", 11).cast("double") / F.lit(float(1 << 53))
+    dealt = joined(rows.where(F.col("size") > 0), chosen, ["source", "size"]).withColumn("draw", draw).withColumn("part", F.least(F.floor(fraction * parts), parts - 1))
     # how many rows the parts before each part hold, from counts alone
-    fill = dealt.where(F.col("quota") > 0).groupBy("s", "size", "part").agg(F.count("*").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("s", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fill = fill.withColumn("before", before).select(F.col("s").alias("s2"), F.col("size").alias("size2"), F.col("part").alias("part2"), "m", "before")
-    ranked = dealt.join(fill, dealt["s"].eqNullSafe(fill["s2"]) & (dealt["size"] == fill["size2"]) & (dealt["part"] == fill["part2"]), "left")
+    counts = dealt.groupBy("source", "size", "part").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = joined(dealt, cut(counts.withColumn("before", before)), ["source", "size", "part"])
     # only the part in which the quota ends is ranked; the others are in or out as a whole
-    ends = F.coalesce((F.col("before") < F.col("quota")) & (F.col("quota") < F.col("before") + F.col("m")), F.lit(False))
-    whole = ranked.where(~ends).withColumn("extra", F.coalesce(F.col("before") + F.col("m") <= F.col("quota"), F.lit(False)).cast("long"))
-    order = Window.partitionBy("__source", "size", "part").orderBy("draw", *keep)
+    ends = (F.col("before") < F.col("quota")) & (F.col("quota") < F.col("before") + F.col("m"))
+    whole = ranked.where(~ends).withColumn("extra", (F.col("before") + F.col("m") <= F.col("quota")).cast("long"))
+    order = Window.partitionBy("source", "size", "part").orderBy("draw", *kept)
     part = ranked.where(ends).withColumn("extra", (F.col("before") + F.row_number().over(order) <= F.col("quota")).cast("long"))
-    out = whole.unionByName(part).join(F.broadcast(table.withColumnRenamed("__source", "s3")), F.col("__source").eqNullSafe(F.col("s3")), "left")
-    return out.select(*keep, "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("extra"))).alias("taken"))
+    columns = [*kept, "source", "size", "extra"]
+    every = whole.select(*columns).unionByName(part.select(*columns)).unionByName(rows.where(F.col("size") == 0).withColumn("extra", F.lit(0).cast("long")).select(*columns))
+    out = joined(every, table, ["source"])
+    return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), F.col("size").alias(f"{prefix}size"), F.col("source_size").alias(f"{prefix}source_size"), F.col("target").alias(f"{prefix}target"), (F.col("size") * (F.col("epochs") + F.col("extra"))).alias(f"{prefix}taken"))
