@@ -6,8 +6,12 @@ word lies within two bits of its codeword, six otherwise. Two words that differ
 as the word between them is one flip from both.
 
 A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. If two fingerprints differ in at most three bits,
-some two of the three segments differ in at most two bits together (the three pairs of segments count each error
-twice), so the pair of keys of those two segments is shared. Rows are joined on it and verified exactly.
+either some segment is equal, and one of them has a next segment that differs in at most two bits; or each segment
+differs in exactly one bit. In the first case the equal segment and a codeword index of the next one are a shared key.
+In the second one a shared key has the codeword indices of two segments (one row's own index of the first and the other
+row's own index of the second: each is an index one flip away for the other row), the half of the third segment that
+is equal, and whether the segments' parities agree, which single errors in all of them leave as it is. A row has about
+50 keys of some 35 bits. Rows are joined on them and verified exactly.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from strandworks.operators.graph import connected_components
 SEED = 42
 #: (lowest bit, number of bits) of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: (lowest bit, number of bits) of the halves of the last segment.
+HALVES = ((0, 10), (10, 11))
 #: Generator polynomial of the code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 #: Fingerprints that share a key beyond which a group is compared in blocks instead of by a join, and the block's size.
@@ -109,21 +114,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())]))
 
 
+def keys_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of unsigned 64-bit fingerprints, and the place of the fingerprint that each belongs to."""
+    parts = [(words >> np.uint64(low) & np.uint64((1 << size) - 1)).astype(np.int64) for low, size in SEGMENTS]
+    near = [fuzzy_keys(x) for x in parts]
+    first = [_firsts(x) for x in near]
+    keys, owners = [], []
+
+    def put(tag: int, key: np.ndarray, on: np.ndarray) -> None:
+        keys.append((tag << 48) | key[on])
+        owners.append(np.nonzero(on)[0])
+
+    for i in range(3):
+        j = (i + 1) % 3
+        put(i, parts[i][:, None] << 12 | near[j], first[j])
+    parity = [np.bitwise_count(x).astype(np.int64) & 1 for x in parts]
+    signs = ((parity[0] ^ parity[1]) << 1 | (parity[0] ^ parity[2]))[:, None]
+    other = first[0].copy()
+    other[:, 0] = False  # the pair of both own indices is among those before
+    for k, (low, size) in enumerate(HALVES):
+        rest = (parts[2] >> low & ((1 << size) - 1))[:, None] << 2 | signs
+        put(3 + k, (near[0][:, :1] << 12 | near[1]) << 13 | rest, first[1])
+        put(3 + k, (near[0] << 12 | near[1][:, :1]) << 13 | rest, other)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         every = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(every), 512):
-            fp = every[at : at + 512]
-            words = fp.view(np.uint64)
-            parts = [fuzzy_keys((words >> np.uint64(low) & np.uint64((1 << size) - 1)).astype(np.int64)) for low, size in SEGMENTS]
-            first = [_firsts(x) for x in parts]
-            owners, keys = [], []
-            for k, (i, j) in enumerate(PAIRS):
-                on = first[i][:, :, None] & first[j][:, None, :]
-                key = (k << 24) | (parts[i][:, :, None] << 12) | parts[j][:, None, :]
-                owners.append(np.nonzero(on)[0])
-                keys.append(key[on])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(fp[np.concatenate(owners)])], names=["k", "fp"])
+        for at in range(0, len(every), 4096):
+            fp = every[at : at + 4096]
+            keys, owners = keys_of(fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[owners])], names=["k", "fp"])
 
 
 def _firsts(keys: np.ndarray) -> np.ndarray:
@@ -136,34 +158,31 @@ def _firsts(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """Links that connect what is connected between two blocks (or in one): a spanning forest of the close pairs."""
+def _forest(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is connected between two blocks (or in one): each fingerprint and its group's least.
+
+    Groups are merged by whole arrays: the roots of all close pairs of a strip at once, until none differ.
+    """
     nodes, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
     a, b = inverse[: len(left)], inverse[len(left) :]
     root = np.arange(len(nodes))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out: tuple[list[int], list[int]] = ([], [])
     ours, theirs = left.view(np.uint64), right.view(np.uint64)
     for at in range(0, len(ours), 256):
-        near = np.bitwise_count(ours[at : at + 256, None] ^ theirs[None, :]) <= bits
-        for i, row in enumerate(near):
-            for j in np.nonzero(row)[0]:
-                x, y = find(a[at + i]), find(b[j])
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    out[0].append(int(left[at + i]))
-                    out[1].append(int(right[j]))
-    return out
+        i, j = np.nonzero(np.bitwise_count(ours[at : at + 256, None] ^ theirs[None, :]) <= bits)
+        x, y = a[at + i], b[j]
+        while len(x):
+            rx, ry = root[x], root[y]
+            apart = rx != ry
+            x, y = x[apart], y[apart]
+            np.minimum.at(root, np.maximum(rx, ry)[apart], np.minimum(rx, ry)[apart])
+            while not np.array_equal(up := root[root], root):
+                root = up
+    linked = root != np.arange(len(nodes))
+    return nodes[linked], nodes[root[linked]]
 
 
 def links(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
-    """Pairs (a, b) of different fingerprints that connect all that differ in at most ``bits`` bits.
+    """Pairs (a, b) of different fingerprints, so that their components are those of all that differ in at most ``bits`` bits.
 
     ``prints``: distinct fingerprints, column ``fp``. Every close pair shares a key; small groups are joined and
     verified in the join, large ones are cut into blocks and each pair of blocks yields a spanning forest, so no
@@ -172,7 +191,7 @@ def links(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     if not 0 <= bits <= MOST_BITS:
         raise ValueError(f"the keys are complete for up to {MOST_BITS} bits")
     spark = prints.sparkSession
-    keyed = cut(prints.select("fp").mapInArrow(_keys, "k int, fp long"))
+    keyed = cut(prints.select("fp").mapInArrow(_keys, "k long, fp long"))
     large = cut(keyed.groupBy("k").count().where(F.col("count") > LARGE_GROUP))
     small = keyed.join(large, "k", "left_anti")
     other = small.select("k", F.col("fp").alias("fp2"))
@@ -191,7 +210,7 @@ def links(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
             fp = group["fp"].to_numpy()
             left, right = np.sort(fp[own == key[1]]), np.sort(fp[own == key[2]])
         a, b = _forest(left, right, bits)
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return pd.DataFrame({"a": a, "b": b})
 
     blocked = dealt.repartition(partitions(spark), "k", "i", "j").groupBy("k", "i", "j").applyInPandas(compare, "a long, b long")
     return joined.unionByName(blocked)
@@ -201,7 +220,8 @@ def near_duplicates(docs: DataFrame, bits: int = MOST_BITS, words: int = 3, id_c
     """``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable) of every row.
 
     Equal fingerprints are one node, so groups of copies cost one row each before any join. Null and empty texts
-    have fingerprint zero and are linked like others; a null id takes no part in the minimum. Repeated rows stay.
+    have fingerprint zero and are linked like others; a null id takes no part in the minimum. Repeated rows stay; an
+    empty table gives no rows; further columns are ignored. Texts may have any length.
     """
     prints = cut(fingerprints(docs, id_col, text_col, words))
     nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
