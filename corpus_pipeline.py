@@ -24,33 +24,40 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+#: What a stage's own columns begin with, so that no column of the documents has their name.
+OWN = "__stage_"
+
+
+def own(docs: DataFrame) -> list[F.Column]:
+    """The columns of the documents, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; null texts and texts without a letter go."""
-    found = identify(docs, fit(docs, is_train("doc_id", 3, 1)), keep=docs.columns)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = identify(docs, fit(docs, is_train("doc_id", 3, 1)), keep=docs.columns, prefix=OWN)
+    return found.where((F.col(OWN + "lang_pred") != UNDETERMINED) & (F.col(OWN + "score") >= LEAST_SCORE)).select(*own(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity of five-word shingles 0.8 or more): the one with the
     smallest id; repeated rows are one."""
-    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("th")))
-    kept = near_copies(keyed, id_col="__key").select(F.col("component_id").alias("__key")).distinct()
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    keyed = docs.withColumn(OWN + "key", F.struct("doc_id", F.xxhash64("text").alias("th")))
+    kept = near_copies(keyed, id_col=OWN + "key").select(F.col("component_id").alias(OWN + "key")).distinct()
+    return keyed.join(kept, OWN + "key", "left_semi").dropDuplicates([OWN + "key"]).select(*own(docs))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by pseudonyms of the same format and length."""
     rest = [c for c in docs.columns if c != "text"]
-    return pseudonymise(docs, PSEUDONYM_KEY, keep=rest).select(*docs.columns)
+    return pseudonymise(docs, PSEUDONYM_KEY, keep=rest, prefix=OWN).select(*own(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: never, once or twice."""
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    taken = mix(keyed, keep=["doc_id", "__th"]).where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__th2")).agg((F.sum("taken") / F.max("size")).cast("int").alias("__times"))
-    once = keyed.dropDuplicates(["doc_id", "__th"])
-    repeated = once.join(taken, once["doc_id"].eqNullSafe(F.col("__id")) & (once["__th"] == F.col("__th2")))
-    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    mixed = mix(docs, keep=["doc_id", *(c for c in docs.columns if c != "doc_id")], prefix=OWN)
+    times = F.when(F.col(OWN + "size") > 0, F.col(OWN + "taken") / F.col(OWN + "size")).otherwise(0).cast("int")
+    return mixed.where(F.col(OWN + "taken") > 0).withColumn(OWN + "copy", F.explode(F.sequence(F.lit(1), times))).select(*own(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
