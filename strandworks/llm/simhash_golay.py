@@ -38,8 +38,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 HALVES = ((0, 10), (10, 11))
 #: Generator polynomial of the code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
-#: Fingerprints that share a key beyond which a group is compared in blocks instead of by a join, and the block's size.
-LARGE_GROUP, BLOCK = 48, 2048
+#: Fingerprints that share a key beyond which they are compared in blocks of this size, each pair of blocks a task.
+BLOCK = 2048
 #: Distance beyond which the keys are no longer complete.
 MOST_BITS = 3
 
@@ -181,22 +181,52 @@ def _forest(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray,
     return nodes[linked], nodes[root[linked]]
 
 
+def _group_links(bits: int):
+    """Links within each key's fingerprints, for mapInArrow on rows (k, fp) sorted by k: fewer than a group has rows."""
+
+    def linked(k: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        starts = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0]
+        sizes = np.diff(np.append(starts, len(k)))
+        two = starts[sizes == 2]
+        left, right = fp[two], fp[two + 1]
+        near = np.bitwise_count(left.view(np.uint64) ^ right.view(np.uint64)) <= bits
+        found = [(left[near], right[near])]
+        for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            group = np.sort(fp[at : at + n])
+            found.append(_forest(group, group, bits))
+        pairs = np.unique(np.column_stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                k, fp = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((k, fp)))
+                last = int(np.searchsorted(k, k[-1]))
+                if last:
+                    yield linked(k[:last], fp[:last])
+                k, fp = k[last:], fp[last:]
+        if len(k):
+            yield linked(k, fp)
+
+    return run
+
+
 def links(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     """Pairs (a, b) of different fingerprints, so that their components are those of all that differ in at most ``bits`` bits.
 
-    ``prints``: distinct fingerprints, column ``fp``. Every close pair shares a key; small groups are joined and
-    verified in the join, large ones are cut into blocks and each pair of blocks yields a spanning forest, so no
-    group is gathered in one task and links grow with the rows, not with their square.
+    ``prints``: distinct fingerprints, column ``fp``. Every close pair shares a key. The fingerprints of a key are
+    compared with one another and yield a spanning forest, not their pairs; keys with more than a block of them are
+    cut into blocks and each pair of blocks yields one. So no group is gathered in one task, and links grow with the
+    rows, not with their square.
     """
     if not 0 <= bits <= MOST_BITS:
         raise ValueError(f"the keys are complete for up to {MOST_BITS} bits")
     spark = prints.sparkSession
     keyed = cut(prints.select("fp").mapInArrow(_keys, "k long, fp long"))
-    large = cut(keyed.groupBy("k").count().where(F.col("count") > LARGE_GROUP))
-    small = keyed.join(large, "k", "left_anti")
-    other = small.select("k", F.col("fp").alias("fp2"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= bits
-    joined = small.join(other, (small["k"] == other["k"]) & (F.col("fp") < F.col("fp2")) & near).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    large = cut(keyed.groupBy("k").count().where(F.col("count") > BLOCK))
+    small = keyed.join(large, "k", "left_anti").repartition(partitions(spark), "k").sortWithinPartitions("k")
+    joined = small.mapInArrow(_group_links(bits), "a long, b long").distinct()
 
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     held = keyed.join(large, "k").withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
