@@ -199,7 +199,6 @@ def test_simhash(spark):
 
 
 def test_links_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(simhash_golay, "LARGE_GROUP", 8)
     monkeypatch.setattr(simhash_golay, "BLOCK", 16)
     random.seed(6)
     centre = random.getrandbits(64)
