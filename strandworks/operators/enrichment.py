@@ -22,11 +22,11 @@ def ora(query: DataFrame, sets: DataFrame, universe: DataFrame, least: int = 10,
     spark = query.sparkSession
     space = universe.select("gene").distinct()
     size = space.count()
-    members = sets.select("library", "term", "gene").distinct().join(F.broadcast(space), "gene", "left_semi")
+    members = sets.select("library", "term", "gene").distinct().join(space, "gene", "left_semi")
     gated = members.groupBy("library", "term").agg(F.count("*").alias("set_size")).where(F.col("set_size").between(least, most))
-    asked = query.select("direction", "gene").distinct().join(F.broadcast(space), "gene", "left_semi")
+    asked = query.select("direction", "gene").distinct().join(space, "gene", "left_semi")
     n = asked.groupBy("direction").agg(F.count("*").alias("query_size"))
-    over = members.join(F.broadcast(asked), "gene").groupBy("direction", "library", "term").agg(F.count("*").alias("overlap"), F.array_join(F.array_sort(F.collect_set(F.col("gene").cast("string"))), ";").alias("genes"))
+    over = members.join(asked, "gene").groupBy("direction", "library", "term").agg(F.count("*").alias("overlap"), F.array_join(F.array_sort(F.collect_set(F.col("gene").cast("string"))), ";").alias("genes"))
     found = over.join(gated, ["library", "term"]).join(F.broadcast(n), "direction")
     table = F.broadcast(log_factorials(spark, size).agg(F.array_sort(F.collect_list(F.struct("k", "lf"))).alias("t")).select(F.transform("t", lambda x: x["lf"]).alias("lf")))
 

@@ -187,7 +187,7 @@ def batch_center(matrix: DataFrame, batches: DataFrame) -> DataFrame:
     """
     n = batches.select("sample").distinct().count()
     full = matrix.where(F.col("value").isNotNull()).groupBy("gene").agg(F.count_distinct("sample").alias("n")).where(F.col("n") == n).select("gene")
-    placed = matrix.join(full, "gene", "left_semi").join(F.broadcast(batches), "sample")
+    placed = matrix.join(full, "gene", "left_semi").join(batches, "sample")
     return placed.select("gene", "sample", "batch", (F.col("value") - F.avg("value").over(Window.partitionBy("batch", "gene"))).alias("value"))
 
 
@@ -202,7 +202,7 @@ def signature_score(z: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``sets``: set, gene and sign (1 or -1) or weight; with a weight column the score is the weighted sum.
     """
-    held = z.join(F.broadcast(sets), "gene")
+    held = z.join(sets, "gene")
     if "weight" in sets.columns:
         return held.groupBy("sample", "set").agg(F.sum(F.col("z") * F.col("weight")).alias("score"), F.count("z").alias("matched"))
     up, down = F.avg(F.when(F.col("sign") > 0, F.col("z"))), F.avg(F.when(F.col("sign") < 0, F.col("z")))
@@ -218,7 +218,7 @@ def pseudobulk(counts: DataFrame, cells: DataFrame, genes: DataFrame | None = No
     """
     held = counts.join(cells, "cell")
     totals = held.groupBy("cell").agg(F.sum("count").alias("total"))
-    asked = held if genes is None else held.join(F.broadcast(genes), "gene", "left_semi")
+    asked = held if genes is None else held.join(genes, "gene", "left_semi")
     once = asked.groupBy("biopsy", "cell", "gene").agg(F.sum("count").alias("count")).join(totals, "cell")
     sums = once.groupBy("biopsy", "gene").agg(F.sum(F.log2(F.col("count") / F.col("total") * 1e6 + 1)).alias("s"))
     n = cells.groupBy("biopsy").agg(F.count_distinct("cell").alias("n_cells")).where(F.col("n_cells") >= least_cells)

@@ -97,8 +97,7 @@ def svm_rfe(df: DataFrame, genes: list[str], keep: int = 1, share: float = 0.0,
         data = vectors(df, left)
         w = LinearSVC(regParam=1.0 / (n * c), maxIter=rounds, standardization=False).fit(data).coefficients.toArray()
         order = sorted(range(len(left)), key=lambda i: (w[i] ** 2, left[i]))
-        drop = {left[i] for i in order[: max(1, int(share * len(left)))]}
-        drop = set(list(drop)[: len(left) - keep]) if len(left) - len(drop) < keep else drop
+        drop = {left[i] for i in order[: min(max(1, int(share * len(left))), len(left) - keep)]}
         gone += [left[i] for i in order if left[i] in drop]
         left = [g for g in left if g not in drop]
     return [*left, *reversed(gone)]
@@ -120,12 +119,26 @@ def svm_rfe_cv(df: DataFrame, genes: list[str], most: int, k: int = 5, seed: int
     return df.sparkSession.createDataFrame([(n, h / total, n == best) for n, h in hits.items()], "k int, accuracy double, best boolean")
 
 
+def placed(df: DataFrame, name: str, *order) -> DataFrame:
+    """Adds each row's place (from 1) in an order, without a window over all rows: rows are sorted by ranges, and a
+    place is that within its range and the number of rows in the ranges before."""
+    parts = df.withColumn("__o", F.struct(*order)).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__o").withColumn("__p", F.spark_partition_id()).checkpoint(eager=True)
+    counts = sorted((r["__p"], r["count"]) for r in parts.groupBy("__p").count().collect())  # a row for each partition
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    before = F.coalesce(*(F.when(F.col("__p") == part, F.lit(n)) for part, n in starts), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy("__o"))
+    return parts.withColumn(name, (own + before).cast("long")).drop("__o", "__p")
+
+
 def shadows(df: DataFrame, genes: list[str], seed: int) -> DataFrame:
     """Adds a permuted copy of each gene column: one draw for all columns of a gene, by joining on a random order."""
-    place = df.withColumn("__i", F.row_number().over(Window.orderBy("id")))
+    place = placed(df, "__i", "id")
     copies = place
     for j, g in enumerate(genes):
-        mixed = place.select(F.col(g).alias(f"shadow_{g}"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.lit(j), "id"))).alias("__i"))
+        mixed = placed(df.select("id", F.col(g).alias(f"shadow_{g}")), "__i", F.xxhash64(F.lit(seed), F.lit(j), "id"), "id").drop("id")
         copies = copies.join(mixed, "__i")
     return copies.drop("__i")
 
@@ -183,11 +196,11 @@ def permutation_importance(df: DataFrame, genes: list[str], repeats: int = 10, r
     """(gene, importance, sd): the fall of the AUC of boosted trees when one column is permuted."""
     model = GBTClassifier(maxIter=rounds, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, seed=seed).fit(vectors(df, genes))
     base = auc(model.transform(vectors(df, genes)).select("id", "y", vector_to_array("probability")[1].alias("p"))).collect()[0][0]
-    place = df.withColumn("__i", F.row_number().over(Window.orderBy("id"))).persist()
+    place = placed(df, "__i", "id")
     parts = []
     for j, g in enumerate(genes):
         for r in range(repeats):
-            mixed = place.select(F.col(g).alias("__x"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + r), F.lit(j), "id"))).alias("__i"))
+            mixed = placed(df.select("id", F.col(g).alias("__x")), "__i", F.xxhash64(F.lit(seed + r), F.lit(j), "id"), "id").drop("id")
             shuffled = place.drop(g).join(mixed, "__i").withColumnRenamed("__x", g)
             parts.append(model.transform(vectors(shuffled, genes)).select(F.lit(g).alias("gene"), F.lit(r).alias("repeat"), "id", "y", vector_to_array("probability")[1].alias("p")))
     falls = auc(reduce(DataFrame.unionByName, parts), by=["gene", "repeat"])
@@ -198,7 +211,7 @@ def pca_scores(matrix: DataFrame, samples: DataFrame, most: int = 2000, k: int =
     """First components of the samples over the most variable genes, and the share of variance of each."""
     top = matrix.groupBy("gene").agg(F.var_samp(value).alias("v")).orderBy(F.desc("v"), "gene").limit(most).select("gene")
     genes = [r.gene for r in top.orderBy("gene").collect()]
-    kept = matrix.join(F.broadcast(top), "gene", "left_semi")
+    kept = matrix.join(top, "gene", "left_semi")
     centred = kept.withColumn("c", F.col(value) - F.avg(value).over(Window.partitionBy("gene")))
     index = F.create_map(*(F.lit(x) for i, g in enumerate(genes) for x in (g, i)))
     rows = centred.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(F.element_at(index, F.col("gene")).alias("i"), "c"))).alias("a"))

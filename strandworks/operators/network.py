@@ -141,12 +141,14 @@ def centrality(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return parts.groupBy("v").agg((F.sum("b") * scale).alias("betweenness"), F.max("c").alias("closeness"))
 
 
-def distances(edges: DataFrame, source: DataFrame, most: int = 64) -> DataFrame:
-    """Hops from each source to every vertex it reaches, by frontier joins: (s, v, hops). For graphs of any size."""
+def distances(edges: DataFrame, source: DataFrame) -> DataFrame:
+    """Hops from each source to every vertex it reaches, by frontier joins: (s, v, hops). Hops go on until none is
+    reached anew."""
     steps = both_ways(edges).persist()
     found = source.select(F.col("v").alias("s"), "v", F.lit(0).alias("hops")).checkpoint(eager=True)
-    front = found
-    for hop in range(1, most + 1):
+    front, hop = found, 0
+    while True:
+        hop += 1
         new = front.join(steps, "v").select("s", F.col("w").alias("v")).distinct().join(found, ["s", "v"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint(eager=True)
         if not new.take(1):
             break

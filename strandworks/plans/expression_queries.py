@@ -185,15 +185,19 @@ def a11_effects(spark, v):
     return wide.join(means, "gene")
 
 
+def robust(v) -> DataFrame:
+    tests = ordered(v).checkpoint(eager=True)
+    genes = ex.universe(tests)
+    scores = ex.rra(ex.rank_lists(tests, genes), genes.count(), 3)
+    return ex.robust_genes(scores, ex.mean_lfc(tests, genes)).select("direction", "gene", "score", "mean_lfc")
+
+
 @query("WITH " + ",".join([KEPT, FACTORS, CPM, FIT, RANK, RRA]) + """
 SELECT direction, gene, round(score, 6) + 0.0 AS score, round(mean_lfc, 6) + 0.0 AS mean_lfc FROM rra JOIN eff USING (gene)
 WHERE score < 0.05 AND abs(mean_lfc) > 1 AND consistent AND (direction = 'Up') = (mean_lfc > 0)""")
 def robust_genes(spark, v):
     """The flagship: which genes change consistently across the datasets (F2, A1, A2, A5, A9, A10, A11, F6)."""
-    tests = ordered(v).persist()
-    genes = ex.universe(tests)
-    scores = ex.rra(ex.rank_lists(tests, genes), genes.count(), 3)
-    return ex.robust_genes(scores, ex.mean_lfc(tests, genes)).select("direction", "gene", "score", "mean_lfc")
+    return robust(v)
 
 
 @query("WITH " + ",".join([KEPT, FACTORS, CPM]) + """,
@@ -292,7 +296,7 @@ def e2_gsea_es(spark, v):
 
 @query()
 def e3_gsea(spark, v):
-    return en.gsea(ranked_list(v), ranked_sets(v), permutations=500)
+    return en.gsea(ranked_list(v), ranked_sets(v))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")

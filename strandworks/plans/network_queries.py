@@ -113,11 +113,11 @@ def a16_votes(spark, v):
     return md.votes(v("part").where("p_size % 2 = 0").select(s.alias("selector"), F.expr("p_partkey div 3 % 200").alias("gene")), 3)
 
 
-def labelled(v, most: int = 24) -> tuple[DataFrame, list[str]]:
-    """Centred and scaled log expression of a few genes, one row a sample."""
-    from strandworks.plans.expression_queries import expressed
+def labelled(v) -> tuple[DataFrame, list[str]]:
+    """Centred and scaled log expression of the robust genes, one row a sample."""
+    from strandworks.plans.expression_queries import expressed, robust
 
-    genes = [str(g) for g in range(0, 10 * most, 10)][:most]
+    genes = sorted(str(r.gene) for r in robust(v).select("gene").collect())  # the flagship's short list, a column each
     z = ex.zscore(ex.batch_center(expressed(v).where(F.col("gene").cast("string").isin(genes)).select(F.col("gene").cast("string").alias("gene"), "sample", "value"), v("v_meta").select("sample", (F.col("dataset") * 10 + F.col("cell")).alias("batch"))))
     meta = v("v_meta").select(F.col("sample").alias("id"), F.col("grp").cast("int").alias("y"), "dataset")
     return md.wide(z.withColumn("z", F.coalesce("z", F.lit(0.0))), genes).join(meta, "id").checkpoint(eager=True), genes
@@ -127,31 +127,31 @@ def labelled(v, most: int = 24) -> tuple[DataFrame, list[str]]:
 def a17_pca(spark, v):
     from strandworks.plans.expression_queries import expressed
 
-    scores, _ = md.pca_scores(expressed(v).select("gene", "sample", "value"), v("v_meta").select("sample", "dataset", "grp"), 100)
+    scores, _ = md.pca_scores(expressed(v).select("gene", "sample", "value"), v("v_meta").select("sample", "dataset", "grp"))
     return scores
 
 
 @query()
 def m1_l1_path(spark, v):
-    df, genes = labelled(v, 12)
+    df, genes = labelled(v)
     return md.l1_path(df, genes, [0.05, 0.5], k=2)
 
 
 @query()
 def m2_svm_rfe(spark, v):
-    df, genes = labelled(v, 4)
+    df, genes = labelled(v)
     return md.svm_rfe_cv(df, genes, 2, k=2, share=0.5, rounds=8)
 
 
 @query()
 def m3_boruta(spark, v):
-    df, genes = labelled(v, 8)
+    df, genes = labelled(v)
     return md.boruta(df, genes, 5, 20)
 
 
 @query()
 def m4_permutation_importance(spark, v):
-    df, genes = labelled(v, 4)
+    df, genes = labelled(v)
     return md.permutation_importance(df, genes, repeats=2, rounds=8)
 
 
@@ -165,12 +165,12 @@ def m5_auc(spark, v):
 
 @query()
 def m6_auc_ci(spark, v):
-    return md.auc_ci(v("v_pred"), replicates=100)
+    return md.auc_ci(v("v_pred"))
 
 
 @query()
 def m7_leave_one_dataset_out(spark, v):
-    df, genes = labelled(v, 6)
+    df, genes = labelled(v)
     return md.predict_folds(df, genes, "dataset")
 
 

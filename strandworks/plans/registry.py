@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandworks.plans import expression_queries, network_queries, survival_queries, trial_queries
+from strandworks.plans import expression_queries, network_queries, source_queries, survival_queries, trial_queries
 
-PARTS = (expression_queries, network_queries, survival_queries, trial_queries)
+PARTS = (source_queries, expression_queries, network_queries, survival_queries, trial_queries)
 
 
 def queries() -> dict:

@@ -94,12 +94,12 @@ def s5_cindex(spark, v):
 
 @query()
 def s6_cindex_ci(spark, v):
-    return sv.cindex_ci(v("v_cohort"), replicates=12)
+    return sv.cindex_ci(v("v_cohort"))
 
 
 @query()
 def s6_time_auc_ci(spark, v):
-    return sv.time_auc_ci(v("v_cohort"), YEARS, replicates=20)
+    return sv.time_auc_ci(v("v_cohort"), YEARS)
 
 
 @query("WITH cc AS (SELECT time, 1 - event AS event FROM v_cohort), " + km_sql("cc") + f""",
@@ -113,7 +113,7 @@ def s7_time_auc(spark, v):
 @query()
 def s8_lasso_cox(spark, v):
     rows = scaled(v).withColumn("c", F.col("id") % 7 / 7.0)
-    return sv.lasso_cox(rows, ["a", "b", "c"], k=4, n_lambda=8, rounds=200)
+    return sv.lasso_cox(rows, ["a", "b", "c"])
 
 
 BASE = """t AS (SELECT time, sum(event) AS d, sum(exp(0.1 * risk / 5)) AS s FROM v_cohort GROUP BY time),

@@ -219,28 +219,30 @@ def q7_fold_change(spark, v):
 TM_ROWS = ", ".join(f"('{a + b}', {h}, {s})" for (a, b), (h, s) in ((k, sq.NEIGHBOURS.get(k) or sq.NEIGHBOURS[k.translate(str.maketrans('ACGT', 'TGCA'))[::-1]]) for k in (x + y for x in "ACGT" for y in "ACGT")))
 
 
-def oligos(v) -> DataFrame:
-    """Twenty bases of each text: letters mapped to four."""
-    letters = F.translate(F.regexp_replace(F.lower(F.substring("text", 1, 400)), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    return v("documents").select("doc_id", F.substring(letters, 1, 20).alias("seq")).where(F.length("seq") == 20)
+def pieces(v, size: int, alphabet: str) -> DataFrame:
+    """doc_id, at and seq: every text's letters mapped to bases and cut into pieces of ``size``; a shorter rest is left out."""
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", alphabet)
+    cut = F.regexp_extract_all(letters, F.lit(f"([ACGT]{{{size}}})"))
+    return v("documents").select("doc_id", F.posexplode(cut).alias("at", "seq"))
 
 
 @query(f"""
-WITH o AS (SELECT doc_id, substr(translate(regexp_replace(lower(substr(text, 1, 400)), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 20) AS seq FROM documents),
+WITH l AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS l FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, CAST(k AS INTEGER) AS "at", substr(l, CAST(20 * k + 1 AS BIGINT), 20) AS seq FROM (SELECT doc_id, l, unnest(range(0, length(l) // 20)) AS k FROM l)),
 n AS (SELECT * FROM (VALUES {TM_ROWS}) t(d, h, s)),
-p AS (SELECT doc_id, seq, substr(seq, i, 2) AS d FROM (SELECT *, unnest(range(1, 20)) AS i FROM o WHERE length(seq) = 20)),
-e AS (SELECT doc_id, seq, sum(h)::DOUBLE AS h, sum(s)::DOUBLE AS s FROM p JOIN n USING (d) GROUP BY ALL),
-i AS (SELECT doc_id, seq, h + CASE WHEN seq[1] IN ('G', 'C') THEN 0.1 ELSE 2.3 END + CASE WHEN seq[20] IN ('G', 'C') THEN 0.1 ELSE 2.3 END AS h, s + CASE WHEN seq[1] IN ('G', 'C') THEN -2.8 ELSE 4.1 END + CASE WHEN seq[20] IN ('G', 'C') THEN -2.8 ELSE 4.1 END AS s,
+p AS (SELECT doc_id, "at", seq, substr(seq, i, 2) AS d FROM (SELECT *, unnest(range(1, 20)) AS i FROM o WHERE length(seq) = 20)),
+e AS (SELECT doc_id, "at", seq, sum(h)::DOUBLE AS h, sum(s)::DOUBLE AS s FROM p JOIN n USING (d) GROUP BY ALL),
+i AS (SELECT doc_id, "at", seq, h + CASE WHEN seq[1] IN ('G', 'C') THEN 0.1 ELSE 2.3 END + CASE WHEN seq[20] IN ('G', 'C') THEN 0.1 ELSE 2.3 END AS h, s + CASE WHEN seq[1] IN ('G', 'C') THEN -2.8 ELSE 4.1 END + CASE WHEN seq[20] IN ('G', 'C') THEN -2.8 ELSE 4.1 END AS s,
   length(replace(replace(seq, 'A', ''), 'T', '')) / 20.0 AS gc, ln((50 + 120 * sqrt(3 - 0.8)) / 1000) AS salt FROM e)
-SELECT doc_id, seq, round(1 / ((s + 1.987 * ln(0.2e-6 / 4)) / (h * 1000) + (4.29 * gc - 3.95) * 1e-5 * salt + 9.40e-6 * salt * salt) - 273.15, 4) + 0.0 AS tm FROM i""")
+SELECT doc_id, "at", seq, round(1 / ((s + 1.987 * ln(0.2e-6 / 4)) / (h * 1000) + (4.29 * gc - 3.95) * 1e-5 * salt + 9.40e-6 * salt * salt) - 273.15, 4) + 0.0 AS tm FROM i""")
 def p2_melting_temp(spark, v):
-    return oligos(v).withColumn("tm", F.round(sq.melting_temp(F.col("seq")), 4))
+    return pieces(v, 20, "ACGTACGTACGTACGTACGTACGTAC").withColumn("tm", F.round(sq.melting_temp(F.col("seq")), 4))
 
 
 def transcripts(v) -> DataFrame:
-    """One transcript for each text with enough letters, with a coding part of 180 bases."""
-    letters = F.translate(F.regexp_replace(F.lower(F.substring("text", 1, 2000)), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTTGCAACGTGTCAGATCCTGAAC")
-    return v("documents").select(F.col("doc_id").alias("gene"), F.substring(letters, 1, 420).alias("seq")).where(F.length("seq") >= 300).select("gene", "seq", F.lit(1).alias("low"), F.lit(180).alias("high"))
+    """One transcript for each passage of ``benchmark``: all its letters, all of them coding."""
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTTGCAACGTGTCAGATCCTGAAC")
+    return v("benchmark").select(F.col("item_id").alias("gene"), letters.alias("seq")).where(F.length("seq") > 0).select("gene", "seq", F.lit(1).alias("low"), F.length("seq").alias("high"))
 
 
 @query()
@@ -295,13 +297,13 @@ def c3_contacts(spark, v):
 
 
 @query("""
-WITH po AS (SELECT mol % 10 AS mol, mol AS atom, x, y, z FROM v_atoms WHERE mol % 3 = 0), rf AS (SELECT x, y, z FROM v_atoms WHERE mol % 3 <> 0 AND mol < 90),
+WITH po AS (SELECT mol % 10 AS mol, mol AS atom, x, y, z FROM v_atoms WHERE mol % 3 = 0), rf AS (SELECT x, y, z FROM v_atoms WHERE mol % 3 <> 0),
 nn AS (SELECT po.mol, po.atom, min(sqrt(pow(po.x - rf.x, 2) + pow(po.y - rf.y, 2) + pow(po.z - rf.z, 2))) AS d FROM po, rf GROUP BY ALL), ce AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM rf),
 cp AS (SELECT po.mol, avg(po.x) AS x, avg(po.y) AS y, avg(po.z) AS z FROM po GROUP BY po.mol)
 SELECT mol, round(avg(d), 6) + 0.0 AS mean_nn, round(max(d), 6) + 0.0 AS max_nn, round(any_value(sqrt(pow(cp.x - ce.x, 2) + pow(cp.y - ce.y, 2) + pow(cp.z - ce.z, 2))), 6) + 0.0 AS centroid_dist FROM nn JOIN cp USING (mol), ce GROUP BY mol""")
 def j6_pose_distance(spark, v):
     a = v("v_atoms")
-    return sc.pose_distance(a.where("mol % 3 = 0").select((F.col("mol") % 10).alias("mol"), F.col("mol").alias("atom"), "x", "y", "z"), a.where("mol % 3 <> 0 AND mol < 90"))
+    return sc.pose_distance(a.where("mol % 3 = 0").select((F.col("mol") % 10).alias("mol"), F.col("mol").alias("atom"), "x", "y", "z"), a.where("mol % 3 <> 0"))
 
 
 def scored(v) -> DataFrame:

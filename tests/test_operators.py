@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from strandworks.functions import tails
 from strandworks.operators import expression as ex
+from strandworks.operators import models as md
 from strandworks.operators import network as nw
+from strandworks.operators import screen as sc
 from strandworks.operators import sequence as sq
 from strandworks.operators import survival as sv
 from strandworks.operators import trial as tr
@@ -133,3 +135,53 @@ def test_readers(spark, folder):
     df = spark.createDataFrame([("a|b", 1)], "k string, v int")
     readers.write_results(readers.split_keys(df, "k", ["x", "y", "z"]), str(folder / "out"), ["x"])
     assert [tuple(r) for r in spark.read.parquet(str(folder / "out")).select("x", "y", "z", "v").collect()] == [("a", "b", None, 1)]
+
+
+def test_penalised_cox_path_is_optimal(spark):
+    rng = np.random.default_rng(5)
+    n, names = 160, ["x0", "x1", "x2"]
+    x = rng.normal(size=(n, 3))
+    time = np.ceil(rng.exponential(np.exp(-0.9 * x[:, 0] + 0.4 * x[:, 1])) * 8)  # many ties
+    event = (rng.random(n) < 0.7).astype(float)
+    rows = spark.createDataFrame([(i, float(time[i]), float(event[i]), *map(float, x[i])) for i in range(n)], "id long, time double, event double, x0 double, x1 double, x2 double")
+    path = sv.lasso_cox(rows, names, k=3, n_lambda=5).orderBy("i").collect()
+
+    def gradient(beta):
+        w = np.exp(x @ beta)
+        out = np.zeros(3)
+        for i in np.nonzero(event)[0]:
+            risk = time >= time[i]
+            out += x[i] - (w[risk, None] * x[risk]).sum(axis=0) / w[risk].sum()
+        return out / n
+
+    top = np.abs(gradient(np.zeros(3))).max()
+    assert np.allclose([r["lambda"] for r in path], top * np.logspace(0, -2.5, 5))
+    assert sum(r.best for r in path) == 1 and min(path, key=lambda r: r.deviance).best
+    for r in path:
+        beta = np.array([r[c] for c in names])
+        assert sv.optimality_gap(beta, gradient(beta), r["lambda"]) <= 2e-4 * top
+    assert all(path[0][c] == 0 for c in names) and all(path[-1][c] != 0 for c in ("x0", "x1"))
+
+
+def test_nearest_atoms(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(60, 3)) * 9, rng.normal(size=(40, 3)) * 6
+    a[0] = [900.0, -900.0, 5.0]  # far from all others
+    atoms = spark.createDataFrame([(i % 4, i, *map(float, v)) for i, v in enumerate(a)], "mol int, atom int, x double, y double, z double")
+    ref = spark.createDataFrame([tuple(map(float, v)) for v in b], "x double, y double, z double")
+    got = {r.atom: r.d for r in sc.nearest_atoms(atoms, ref).collect()}
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert len(got) == 60 and all(abs(got[i] - want[i]) < 1e-9 for i in range(60))
+    assert sc.nearest_atoms(atoms, ref.limit(0)).count() == 0
+
+
+def test_distances_along_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(80)], "src int, dst int")
+    found = nw.distances(edges, spark.createDataFrame([(0,)], "v int"))
+    assert {(r.v, r.hops) for r in found.collect()} == {(i, i) for i in range(81)}
+
+
+def test_places_without_a_window_over_all_rows(spark):
+    rows = spark.createDataFrame([(i, (i * 37) % 101) for i in range(101)], "id int, k int").repartition(5)
+    assert all(r.i == r.k + 1 for r in md.placed(rows, "i", "k").collect())
+    assert md.placed(rows.limit(0), "i", "k").count() == 0
