@@ -5,6 +5,9 @@ sets in one order, such a pair has a shingle in common among the first n - ceil(
 those finds every pair. Shingles that a sample holds often come last in the order: they would join texts that share
 no more than a passage. Any order is complete, so the sample bears on the work alone, not on the result.
 
+The sets' SimHash fingerprints come first: those within three bits of each other (joined on their Golay-code keys) are
+candidates whatever their prefixes, one for each text. The prefix join then finds every pair that they miss.
+
 Candidates must pass bounds by size and place, then one by counts (sets that differ in d shingles in some part of the
 hashes' range differ in no fewer altogether), and are then verified on the whole sets. Each shingle's rows first meet
 one of them, the text whose shingles are shared most, so that a large group of copies is linked by one row each; only
@@ -25,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandworks.llm.common import bounded_batches, cut, worker_state
+from strandworks.llm.simhash_golay import links
 from strandworks.operators.graph import connected_components
 
 SEED = 42
@@ -49,6 +53,15 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(total ^ (total >> np.uint64(32)))
 
 
+def set_fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a shingle set: a bit is set if more than half of the hashes have it set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), 4096):
+        block = s[at : at + 4096].astype("<u8")
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(s), bitorder="little").tobytes(), "little")
+
+
 def prefix_size(n: int) -> int:
     """How many shingles of a set of n must be looked at: n less 0.8 n rounded up, and one."""
     return n - (4 * n + 4) // 5 + 1
@@ -79,25 +92,26 @@ def _common(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """Of every row: ``node`` (a hash of its set), ``n`` (the set's size), ``p`` (its counts by part of the
-    hashes, a byte each, 255 for more) and ``s``, the first of the set in order."""
+    """Of every row: ``node`` (a hash of its set), ``fp`` (its SimHash), ``n`` (the set's size), ``p`` (its counts by part
+    of the hashes, a byte each, 255 for more) and ``s``, the first of the set in order."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = worker_state(("near copies",), lambda: shared.value)
         for batch in batches:
-            nodes, sizes, counts, firsts = [], [], [], []
+            nodes, prints, sizes, counts, firsts = [], [], [], [], []
             for x in batch.column(1):
                 s = shingle_set(x.as_py())
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                prints.append(set_fingerprint(s))
                 sizes.append(len(s))
                 counts.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
                 often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 firsts.append(np.concatenate([s[~often], s[often]])[: prefix_size(len(s))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), _lists(firsts)], names=[id_col, "node", "n", "p", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), _lists(firsts)], names=[id_col, "node", "fp", "n", "p", "s"])
 
-    out = [docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("p", T.BinaryType()), T.StructField("s", T.ArrayType(T.LongType()))]
+    out = [docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("p", T.BinaryType()), T.StructField("s", T.ArrayType(T.LongType()))]
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(out))
 
 
@@ -141,6 +155,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, id_col: str,
     return both.select("a", "b", "s", "s2").mapInArrow(run, "a long, b long")
 
 
+def _close_prints(named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints differ in few bits: each node and its fingerprint's representative, and
+    each representative and that of the smallest fingerprint linked to its own. No more pairs than nodes, however
+    large a group of copies is."""
+    prints = cut(named.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = named.join(prints, "fp").select(F.col("rep").alias("x"), F.col("node").alias("y"))
+    close = links(prints).select(F.least("a", "b").alias("small"), F.greatest("a", "b").alias("fp")).groupBy("fp").agg(F.min("small").alias("small"))
+    reps = prints.select(F.col("fp").alias("small"), F.col("rep").alias("x"))
+    other = close.join(prints, "fp").withColumnRenamed("rep", "y").join(reps, "small").select("x", "y")
+    return same.unionByName(other).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``component_id`` (the smallest id reachable through near copies) of every row.
 
@@ -150,7 +176,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = docs.select(F.col(id_col), F.col(text_col))
     prints = cut(_prefixes(docs, _common(docs, id_col, text_col), id_col, text_col))
-    named = cut(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("p").alias("p")))
+    named = cut(prints.groupBy("node").agg(F.min(id_col).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("p").alias("p")))
     rows = prints.select("node", "n", "s").dropDuplicates(["node"]).select("node", "n", F.posexplode("s").alias("at", "h"))
     shared = cut(rows.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where(F.col("c") > 1))
 
@@ -158,7 +184,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pivots = shared.join(score, "node").groupBy("h").agg(F.max(F.struct("score", "node", "n", "at")).alias("p"))
     pivots = pivots.select("h", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"), F.col("p.at").alias("at2"))
     pair = (F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-    met = cut(shared.drop("c").join(pivots, "h").where((F.col("node") != F.col("node2")) & _possible("n", "at", "n2", "at2")).select(*pair).distinct())
+    by_pivot = shared.drop("c").join(pivots, "h").where((F.col("node") != F.col("node2")) & _possible("n", "at", "n2", "at2")).select(*pair)
+    met = cut(_close_prints(named).unionByName(by_pivot).distinct())
     first = cut(_verified(met, docs, named, id_col, text_col))
 
     groups = connected_components(first, "a", "b", cut).withColumnRenamed("vertex", "node")
