@@ -9,9 +9,9 @@ The sets' SimHash fingerprints come first: those within three bits of each other
 candidates whatever their prefixes, one for each text. The prefix join then finds every pair that they miss.
 
 Candidates must pass bounds by size and place, then one by counts (sets that differ in d shingles in some part of the
-hashes' range differ in no fewer altogether), and are then verified on the whole sets. Each shingle's rows first meet
-one of them, the text whose shingles are shared most, so that a large group of copies is linked by one row each; only
-pairs that this has not connected are joined.
+hashes' range differ in no fewer altogether), and are then verified on the whole sets. A shingle's pivot is the text
+whose shingles are shared most. Each text first meets one pivot only, so that a large group of copies is linked by one
+row each; then pivots meet those texts that are not connected with them yet; then all pairs that are not are joined.
 """
 
 from __future__ import annotations
@@ -116,9 +116,11 @@ def _prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str) -
 
 
 def _possible(n: str, at: str, n2: str, at2: str) -> F.Column:
-    """Whether sets of these sizes with a common shingle at these places may be similar enough."""
-    most = F.least(at, at2) + 1 + F.least(F.col(n) - F.col(at), F.col(n2) - F.col(at2)) - 1
-    return 9 * most >= 4 * (F.col(n) + F.col(n2))
+    """Whether sets of these sizes may be similar enough if this shingle, at these places, is the first they share.
+
+    Sets that are similar enough pass at the first one, as no more than what stands from there on is in both.
+    """
+    return 9 * F.least(F.col(n) - F.col(at), F.col(n2) - F.col(at2)) >= 4 * (F.col(n) + F.col(n2))
 
 
 def _similar_counts(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -167,6 +169,14 @@ def _close_prints(named: DataFrame) -> DataFrame:
     return same.unionByName(other).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _with_pivot(rows: DataFrame) -> DataFrame:
+    """Each row and, with 2 after their names, the columns of the pivot of its shingle: the text of the highest score."""
+    cols = [c for c in rows.columns if c not in ("h", "score")]
+    pivots = rows.groupBy("h").agg(F.max(F.struct("score", *cols)).alias("p"))
+    pivots = pivots.select("h", *(F.col(f"p.{c}").alias(f"{c}2") for c in ("score", *cols)))
+    return rows.join(pivots, "h").where(F.col("node") != F.col("node2"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``component_id`` (the smallest id reachable through near copies) of every row.
 
@@ -181,22 +191,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = cut(rows.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where(F.col("c") > 1))
 
     score = shared.groupBy("node").agg((F.sum("c") / F.max("n")).alias("score"))
-    pivots = shared.join(score, "node").groupBy("h").agg(F.max(F.struct("score", "node", "n", "at")).alias("p"))
-    pivots = pivots.select("h", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"), F.col("p.at").alias("at2"))
-    pair = (F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-    by_pivot = shared.drop("c").join(pivots, "h").where((F.col("node") != F.col("node2")) & _possible("n", "at", "n2", "at2")).select(*pair)
-    met = cut(_close_prints(named).unionByName(by_pivot).distinct())
-    first = cut(_verified(met, docs, named, id_col, text_col))
-
-    groups = connected_components(first, "a", "b", cut).withColumnRenamed("vertex", "node")
-    placed = cut(shared.join(groups, "node", "left").select("h", "node", "n", "at", F.coalesce("component", "node").alias("g")))
-    several = placed.groupBy("h").agg(F.min("g").alias("least"), F.max("g").alias("most")).where(F.col("least") < F.col("most")).select("h")
-    left = placed.join(several, "h", "left_semi")
-    right = left.select("h", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("g").alias("g2"))
-    joined = left.join(right, "h").where((F.col("node") < F.col("node2")) & (F.col("g") != F.col("g2")) & _possible("n", "at", "n2", "at2"))
-    rest = joined.select(*pair).distinct().join(met, ["a", "b"], "left_anti")
-
-    found = connected_components(first.unionByName(_verified(rest, docs, named, id_col, text_col)), "a", "b", cut).withColumnRenamed("vertex", "node")
+    scored = cut(shared.drop("c").join(score, "node"))
+    best = _with_pivot(scored).where(_possible("n", "at", "n2", "at2")).groupBy("node").agg(F.max(F.struct("score2", "node2")).alias("best"))
+    own = best.select(F.least("node", "best.node2").alias("a"), F.greatest("node", "best.node2").alias("b"))
+    met = cut(_close_prints(named).unionByName(own).distinct())
+    links_found = cut(_verified(met, docs, named, id_col, text_col))
+
+    for with_pivots in (True, False):
+        groups = connected_components(links_found, "a", "b", cut).withColumnRenamed("vertex", "node")
+        placed = cut(scored.join(groups, "node", "left").select("h", "node", "n", "at", "score", F.coalesce("component", "node").alias("g")))
+        several = placed.groupBy("h").agg(F.min("g").alias("least"), F.max("g").alias("most")).where(F.col("least") < F.col("most")).select("h")
+        left = placed.join(several, "h", "left_semi")
+        if with_pivots:
+            joined = _with_pivot(left)
+        else:
+            right = left.select("h", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "g")))
+            joined = left.join(right, "h").where(F.col("node") < F.col("node2"))
+        pair = (F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+        rest = joined.where((F.col("g") != F.col("g2")) & _possible("n", "at", "n2", "at2")).select(*pair).distinct()
+        rest = cut(rest.join(met, ["a", "b"], "left_anti"))
+        links_found = cut(links_found.unionByName(_verified(rest, docs, named, id_col, text_col)))
+        met = met.unionByName(rest)
+
+    found = connected_components(links_found, "a", "b", cut).withColumnRenamed("vertex", "node")
     member = named.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("g"))
     least = member.groupBy("g").agg(F.min("least").alias("component_id"))
     return prints.select(id_col, "node").join(member.join(least, "g").select("node", "component_id"), "node").select(id_col, "component_id")
