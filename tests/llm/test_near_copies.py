@@ -10,20 +10,21 @@ from strandworks.llm import near_copies
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def similarity(a, b):
-    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
-    return len(x & y) / len(x | y)
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
 def kept_by_brute_force(rows):
     root = {i: i for i, _ in rows}
+    sets = [shingles(t) for _, t in rows]
 
     def find(i):
         return i if root[i] == i else find(root[i])
 
-    for n, (i, a) in enumerate(rows):
-        for j, b in rows[:n]:
-            if similarity(a, b) >= 0.8:
+    for n, (i, _) in enumerate(rows):
+        for m, (j, _) in enumerate(rows[:n]):
+            if len(sets[n] & sets[m]) / len(sets[n] | sets[m]) >= 0.8:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {find(i) for i in root}
