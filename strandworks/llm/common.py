@@ -42,9 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, keep it in the shared folder, and cut its lineage there."""
+    """Compute ``df`` once, keep it in the shared folder, and cut its lineage there.
+
+    Spark deletes the files of a shuffle once the driver's JVM has collected what refers to it, which a driver with
+    memory to spare rarely does; iterative joins would keep those of all rounds on the executors' disks. So the JVM is
+    asked to collect here.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def stored(df: DataFrame) -> DataFrame:
