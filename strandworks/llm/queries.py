@@ -16,6 +16,8 @@ from strandworks.llm.nn_descent import nearest
 from strandworks.llm.packing import pack
 from strandworks.llm.pseudonyms import pseudonymise
 from strandworks.llm import quality_knn
+from strandworks.llm.quality_rules import apply_rules
+from strandworks.llm.rule_sql import OP11_SQL
 from strandworks.llm.simhash_golay import near_duplicates
 from strandworks.llm.suffix_dedup import remove_repeats
 from strandworks.llm.token_counts import token_counts
@@ -69,6 +71,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs, train)).select("doc_id", (~is_train("doc_id", 3, 1)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_language_id": op10_language_id,
+        "op11_quality_rules": op11_quality_rules,
     }
 
 
@@ -102,4 +109,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op11_quality_rules": OP11_SQL}
