@@ -19,6 +19,7 @@ from strandworks.llm import quality_knn
 from strandworks.llm.quality_rules import apply_rules
 from strandworks.llm.rule_sql import OP11_SQL
 from strandworks.llm.simhash_golay import near_duplicates
+from strandworks.llm.spelling import variants
 from strandworks.llm.suffix_dedup import remove_repeats
 from strandworks.llm.token_counts import token_counts
 
@@ -75,6 +76,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_language_id": op10_language_id,
         "op11_quality_rules": op11_quality_rules,
+        "op12_spelling": op12_spelling,
     }
 
 
