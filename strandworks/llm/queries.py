@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.llm.common import is_train, read_table
+from strandworks.llm.conversation_trie import prefix_trie
 from strandworks.llm.exact_topk import top_k
 from strandworks.llm.language_id import fit, identify
 from strandworks.llm.mixing import mix
@@ -22,6 +23,7 @@ from strandworks.llm.simhash_golay import near_duplicates
 from strandworks.llm.spelling import variants
 from strandworks.llm.suffix_dedup import remove_repeats
 from strandworks.llm.token_counts import token_counts
+from strandworks.llm.trie_sql import OP12_SQL, OP13_SQL
 
 
 #: The key of the registered query; a job takes its own from a secret store.
@@ -80,6 +82,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(read_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op11_quality_rules": op11_quality_rules,
         "op12_spelling": op12_spelling,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
@@ -115,4 +122,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op11_quality_rules": OP11_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op11_quality_rules": OP11_SQL, "op12_spelling": OP12_SQL, "op13_conversation_trie": OP13_SQL}
