@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandworks.functions import storage
+
 #: Rounds after which components() gives up; each round shortens paths by a factor, so this is never reached in practice.
 MAX_ROUNDS = 60
 
@@ -21,7 +23,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     neighbourhood is ever gathered in one row, and a hub costs one row for each of its edges. ``cut``: writes a
     DataFrame to shared storage and cuts its lineage; by default a checkpoint.
     """
-    cut = cut or (lambda df: df.checkpoint(eager=True))
+    cut = cut or storage.cut
     now = cut(_canonical(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))))
     sign = None
     for _ in range(MAX_ROUNDS):

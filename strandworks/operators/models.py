@@ -7,12 +7,13 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandworks.functions.columns import average_rank, log_factorials
-from strandworks.operators.survival import percentile_ci, poisson_replicates
+from strandworks.functions.columns import log_factorials
+from strandworks.functions.storage import cut
+from strandworks.operators.scan import numbered, running, spread
 
 
 def wide(matrix: DataFrame, genes: list[str], value: str = "z") -> DataFrame:
@@ -36,22 +37,17 @@ def auc(df: DataFrame, score: str = "p", y: str = "y", by: list[str] | None = No
     by = by or []
     w = F.col(weight) if weight else F.lit(1.0)
     steps = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.sum(w * (F.col(y) == 1).cast("int")).alias("p1"), F.sum(w * (F.col(y) == 0).cast("int")).alias("p0"))
-    below = F.sum("p0").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("p0")
-    won = steps.withColumn("won", F.col("p1") * (below + F.col("p0") / 2))
+    won = running(spread(steps, by, ["s"]), by, ["s"], {"upto": F.col("p0")}).withColumn("won", F.col("p1") * (F.col("upto") - F.col("p0") / 2))
     return won.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("p1") * F.sum("p0")).alias("auc"))
 
 
-def auc_ci(df: DataFrame, score: str = "p", replicates: int = 2000, seed: int = 2026) -> DataFrame:
-    """Bootstrap interval of the AUC with Poisson weights; replicates with one class are skipped."""
-    return percentile_ci(auc(poisson_replicates(df, replicates, seed), score, "y", ["replicate"], "weight"), "auc")
-
-
 def roc_points(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score, from the highest."""
     steps = df.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(y) == 1).cast("int")).alias("a"), F.sum((F.col(y) == 0).cast("int")).alias("b"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct score
-    total = Window.partitionBy()
-    return steps.select("threshold", F.try_divide(F.sum("a").over(w), F.sum("a").over(total)).alias("tpr"), F.try_divide(F.sum("b").over(w), F.sum("b").over(total)).alias("fpr"))
+    rows = spread(steps, [], ["threshold"])
+    total = rows.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    above = running(rows, [], ["threshold"], {"up_a": F.col("a"), "up_b": F.col("b")}, down=True).crossJoin(F.broadcast(total))  # one row
+    return above.select("threshold", F.try_divide("up_a", "all_a").alias("tpr"), F.try_divide("up_b", "all_b").alias("fpr"))
 
 
 def votes(selections: DataFrame, selectors: int) -> DataFrame:
@@ -119,37 +115,41 @@ def svm_rfe_cv(df: DataFrame, genes: list[str], most: int, k: int = 5, seed: int
     return df.sparkSession.createDataFrame([(n, h / total, n == best) for n, h in hits.items()], "k int, accuracy double, best boolean")
 
 
-def placed(df: DataFrame, name: str, *order) -> DataFrame:
-    """Adds each row's place (from 1) in an order, without a window over all rows: rows are sorted by ranges, and a
-    place is that within its range and the number of rows in the ranges before."""
-    parts = df.withColumn("__o", F.struct(*order)).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__o").withColumn("__p", F.spark_partition_id()).checkpoint(eager=True)
-    counts = sorted((r["__p"], r["count"]) for r in parts.groupBy("__p").count().collect())  # a row for each partition
-    starts, total = [], 0
-    for part, n in counts:
-        starts.append((part, total))
-        total += n
-    before = F.coalesce(*(F.when(F.col("__p") == part, F.lit(n)) for part, n in starts), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy("__o"))
-    return parts.withColumn(name, (own + before).cast("long")).drop("__o", "__p")
+def keyed_place(i: Column, n: int, *key: Column) -> Column:
+    """Where a keyed permutation of 0 .. n - 1 puts ``i``: a Feistel network over the next power of two, walked on until
+    it is below n (64 steps at most; each one is, with a chance above one half)."""
+    bits = max(2, (max(n, 1) - 1).bit_length())
+    low = bits // 2
+    masks = ((1 << low) - 1, (1 << (bits - low)) - 1)
+
+    def step(x: Column) -> Column:
+        right, left = x.bitwiseAND(masks[0]), F.shiftright(x, low)
+        for r in range(3):
+            left = left.bitwiseXOR(F.xxhash64(*key, F.lit(2 * r), right).bitwiseAND(masks[1]))
+            right = right.bitwiseXOR(F.xxhash64(*key, F.lit(2 * r + 1), left).bitwiseAND(masks[0]))
+        return F.shiftleft(left, low).bitwiseOR(right)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), step(i.cast("long")), lambda x, _: F.when(x < n, x).otherwise(step(x)))
 
 
-def shadows(df: DataFrame, genes: list[str], seed: int) -> DataFrame:
-    """Adds a permuted copy of each gene column: one draw for all columns of a gene, by joining on a random order."""
-    place = placed(df, "__i", "id")
-    copies = place
-    for j, g in enumerate(genes):
-        mixed = placed(df.select("id", F.col(g).alias(f"shadow_{g}")), "__i", F.xxhash64(F.lit(seed), F.lit(j), "id"), "id").drop("id")
-        copies = copies.join(mixed, "__i")
-    return copies.drop("__i")
+def shadows(place: DataFrame, n: int, genes: list[str], seed: int) -> DataFrame:
+    """Adds a permuted copy of each gene column. ``place``: n rows, numbered in ``__i`` from 1.
+
+    Every value is sent to the row that its column's keyed permutation names; all columns go in one shuffle."""
+    values = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(g).alias("x")) for j, g in enumerate(genes))))
+    sent = place.select("__i", values.alias("v")).select((keyed_place(F.col("__i") - 1, n, F.lit(seed), F.col("v.j")) + 1).alias("__i"), "v.j", "v.x")
+    copies = sent.groupBy("__i").agg(*(F.max(F.when(F.col("j") == j, F.col("x"))).alias(f"shadow_{g}") for j, g in enumerate(genes)))
+    return place.join(copies, "__i")
 
 
 def boruta(df: DataFrame, genes: list[str], rounds: int = 100, trees: int = 100, seed: int = 2026) -> DataFrame:
     """(gene, hits, padj): rounds in which a gene's importance in a forest exceeds every permuted copy's."""
     hits = dict.fromkeys(genes, 0)
     names = [*genes, *(f"shadow_{g}" for g in genes)]
-    base = df.persist()
+    base = numbered(df, "__i", [], ["id"]).persist()
+    n = base.count()
     for i in range(rounds):
-        data = vectors(shadows(base, genes, seed + i), names)
+        data = vectors(shadows(base, n, genes, seed + i), names)
         forest = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=seed + i, maxDepth=8).fit(data)
         importance = forest.featureImportances.toArray()
         bar = importance[len(genes) :].max()
@@ -193,18 +193,20 @@ def boosted_folds(df: DataFrame, genes: list[str], k: int = 5, rounds: int = 60,
 
 
 def permutation_importance(df: DataFrame, genes: list[str], repeats: int = 10, rounds: int = 60, seed: int = 2026) -> DataFrame:
-    """(gene, importance, sd): the fall of the AUC of boosted trees when one column is permuted."""
+    """(gene, importance, sd): the fall of the AUC of boosted trees when one column is permuted.
+
+    All genes and repeats are one job: a row's permuted value is that of the row which a keyed permutation names."""
     model = GBTClassifier(maxIter=rounds, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, seed=seed).fit(vectors(df, genes))
     base = auc(model.transform(vectors(df, genes)).select("id", "y", vector_to_array("probability")[1].alias("p"))).collect()[0][0]
-    place = placed(df, "__i", "id")
-    parts = []
-    for j, g in enumerate(genes):
-        for r in range(repeats):
-            mixed = placed(df.select("id", F.col(g).alias("__x")), "__i", F.xxhash64(F.lit(seed + r), F.lit(j), "id"), "id").drop("id")
-            shuffled = place.drop(g).join(mixed, "__i").withColumnRenamed("__x", g)
-            parts.append(model.transform(vectors(shuffled, genes)).select(F.lit(g).alias("gene"), F.lit(r).alias("repeat"), "id", "y", vector_to_array("probability")[1].alias("p")))
-    falls = auc(reduce(DataFrame.unionByName, parts), by=["gene", "repeat"])
-    return falls.groupBy("gene").agg((F.lit(float(base)) - F.avg("auc")).alias("importance"), F.stddev_samp("auc").alias("sd"))
+    place = cut(numbered(df, "__i", [], ["id"]).select((F.col("__i") - 1).alias("__i"), "id", "y", F.array(*(F.col(g).cast("double") for g in genes)).alias("x")))
+    n = place.count()
+    draws = place.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(genes) - 1)))).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    sent = draws.select(keyed_place(F.col("__i"), n, F.lit(seed), F.col("repeat"), F.col("j")).alias("__i"), "j", "repeat", F.get("x", F.col("j")).alias("new"))
+    mixed = draws.join(sent, ["__i", "j", "repeat"]).select("j", "repeat", "id", "y", array_to_vector(F.transform("x", lambda v, i: F.when(i == F.col("j"), F.col("new")).otherwise(v))).alias("features"))
+    scored = model.transform(mixed).select("j", "repeat", "y", vector_to_array("probability")[1].alias("p"))
+    falls = auc(scored, by=["j", "repeat"])
+    names = F.array(*(F.lit(g) for g in genes))
+    return falls.groupBy(F.get(names, F.col("j")).alias("gene")).agg((F.lit(float(base)) - F.avg("auc")).alias("importance"), F.stddev_samp("auc").alias("sd"))
 
 
 def pca_scores(matrix: DataFrame, samples: DataFrame, most: int = 2000, k: int = 2, value: str = "value") -> tuple[DataFrame, list[float]]:
@@ -215,8 +217,6 @@ def pca_scores(matrix: DataFrame, samples: DataFrame, most: int = 2000, k: int =
     centred = kept.withColumn("c", F.col(value) - F.avg(value).over(Window.partitionBy("gene")))
     index = F.create_map(*(F.lit(x) for i, g in enumerate(genes) for x in (g, i)))
     rows = centred.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(F.element_at(index, F.col("gene")).alias("i"), "c"))).alias("a"))
-    from pyspark.ml.functions import array_to_vector
-
     data = rows.select("sample", array_to_vector(F.transform("a", lambda x: x["c"])).alias("features"))
     model = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
     scores = model.transform(data).select("sample", *(vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(k)))
@@ -248,7 +248,7 @@ def nested_lodo(tests: DataFrame, matrix: DataFrame, batches: DataFrame, labels:
         def ready(on: DataFrame, chosen=chosen, names=names) -> DataFrame:
             own = batches.join(on.select("sample"), "sample", "left_semi")
             z = zscore(batch_center(chosen.join(on.select("sample"), "sample", "left_semi"), own)).withColumn("z", F.coalesce("z", F.lit(0.0)))
-            return wide(z, names).join(on.select(F.col("sample").alias("id"), "y", "dataset"), "id").checkpoint(eager=True)
+            return cut(wide(z, names).join(on.select(F.col("sample").alias("id"), "y", "dataset"), "id"))
 
         train, test = ready(labels.where(F.col("dataset") != held)), ready(labels.where(F.col("dataset") == held))
         path = l1_path(train, names, list(costs), k=k)

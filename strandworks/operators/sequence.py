@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandworks.functions.storage import cut
+
 # Unified nearest-neighbour enthalpies (kcal/mol) and entropies (cal/mol/K) of dinucleotides.
 NEIGHBOURS = {
     "AA": (-7.9, -22.2),
@@ -155,7 +157,7 @@ def design_primers(transcripts: DataFrame, exons: DataFrame, tiers: tuple = TIER
     """Ranked primer pairs of each gene, from the first tier that has any."""
     left, done = transcripts, []
     for i, (product, tm, lengths, junction) in enumerate(tiers):
-        found = pick_pairs(primer_pairs(primer_candidates(left, lengths, tm), exons, product, junction), most).withColumn("tier", F.lit(i)).checkpoint(eager=True)
+        found = cut(pick_pairs(primer_pairs(primer_candidates(left, lengths, tm), exons, product, junction), most).withColumn("tier", F.lit(i)))
         done.append(found)
         left = left.join(found.select("gene").distinct(), "gene", "left_anti")
     return reduce(DataFrame.unionByName, done)

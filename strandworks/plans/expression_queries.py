@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.functions.columns import rounded
+from strandworks.functions.storage import cut
 from strandworks.operators import enrichment as en
 from strandworks.operators import expression as ex
 from strandworks.plans.views import view, with_views
@@ -186,7 +187,7 @@ def a11_effects(spark, v):
 
 
 def robust(v) -> DataFrame:
-    tests = ordered(v).checkpoint(eager=True)
+    tests = cut(ordered(v))
     genes = ex.universe(tests)
     scores = ex.rra(ex.rank_lists(tests, genes), genes.count(), 3)
     return ex.robust_genes(scores, ex.mean_lfc(tests, genes)).select("direction", "gene", "score", "mean_lfc")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.functions.columns import rounded
+from strandworks.functions.storage import cut
+from strandworks.operators import concordance as cc
 from strandworks.operators import expression as ex
 from strandworks.operators import models as md
 from strandworks.operators import network as nw
@@ -31,7 +33,7 @@ PARTS = BOTH + ", reach AS (SELECT v, v AS r FROM (SELECT DISTINCT v FROM w) UNI
 
 
 def edges(v) -> DataFrame:
-    return nw.undirected_edges(v("v_pairs"), LEAST).checkpoint(eager=True)
+    return cut(nw.undirected_edges(v("v_pairs"), LEAST))
 
 
 @query("WITH " + EDGES + " SELECT src, dst, round(weight, 6) + 0.0 AS weight FROM e")
@@ -120,7 +122,7 @@ def labelled(v) -> tuple[DataFrame, list[str]]:
     genes = sorted(str(r.gene) for r in robust(v).select("gene").collect())  # the flagship's short list, a column each
     z = ex.zscore(ex.batch_center(expressed(v).where(F.col("gene").cast("string").isin(genes)).select(F.col("gene").cast("string").alias("gene"), "sample", "value"), v("v_meta").select("sample", (F.col("dataset") * 10 + F.col("cell")).alias("batch"))))
     meta = v("v_meta").select(F.col("sample").alias("id"), F.col("grp").cast("int").alias("y"), "dataset")
-    return md.wide(z.withColumn("z", F.coalesce("z", F.lit(0.0))), genes).join(meta, "id").checkpoint(eager=True), genes
+    return cut(md.wide(z.withColumn("z", F.coalesce("z", F.lit(0.0))), genes).join(meta, "id")), genes
 
 
 @query()
@@ -165,7 +167,7 @@ def m5_auc(spark, v):
 
 @query()
 def m6_auc_ci(spark, v):
-    return md.auc_ci(v("v_pred"))
+    return cc.auc_ci(v("v_pred"))
 
 
 @query()
@@ -180,7 +182,7 @@ def m8_nested_lodo(spark, v):
 
     meta = v("v_meta")
     labels = meta.select("sample", "dataset", F.col("grp").cast("int").alias("y"))
-    return md.nested_lodo(ordered(v).select("dataset", "gene", "b", "p").checkpoint(eager=True), expressed(v).select("gene", "sample", "value").checkpoint(eager=True), meta.select("sample", (F.col("dataset") * 10 + F.col("cell")).alias("batch")), labels, most=5, top=3, costs=(0.5,), rounds=1, trees=5, k=2, svm_rounds=8)
+    return md.nested_lodo(cut(ordered(v).select("dataset", "gene", "b", "p")), cut(expressed(v).select("gene", "sample", "value")), meta.select("sample", (F.col("dataset") * 10 + F.col("cell")).alias("batch")), labels, most=5, top=3, costs=(0.5,), rounds=1, trees=5, k=2, svm_rounds=8)
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandworks.functions.columns import rounded
+from strandworks.functions.storage import shared_dir
 from strandworks.plans.views import view, with_views
 from strandworks.sources import readers as rd
 
@@ -24,10 +25,7 @@ def query(sql: str):
 
 def folder(spark: SparkSession) -> str:
     """A new place in the folder that the cluster names for checkpoints."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base}/text-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
 
 
 def as_text(lines: DataFrame) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.functions.columns import rounded
+from strandworks.operators import concordance as cc
 from strandworks.operators import survival as sv
 from strandworks.operators import trial as tr
 from strandworks.plans.views import view, with_views
@@ -89,17 +90,17 @@ SELECT stage, CAST(count(*) AS DOUBLE) AS pairs, round(CAST(sum(CASE WHEN i.risk
   round(sum(CASE WHEN i.risk > j.risk THEN 1 WHEN i.risk = j.risk THEN 0.5 ELSE 0 END) / count(*), 6) + 0.0 AS cindex
 FROM v_cohort i JOIN v_cohort j USING (stage) WHERE i.event = 1 AND j.time > i.time GROUP BY stage""")
 def s5_cindex(spark, v):
-    return sv.cindex(v("v_cohort"), by=["stage"])
+    return cc.cindex(v("v_cohort"), by=["stage"])
 
 
 @query()
 def s6_cindex_ci(spark, v):
-    return sv.cindex_ci(v("v_cohort"))
+    return cc.cindex_ci(v("v_cohort"))
 
 
 @query()
 def s6_time_auc_ci(spark, v):
-    return sv.time_auc_ci(v("v_cohort"), YEARS)
+    return cc.time_auc_ci(v("v_cohort"), YEARS)
 
 
 @query("WITH cc AS (SELECT time, 1 - event AS event FROM v_cohort), " + km_sql("cc") + f""",

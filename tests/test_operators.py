@@ -12,6 +12,7 @@ from strandworks.operators import models as md
 from strandworks.operators import network as nw
 from strandworks.operators import screen as sc
 from strandworks.operators import sequence as sq
+from strandworks.operators import concordance as cc, scan
 from strandworks.operators import survival as sv
 from strandworks.operators import trial as tr
 from strandworks.operators.graph import connected_components
@@ -78,7 +79,7 @@ def test_concordance_and_auc(spark):
             if e and u > t:
                 pairs += 1
                 agree += (x > y) + 0.5 * (x == y)
-    got = sv.cindex(df, "x", block=32).collect()[0]
+    got = cc.cindex(df, "x").collect()[0]
     assert got.pairs == pairs and abs(got.cindex - agree / pairs) < 1e-12
     whole = df.withColumn("event", F.lit(1))
     t0 = 0.5
@@ -183,5 +184,5 @@ def test_distances_along_a_long_path(spark):
 
 def test_places_without_a_window_over_all_rows(spark):
     rows = spark.createDataFrame([(i, (i * 37) % 101) for i in range(101)], "id int, k int").repartition(5)
-    assert all(r.i == r.k + 1 for r in md.placed(rows, "i", "k").collect())
+    assert all(r.i == r.k + 1 for r in scan.numbered(rows, "i", [], ["k"]).collect())
     assert md.placed(rows.limit(0), "i", "k").count() == 0
