@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strandworks.llm.common import bounded_batches, cut, worker_state
+from strandworks.llm.common import bounded_batches, cut
 from strandworks.llm.simhash_golay import links
 from strandworks.operators.graph import connected_components
 
@@ -98,7 +98,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str) -
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = worker_state(("near copies",), lambda: shared.value)
+        last = shared.value  # of this run; a worker may have served another table before
         for batch in batches:
             nodes, prints, sizes, counts, firsts = [], [], [], [], []
             for x in batch.column(1):

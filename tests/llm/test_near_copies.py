@@ -70,6 +70,23 @@ def test_a_large_group_and_common_passages(spark, monkeypatch):
     assert run(spark, rows) == kept_by_brute_force(rows)
 
 
+def test_two_tables_in_one_worker(spark, monkeypatch):
+    """What is common in the table before must not order the shingles of this one."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(0, 300, 2):
+        words = rng.choices(vocab, k=60)
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words[:58], "x", "y"]))]
+    want = kept_by_brute_force(rows)
+    before = [(1000 * k + i, t) for k in range(5) for i, t in rows[::2]]
+    near_copies.near_copies(spark.createDataFrame(before, "doc_id long, text string").repartition(1)).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = {r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert found == want
+
+
 def test_prefixes_are_complete():
     for n in range(1, 400):
         assert near_copies.prefix_size(n) == n - int(np.ceil(np.round(0.8 * n, 9))) + 1
