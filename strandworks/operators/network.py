@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
 from math import factorial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandworks.functions.storage import cut
 from strandworks.operators.graph import connected_components
+from strandworks.operators.scan import numbered
 
-#: Directed edges whose adjacency may be broadcast to workers; beyond that distances go by joins.
-BROADCAST_EDGES = 5_000_000
+#: Vertices of no more than so many times the mean degree go in one round of the peeling.
+PEEL = 1.5
 
 
 def undirected_edges(pairs: DataFrame, least: float = 0.4) -> DataFrame:
@@ -38,39 +38,62 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(kept, "src", "left_semi")
 
 
+def core_order(edges: DataFrame) -> DataFrame:
+    """(v, place): an order in which no vertex has many later neighbours, however many it has in all.
+
+    Each round takes away the vertices of no more than PEEL times the mean degree of what is left, which is at least a
+    third of it; so a vertex has at most 2 * PEEL times as many later neighbours as the densest part of the graph has
+    edges for a vertex. ``place`` is the round, then the name.
+    """
+    left, order, n = cut(both_ways(edges)), None, 0
+    while left.take(1):
+        degrees = left.groupBy("v").agg(F.count("*").alias("degree"))
+        mean = degrees.agg((F.avg("degree") * PEEL).alias("most"))
+        gone = cut(degrees.crossJoin(F.broadcast(mean)).where(F.col("degree") <= F.col("most")).select("v", F.struct(F.lit(n).alias("round"), "v").alias("place")))  # one row
+        order = gone if order is None else order.unionByName(gone)
+        taken = gone.select("v")
+        left = cut(left.join(taken, "v", "left_anti").join(taken.withColumnRenamed("v", "w"), "w", "left_anti"))
+        n += 1
+    # a vertex whose neighbours all went before it has no edge left
+    every = both_ways(edges).select("v").distinct().select("v", F.struct(F.lit(n).alias("round"), "v").alias("place"))
+    return every if order is None else order.unionByName(every.join(order, "v", "left_anti"))
+
+
 def cliques_by_vertex(edges: DataFrame) -> DataFrame:
     """MCC of each vertex: the sum over its maximal cliques C of (|C| - 1)!, as double.
 
-    Every clique belongs to its first vertex in the order of (degree, name), so a task needs only the edges among a
-    vertex's later neighbours and, to tell maximal ones, its earlier neighbours. A hub comes late in that order and
-    keeps few later neighbours.
+    Every clique belongs to its first vertex v in the order of ``core_order``; the others are among v's later neighbours,
+    which are few. It is maximal if it is so among those, and if no earlier neighbour of v is adjacent to all of it: for
+    this a task gets, of each earlier neighbour, the later ones that it is adjacent to, and each such set once.
     """
-    rank = degree(edges).select("v", F.struct("degree", "v").alias("o"))
-    ends = both_ways(edges).join(rank, "v").join(rank.select(F.col("v").alias("w"), F.col("o").alias("ow")), "w")
-    later = ends.where(F.col("ow") > F.col("o")).select("v", "w")
-    earlier = ends.where(F.col("ow") < F.col("o")).select("v", "w")
-    # edges of the neighbourhood of v that touch a later neighbour
-    near = later.select("v", "w", F.lit(True).alias("late")).unionByName(earlier.select("v", "w", F.lit(False).alias("late")))
-    inside = later.join(both_ways(edges).select(F.col("v").alias("w"), F.col("w").alias("x")), "w").join(near.select("v", F.col("w").alias("x"), "late"), ["v", "x"]).select("v", "w", "x", "late")
-    alone = near.select("v", "w", F.lit(None).cast(dict(edges.dtypes)["src"]).alias("x"), "late")
     kind = dict(edges.dtypes)["src"]
+    rank = cut(core_order(edges))
+    ends = both_ways(edges).join(rank, "v").join(rank.select(F.col("v").alias("w"), F.col("place").alias("pw")), "w")
+    later = cut(ends.where(F.col("pw") > F.col("place")).select("v", "w"))
+    first, second = later.select(F.col("v").alias("a"), F.col("w").alias("b")), later.select(F.col("v").alias("a"), F.col("w").alias("c"))
+    closing = later.select(F.col("v").alias("b"), F.col("w").alias("c"))
+    triangles = cut(first.join(second, "a").join(closing, ["b", "c"]))  # a before b before c
+    seen = triangles.groupBy(F.col("b").alias("v"), "a").agg(F.array_sort(F.collect_list("c")).alias("set")).select("v", "set").distinct()
+    none = F.lit(None).cast(kind)
+    rows = later.select("v", "w", none.alias("x"), F.array().cast(f"array<{kind}>").alias("set"))
+    rows = rows.unionByName(triangles.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("c").alias("x"), F.array().cast(f"array<{kind}>").alias("set")))
+    rows = rows.unionByName(seen.select("v", none.alias("w"), none.alias("x"), "set"))
 
     def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        single = group["x"].isna()
-        late = set(group.loc[single & group["late"], "w"])
-        early = set(group.loc[single & ~group["late"], "w"])
-        links: dict = {u: set() for u in late | early}
-        for w, x in zip(group.loc[~single, "w"], group.loc[~single, "x"], strict=True):
+        single, linked = group["x"].isna() & group["w"].notna(), group["x"].notna()
+        links: dict = {u: set() for u in group.loc[single, "w"]}
+        for w, x in zip(group.loc[linked, "w"], group.loc[linked, "x"], strict=True):
             links[w].add(x)
             links[x].add(w)
+        covered = [set(s) for s in group.loc[group["w"].isna(), "set"]]
         score: dict = {}
-        stack = [((key[0],), late, early)]
+        stack = [((), set(links), set())]
         while stack:
             clique, more, done = stack.pop()
             if not more:
-                if not done and len(clique) > 1:
-                    for u in clique:
-                        score[u] = score.get(u, 0.0) + float(factorial(len(clique) - 1))
+                if not done and clique and not any(c.issuperset(clique) for c in covered):
+                    for u in (key[0], *clique):
+                        score[u] = score.get(u, 0.0) + float(factorial(len(clique)))
                 continue
             pivot = max(more | done, key=lambda u: (len(links[u] & more), str(u)))
             more, done = set(more), set(done)
@@ -80,87 +103,89 @@ def cliques_by_vertex(edges: DataFrame) -> DataFrame:
                 done.add(u)
         return pd.DataFrame({"v": list(score), "mcc": list(score.values())})
 
-    found = inside.unionByName(alone).groupBy("v").applyInPandas(search, f"v {kind}, mcc double")
+    found = rows.groupBy("v").applyInPandas(search, f"v {kind}, mcc double")
     return found.groupBy("v").agg(F.sum("mcc").alias("mcc"))
 
 
-def _adjacency(edges: DataFrame) -> dict:
-    if edges.count() * 2 > BROADCAST_EDGES:
-        raise ValueError("too many edges to broadcast; use distances() on frontiers")
-    out: dict = {}
-    for r in edges.select("src", "dst").collect():
-        out.setdefault(r.src, []).append(r.dst)
-        out.setdefault(r.dst, []).append(r.src)
-    return {k: sorted(v) for k, v in out.items()}
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(v, betweenness) of every vertex of a connected graph, normalised, by joins keyed by source and vertex.
+
+    Level by level the shortest paths from each source are counted; backward, each vertex hands what depends on it to
+    the vertices before it, in parts by their paths. The state has a row for each source and vertex. ``sources``: a
+    sample of vertices by which the sums are scaled up; by default all.
+    """
+    steps = both_ways(edges).persist()
+    vertices = cut(steps.select("v").distinct())
+    asked = vertices if sources is None else sources.select("v").distinct()
+    n, m = vertices.count(), asked.count()
+    levels = [cut(asked.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")))]
+    found = levels[0].select("s", "v")
+    while True:
+        new = levels[-1].join(steps, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        new = cut(new.join(found, ["s", "v"], "left_anti"))
+        if not new.take(1):
+            break
+        levels.append(new)
+        found = found.unionByName(new.select("s", "v"))
+    total = None
+    owed = levels[-1].withColumn("share", F.lit(0.0))
+    for level in reversed(levels[:-1]):
+        handed = owed.select("s", "v", ((1 + F.col("share")) / F.col("paths")).alias("part")).join(steps, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("part").alias("part"))
+        done = owed.select("v", "share")
+        total = done if total is None else total.unionByName(done)
+        owed = cut(level.join(handed, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
+    steps.unpersist()
+    scale = (n / m) / ((n - 1) * (n - 2)) if n > 2 and m else 0.0
+    sums = total.groupBy("v").agg(F.sum("share").alias("b")) if total is not None else vertices.withColumn("b", F.lit(0.0))
+    return vertices.join(sums, "v", "left").select("v", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def centrality(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Betweenness (normalised) and closeness of the vertices of a connected graph of checked size.
+def closeness(edges: DataFrame) -> DataFrame:
+    """(reached vertices) / (sum of hops) of every vertex.
 
-    One pass of shortest paths from each source; sources are dealt to tasks, the adjacency is broadcast after its
-    size was checked. ``sources`` may be a sample of vertices: betweenness is then scaled up, closeness is theirs.
+    Breadth-first searches of 64 sources at once: what a vertex has been reached by is one long of a bit for each source.
+    As hops are the same both ways, a vertex's sum of hops is that of how many sources reach it anew in each round, so
+    the state is one row for each vertex and 64 sources.
     """
-    spark = edges.sparkSession
-    links = _adjacency(edges)
-    shared = spark.sparkContext.broadcast(links)
-    kind = dict(edges.dtypes)["src"]
-    vertices = both_ways(edges).select("v").distinct()
-    asked = vertices if sources is None else sources.select("v")
-    n, m = len(links), asked.count()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adjacency = shared.value
-        between: dict = {}
-        near: list = []
-        for batch in batches:
-            for s in batch["v"]:
-                dist, paths, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
-                while queue:
-                    u = queue.popleft()
-                    order.append(u)
-                    for w in adjacency[u]:
-                        if w not in dist:
-                            dist[w] = dist[u] + 1
-                            queue.append(w)
-                        if dist[w] == dist[u] + 1:
-                            paths[w] = paths.get(w, 0.0) + paths[u]
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for u in adjacency[w]:
-                        if dist[u] == dist[w] - 1:
-                            share[u] += paths[u] / paths[w] * (1 + share[w])
-                    if w != s:
-                        between[w] = between.get(w, 0.0) + share[w]
-                total = sum(dist.values())
-                near.append((s, (len(order) - 1) / total if total else 0.0))
-        yield pd.DataFrame({"v": list(between), "b": list(between.values()), "c": None}).astype({"b": float, "c": float})
-        yield pd.DataFrame({"v": [x for x, _ in near], "b": 0.0, "c": [x for _, x in near]})
-
-    parts = asked.repartition(spark.sparkContext.defaultParallelism, "v").mapInPandas(run, f"v {kind}, b double, c double")
-    scale = (n / m) / ((n - 1) * (n - 2)) if n > 2 and m else 0.0
-    return parts.groupBy("v").agg((F.sum("b") * scale).alias("betweenness"), F.max("c").alias("closeness"))
+    steps = both_ways(edges).persist()
+    places = numbered(steps.select("v").distinct(), "i", [], ["v"]).withColumn("i", F.col("i") - 1)
+    bit = F.expr("shiftleft(1L, cast(i % 64 AS int))")
+    batches = places.select(F.floor(F.col("i") / 64).alias("batch"), "v", bit.alias("seen"), bit.alias("front"), F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("reached"))
+    state, hop = cut(batches), 0
+    while state.where("front <> 0").take(1):
+        hop += 1
+        none = F.lit(0).cast("long")
+        sent = state.where("front <> 0").join(steps, "v").select("batch", F.col("w").alias("v"), none.alias("seen"), F.col("front").alias("got"), none.alias("hops"), none.alias("reached"))
+        held = state.select("batch", "v", "seen", none.alias("got"), "hops", "reached")
+        met = held.unionByName(sent).groupBy("batch", "v").agg(F.bit_or("seen").alias("seen"), F.bit_or("got").alias("got"), F.sum("hops").alias("hops"), F.sum("reached").alias("reached"))
+        new = F.col("got").bitwiseAND(F.bitwise_not("seen"))
+        state = cut(met.withColumn("front", new).select("batch", "v", F.col("seen").bitwiseOR(F.col("front")).alias("seen"), "front", (F.col("hops") + hop * F.bit_count("front")).alias("hops"), (F.col("reached") + F.bit_count("front")).alias("reached")))
+    steps.unpersist()
+    return state.groupBy("v").agg(F.try_divide(F.sum("reached").cast("double"), F.sum("hops")).alias("closeness"))
 
 
 def distances(edges: DataFrame, source: DataFrame) -> DataFrame:
     """Hops from each source to every vertex it reaches, by frontier joins: (s, v, hops). Hops go on until none is
     reached anew."""
     steps = both_ways(edges).persist()
-    found = source.select(F.col("v").alias("s"), "v", F.lit(0).alias("hops")).checkpoint(eager=True)
+    found = cut(source.select(F.col("v").alias("s"), "v", F.lit(0).alias("hops")))
     front, hop = found, 0
     while True:
         hop += 1
-        new = front.join(steps, "v").select("s", F.col("w").alias("v")).distinct().join(found, ["s", "v"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint(eager=True)
+        new = cut(front.join(steps, "v").select("s", F.col("w").alias("v")).distinct().join(found, ["s", "v"], "left_anti").withColumn("hops", F.lit(hop)))
         if not new.take(1):
             break
-        found, front = found.unionByName(new).checkpoint(eager=True), new
+        found, front = cut(found.unionByName(new)), new
     steps.unpersist()
     return found
 
 
-def closeness(edges: DataFrame) -> DataFrame:
-    """(reached vertices) / (sum of hops) of every vertex, by frontier joins."""
-    vertices = both_ways(edges).select("v").distinct()
-    return distances(edges, vertices).groupBy(F.col("s").alias("v")).agg(F.try_divide((F.count("*") - 1).cast("double"), F.sum("hops")).alias("closeness"))
+def centralities(edges: DataFrame) -> DataFrame:
+    """v, degree, mcc, betweenness and closeness of the vertices of a connected graph, as doubles."""
+    out = degree(edges).select("v", F.col("degree").cast("double").alias("degree"))
+    for part in (cliques_by_vertex(edges), betweenness(edges), closeness(edges)):
+        out = out.join(part, "v", "left")
+    return out.na.fill(0.0)
 
 
 def hubs(metrics: DataFrame, names: list[str], top: int = 20, least: int = 3) -> DataFrame:

@@ -56,17 +56,38 @@ def n3_degree(spark, v):
     return nw.degree(edges(v))
 
 
-@query()
+#: The largest component's edges both ways, in tables of their own: g (edges), u (both ways), adj (neighbours).
+LARGEST = PARTS + """, best AS (SELECT component FROM parts GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
+g AS (SELECT src, dst FROM e WHERE src IN (SELECT vertex FROM parts WHERE component = (SELECT component FROM best))), u AS (SELECT src AS v, dst AS w FROM g UNION ALL SELECT dst, src FROM g), adj AS (SELECT v, list(w) AS ns FROM u GROUP BY v)"""
+#: All cliques by adding ever larger vertices; a maximal one has no vertex adjacent to all of it.
+CLIQUES = """, q AS (SELECT [least(src, dst), greatest(src, dst)] AS c FROM g UNION ALL SELECT list_append(q.c, u.w) FROM q JOIN u ON u.v = q.c[len(q.c)] AND u.w > u.v JOIN adj ON adj.v = u.w WHERE len(list_intersect(q.c, adj.ns)) = len(q.c)),
+wider AS (SELECT DISTINCT q.c FROM q JOIN u ON u.v = q.c[1] JOIN adj ON adj.v = u.w WHERE len(list_intersect(q.c, adj.ns)) = len(q.c)),
+mcc AS (SELECT v, CAST(sum(factorial(CAST(n - 1 AS INTEGER))) AS DOUBLE) AS mcc FROM (SELECT unnest(c) AS v, len(c) AS n FROM q ANTI JOIN wider USING (c)) GROUP BY v)"""
+#: Hops in the component; more than FAR are not looked for (no vertex of the driver's graph is so far from another).
+FAR = 12
+REACH = f""", hop AS (SELECT v AS s, v, 0 AS h FROM adj UNION SELECT hop.s, u.w, hop.h + 1 FROM hop JOIN u ON u.v = hop.v WHERE hop.h < {FAR}), near AS (SELECT s, v, min(h) AS h FROM hop GROUP BY ALL),
+clo AS (SELECT s AS v, (count(*) - 1) / nullif(sum(h), 0) AS closeness FROM near GROUP BY s)"""
+PATHS = ", p0 AS (SELECT v AS s, v, 1.0::DOUBLE AS n FROM adj)" + "".join(f", p{i} AS (SELECT p.s, u.w AS v, sum(p.n) AS n FROM p{i - 1} p JOIN u ON u.v = p.v JOIN near k ON k.s = p.s AND k.v = u.w AND k.h = {i} GROUP BY ALL)" for i in range(1, FAR + 1))
+BETWEEN = PATHS + ", ways AS (" + " UNION ALL ".join(f"SELECT s, v, n, {i} AS h FROM p{i}" for i in range(FAR + 1)) + """),
+thru AS (SELECT a.v, sum(a.n * b.n / t.n) AS b FROM ways t JOIN ways a ON a.s = t.s AND a.v <> t.s AND a.v <> t.v JOIN ways b ON b.s = a.v AND b.v = t.v AND a.h + b.h = t.h WHERE t.s <> t.v GROUP BY a.v),
+btw AS (SELECT v, coalesce(b, 0) / ((SELECT count(*) FROM adj) - 1) / ((SELECT count(*) FROM adj) - 2) AS betweenness FROM adj LEFT JOIN thru USING (v))"""
+
+
+def largest(v) -> DataFrame:
+    return cut(nw.largest_component(edges(v)))
+
+
+@query("WITH RECURSIVE " + LARGEST + CLIQUES + " SELECT v, mcc FROM mcc")
 def n4_mcc(spark, v):
-    return nw.cliques_by_vertex(nw.largest_component(edges(v)))
+    return nw.cliques_by_vertex(largest(v))
 
 
-@query()
+@query("WITH RECURSIVE " + LARGEST + REACH + BETWEEN + " SELECT v, round(betweenness, 6) + 0.0 AS betweenness FROM btw")
 def n5_betweenness(spark, v):
-    return nw.centrality(nw.largest_component(edges(v)))
+    return nw.betweenness(largest(v))
 
 
-HOPS = BOTH + """, hop AS (SELECT v AS s, v, 0 AS h FROM (SELECT DISTINCT v FROM w) UNION SELECT hop.s, w.w, hop.h + 1 FROM hop JOIN w ON w.v = hop.v WHERE hop.h < 12),
+HOPS = BOTH + f""", hop AS (SELECT v AS s, v, 0 AS h FROM (SELECT DISTINCT v FROM w) UNION SELECT hop.s, w.w, hop.h + 1 FROM hop JOIN w ON w.v = hop.v WHERE hop.h < {FAR}),
 near AS (SELECT s, v, min(h) AS h FROM hop GROUP BY ALL)"""
 
 
@@ -75,25 +96,28 @@ def n6_closeness(spark, v):
     return nw.closeness(edges(v))
 
 
-METRICS = BOTH + """, d AS (SELECT v, count(*) AS a FROM w GROUP BY v), m AS (SELECT v, CAST(a AS DOUBLE) AS a, CAST(v % 31 AS DOUBLE) AS b, CAST(v * 17 % 53 AS DOUBLE) AS c, CAST(v * 29 % 47 AS DOUBLE) AS d FROM d),
-l AS (SELECT v, k, row_number() OVER (PARTITION BY k ORDER BY x DESC, v) AS r FROM m UNPIVOT (x FOR k IN (a, b, c, d))),
-n AS (SELECT v, count(*) AS n FROM l WHERE r <= 20 GROUP BY v), h AS (SELECT v, coalesce(n, 0) AS n_top, coalesce(n, 0) >= 2 AS hub FROM m LEFT JOIN n USING (v))"""
+#: Vertices of each measure that count, and in how many measures a hub must be among them; fixed values.
+TOP, MEASURES = 20, 3
+HUBS = LARGEST + CLIQUES + REACH + BETWEEN + f""", m AS (SELECT v, CAST(len(ns) AS DOUBLE) AS degree, coalesce(mcc, 0) AS mcc, round(coalesce(betweenness, 0), 9) AS betweenness, round(coalesce(closeness, 0), 9) AS closeness FROM adj LEFT JOIN mcc USING (v) LEFT JOIN btw USING (v) LEFT JOIN clo USING (v)),
+l AS (SELECT v, k, row_number() OVER (PARTITION BY k ORDER BY x DESC, v) AS r FROM m UNPIVOT (x FOR k IN (degree, mcc, betweenness, closeness))),
+n AS (SELECT v, count(*) AS n FROM l WHERE r <= {TOP} GROUP BY v), h AS (SELECT v, coalesce(n, 0) AS n_top, coalesce(n, 0) >= {MEASURES} AS hub FROM m LEFT JOIN n USING (v))"""
 
 
 def hubs(v) -> DataFrame:
-    k = F.col("v")
-    metrics = nw.degree(edges(v)).select("v", F.col("degree").cast("double").alias("a"), (k % 31).cast("double").alias("b"), (k * 17 % 53).cast("double").alias("c"), (k * 29 % 47).cast("double").alias("d"))
-    return nw.hubs(metrics, ["a", "b", "c", "d"], 20, 2).select("v", "n_top", "hub")
+    """Hubs of the largest component by its four centralities; ties below the ninth digit go by vertex."""
+    names = ["degree", "mcc", "betweenness", "closeness"]
+    measured = nw.centralities(largest(v)).select("v", *(F.round(c, 9).alias(c) for c in names))
+    return nw.hubs(cut(measured), names, TOP, MEASURES).select("v", "n_top", "hub")
 
 
-@query("WITH " + METRICS + " SELECT v, n_top, hub FROM h")
+@query("WITH RECURSIVE " + HUBS + " SELECT v, n_top, hub FROM h")
 def n7_hubs(spark, v):
     return hubs(v)
 
 
-@query("WITH " + METRICS + ", near AS (SELECT v FROM h WHERE hub UNION SELECT w.w FROM w JOIN h ON w.v = h.v WHERE hub) SELECT src, dst FROM e WHERE src IN (SELECT v FROM near) AND dst IN (SELECT v FROM near)")
+@query("WITH RECURSIVE " + HUBS + ", close AS (SELECT v FROM h WHERE hub UNION SELECT u.w FROM u JOIN h ON u.v = h.v WHERE hub) SELECT src, dst FROM g WHERE src IN (SELECT v FROM close) AND dst IN (SELECT v FROM close)")
 def n8_hub_subnetwork(spark, v):
-    return nw.hub_subnetwork(edges(v), hubs(v).where("hub")).select("src", "dst")
+    return nw.hub_subnetwork(largest(v), hubs(v).where("hub")).select("src", "dst")
 
 
 @query("""

@@ -49,10 +49,57 @@ def test_components_and_cliques(spark):
 
 def test_centrality_of_a_star(spark):
     star = path_star_clique(spark).where("src = 10")
-    got = {r.v: (r.betweenness, r.closeness) for r in nw.centrality(star).collect()}
+    got = {r.v: (r.betweenness, r.closeness) for r in nw.centralities(star).collect()}
     assert abs(got[10][0] - 1) < 1e-12 and got[11][0] == 0 and got[10][1] == 1 and abs(got[11][1] - 4 / 7) < 1e-12
-    near = {r.v: r.closeness for r in nw.closeness(star).collect()}
-    assert all(abs(near[v] - got[v][1]) < 1e-12 for v in got)
+
+
+def test_centralities_of_a_graph_with_a_hub(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(0, i) for i in range(1, 150)}  # a hub, few links among its neighbours, two dense groups
+    pairs |= {tuple(sorted(map(int, rng.choice(np.arange(1, 150), 2, replace=False)))) for _ in range(120)}
+    pairs |= {(i, j) for i in range(10, 17) for j in range(i + 1, 17)} | {(i, j) for i in range(15, 21) for j in range(i + 1, 21)}
+    links = {v: set() for v in range(150)}
+    for a, b in pairs:
+        links[a].add(b)
+        links[b].add(a)
+    mcc = dict.fromkeys(links, 0.0)
+
+    def grow(clique, more, done):
+        if not more and not done:
+            for u in clique:
+                mcc[u] += math.factorial(len(clique) - 1)
+        for u in list(more):
+            grow([*clique, u], more & links[u], done & links[u])
+            more = more - {u}
+            done = done | {u}
+
+    grow([], set(links), set())
+    hops, ways = {}, {}
+    for s in links:
+        dist, paths, front = {s: 0}, {s: 1}, [s]
+        while front:
+            new = {}
+            for v in front:
+                for w in links[v]:
+                    if w not in dist:
+                        new[w] = new.get(w, 0) + paths[v]
+            for w, n in new.items():
+                dist[w], paths[w] = dist[front[0]] + 1, n
+            front = list(new)
+        hops[s], ways[s] = dist, paths
+    between = {v: sum(ways[s][v] * ways[v][t] / ways[s][t] for s in links for t in links if len({s, t, v}) == 3 and hops[s][v] + hops[v][t] == hops[s][t]) / (149 * 148) for v in list(links)[:30]}
+    edges = spark.createDataFrame(sorted(pairs), "src int, dst int")
+    got = {r.v: r for r in nw.centralities(edges).collect()}
+    assert len(got) == 150 and all(abs(got[v].mcc - mcc[v]) < 1e-9 and got[v].degree == len(links[v]) and abs(got[v].closeness - 149 / sum(hops[v].values())) < 1e-12 for v in links)
+    assert all(abs(got[v].betweenness - between[v]) < 1e-12 for v in between)
+    places = {r.v: r.place for r in nw.core_order(edges).collect()}
+    assert max(sum(places[w] > places[v] for w in links[v]) for v in links) <= 14  # the hub has 149 neighbours
+
+
+def test_closeness_over_more_than_one_word_of_sources(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(140)], "src int, dst int")
+    got = {r.v: r.closeness for r in nw.closeness(edges).collect()}
+    assert all(abs(got[v] - 140 / sum(abs(v - w) for w in range(141))) < 1e-12 for v in range(141))
 
 
 def survival_rows(spark, n=300, beta=0.8, seed=1):
@@ -185,4 +232,4 @@ def test_distances_along_a_long_path(spark):
 def test_places_without_a_window_over_all_rows(spark):
     rows = spark.createDataFrame([(i, (i * 37) % 101) for i in range(101)], "id int, k int").repartition(5)
     assert all(r.i == r.k + 1 for r in scan.numbered(rows, "i", [], ["k"]).collect())
-    assert md.placed(rows.limit(0), "i", "k").count() == 0
+    assert scan.numbered(rows.limit(0), "i", [], ["k"]).count() == 0
