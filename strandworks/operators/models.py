@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strandworks.functions.columns import log_factorials
 from strandworks.functions.storage import cut
+from strandworks.operators.keyed_fits import Absolute, Fit, Squares, hinge, logistic, prepared, solve
 from strandworks.operators.scan import numbered, running, spread
 
 
@@ -59,60 +62,57 @@ def votes(selections: DataFrame, selectors: int) -> DataFrame:
 
 
 def l1_path(df: DataFrame, genes: list[str], costs: list[float], k: int = 10, seed: int = 2026) -> DataFrame:
-    """(c, gene, coef, log_loss, best) of an L1 logistic path with stratified cross-validation; the intercept is free."""
-    data = vectors(stratified_folds(df, k, seed), genes).persist()
-    out = []
-    for c in costs:
-        loss = n = 0.0
-        for fold in range(k):
-            train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-            model = _logistic(train, c)
-            p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
-            r = model.transform(test).agg(F.sum(F.when(F.col("label") == 1, -F.ln(p)).otherwise(-F.ln(1 - p))).alias("s"), F.count("*").alias("n")).collect()[0]
-            loss, n = loss + (r.s or 0.0), n + r.n
-        coef = _logistic(data, c).coefficients.toArray()
-        out += [(float(c), g, float(b), loss / n) for g, b in zip(genes, coef, strict=True)]
-    data.unpersist()
-    table = df.sparkSession.createDataFrame(out, "c double, gene string, coef double, log_loss double")
-    best = table.groupBy("c").agg(F.first("log_loss").alias("l")).orderBy("l", "c").limit(1).select(F.col("c").alias("b"))
-    return table.join(F.broadcast(best)).withColumn("best", F.col("c") == F.col("b")).drop("b")  # one row
-
-
-def _logistic(data: DataFrame, c: float, l1: float = 1.0):
-    return LogisticRegression(elasticNetParam=l1, regParam=1.0 / (data.count() * c), standardization=False, maxIter=200, tol=1e-8).fit(data)
-
-
-def svm_rfe(df: DataFrame, genes: list[str], keep: int = 1, share: float = 0.0, c: float = 1.0, rounds: int = 50) -> list[str]:
-    """Genes from the last eliminated to the first: each round drops those with the least squared weight.
-
-    One a round, or a share of what is left when there are many.
-    """
-    left, gone = list(genes), []
-    n = df.count()
-    while len(left) > keep:
-        data = vectors(df, left)
-        w = LinearSVC(regParam=1.0 / (n * c), maxIter=rounds, standardization=False).fit(data).coefficients.toArray()
-        order = sorted(range(len(left)), key=lambda i: (w[i] ** 2, left[i]))
-        drop = {left[i] for i in order[: min(max(1, int(share * len(left))), len(left) - keep)]}
-        gone += [left[i] for i in order if left[i] in drop]
-        left = [g for g in left if g not in drop]
-    return [*left, *reversed(gone)]
-
-
-def svm_rfe_cv(df: DataFrame, genes: list[str], most: int, k: int = 5, seed: int = 2026, share: float = 0.2, rounds: int = 50) -> DataFrame:
+    """(c, gene, coef, log_loss, best) of an L1 logistic path with stratified cross-validation; the intercept is free.
+
+    The fits of all costs and folds are solved together, to the optimality conditions."""
+    rows = prepared(stratified_folds(df, k, seed), genes)
+    p = len(genes)
+    fits = solve(rows, [Fit(fold, float(c), np.ones(p, bool), np.zeros(p + 1)) for c in costs for fold in range(-1, k)], logistic, Absolute())
+    loss = {c: sum(f.now["held_loss"] for f in fits if f.cost == c and f.fold >= 0) / max(1.0, sum(f.now["held_n"] for f in fits if f.cost == c and f.fold >= 0)) for c in map(float, costs)}
+    best = min(loss, key=lambda c: (loss[c], c))
+    out = [(f.cost, g, float(b), float(loss[f.cost]), bool(f.cost == best)) for f in fits if f.fold < 0 for g, b in zip(genes, f.beta, strict=False)]
+    return df.sparkSession.createDataFrame(out, "c double, gene string, coef double, log_loss double, best boolean")
+
+
+def eliminated(rows: DataFrame, genes: list[str], folds: list[int], keep: int = 1, share: float = 0.0, c: float = 1.0) -> dict[int, list[str]]:
+    """For each fold left out, the genes from the last eliminated to the first; all folds go on together.
+
+    Each round drops the genes of least squared weight in a linear classifier with hinge loss: one, or a share of what is
+    left when there are many. A round starts from the weights of the one before."""
+    p = len(genes)
+    fits = [Fit(fold, c, np.ones(p, bool), np.zeros(p + 1)) for fold in folds]
+    gone: dict[int, list[int]] = {f: [] for f in folds}
+    while (left := int(fits[0].active.sum())) > keep:
+        solve(rows, fits, hinge, Squares())
+        for f in fits:
+            order = sorted(np.flatnonzero(f.active), key=lambda i: (f.beta[i] ** 2, genes[i]))
+            drop = order[: min(max(1, int(share * left)), left - keep)]
+            gone[f.fold] += drop
+            f.active[drop], f.beta[drop] = False, 0.0
+    return {f.fold: [*(genes[i] for i in np.flatnonzero(f.active)), *(genes[i] for i in reversed(gone[f.fold]))] for f in fits}
+
+
+def svm_rfe(df: DataFrame, genes: list[str], keep: int = 1, share: float = 0.0, c: float = 1.0) -> list[str]:
+    """Genes from the last eliminated to the first, on all rows."""
+    return eliminated(prepared(df.withColumn("fold", F.lit(0)), genes), genes, [-1], keep, share, c)[-1]
+
+
+def svm_rfe_cv(df: DataFrame, genes: list[str], most: int, k: int = 5, seed: int = 2026, share: float = 0.0) -> DataFrame:
     """(k, accuracy, best): cross-validated accuracy by number of genes, ranked within each fold."""
-    data = stratified_folds(df, k, seed).persist()
-    hits = {n: 0 for n in range(1, min(most, len(genes)) + 1)}
-    total = data.count()
-    for fold in range(k):
-        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-        order = svm_rfe(train, genes, share=share, rounds=rounds)
-        for n in hits:
-            model = LinearSVC(regParam=1.0 / total, maxIter=rounds, standardization=False).fit(vectors(train, order[:n]))
-            hits[n] += model.transform(vectors(test, order[:n])).where(F.col("prediction") == F.col("label")).count()
-    data.unpersist()
+    rows = prepared(stratified_folds(df, k, seed), genes)
+    ranks = eliminated(rows, genes, list(range(k)), share=share)
+    sizes, place = range(1, min(most, len(genes)) + 1), {g: i for i, g in enumerate(genes)}
+
+    def chosen(fold: int, n: int) -> np.ndarray:
+        out = np.zeros(len(genes), bool)
+        out[[place[g] for g in ranks[fold][:n]]] = True
+        return out
+
+    fits = solve(rows, [Fit(fold, 1.0, chosen(fold, n), np.zeros(len(genes) + 1)) for n in sizes for fold in range(k)], hinge, Squares())
+    hits = {n: sum(f.now["held_hits"] for f in fits if f.active.sum() == n) for n in sizes}
+    total = max(1.0, sum(f.now["held_n"] for f in fits if f.active.sum() == 1))
     best = max(hits, key=lambda n: (hits[n], -n))
-    return df.sparkSession.createDataFrame([(n, h / total, n == best) for n, h in hits.items()], "k int, accuracy double, best boolean")
+    return df.sparkSession.createDataFrame([(n, float(h / total), n == best) for n, h in hits.items()], "k int, accuracy double, best boolean")
 
 
 def keyed_place(i: Column, n: int, *key: Column) -> Column:
@@ -142,21 +142,23 @@ def shadows(place: DataFrame, n: int, genes: list[str], seed: int) -> DataFrame:
     return place.join(copies, "__i")
 
 
-def boruta(df: DataFrame, genes: list[str], rounds: int = 100, trees: int = 100, seed: int = 2026) -> DataFrame:
-    """(gene, hits, padj): rounds in which a gene's importance in a forest exceeds every permuted copy's."""
-    hits = dict.fromkeys(genes, 0)
+def boruta(df: DataFrame, genes: list[str], rounds: int = 100, trees: int = 100, seed: int = 2026, threads: int = 4) -> DataFrame:
+    """(gene, hits, padj): rounds in which a gene's importance in a forest exceeds every permuted copy's.
+
+    Rounds do not depend on each other; ``threads`` of them run at a time."""
     names = [*genes, *(f"shadow_{g}" for g in genes)]
     base = numbered(df, "__i", [], ["id"]).persist()
     n = base.count()
-    for i in range(rounds):
-        data = vectors(shadows(base, n, genes, seed + i), names)
-        forest = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=seed + i, maxDepth=8).fit(data)
-        importance = forest.featureImportances.toArray()
-        bar = importance[len(genes) :].max()
-        for g, x in zip(genes, importance, strict=False):
-            hits[g] += int(x > bar)
+
+    def won(i: int) -> list[bool]:
+        data = cut(vectors(shadows(base, n, genes, seed + i), names).select("features", "label"))
+        importance = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=seed + i, maxDepth=8).fit(data).featureImportances.toArray()
+        return [bool(x > importance[len(genes) :].max()) for x in importance[: len(genes)]]
+
+    with ThreadPoolExecutor(threads) as pool:
+        wins = list(pool.map(inheritable_thread_target(df.sparkSession)(won), range(rounds)))
     base.unpersist()
-    table = df.sparkSession.createDataFrame([(g, h) for g, h in hits.items()], "gene string, hits int")
+    table = df.sparkSession.createDataFrame([(g, sum(w[j] for w in wins)) for j, g in enumerate(genes)], "gene string, hits int")
     return boruta_tail(table, rounds)
 
 
@@ -169,17 +171,17 @@ def boruta_tail(hits: DataFrame, rounds: int) -> DataFrame:
     return hits.join(F.broadcast(logs)).join(F.broadcast(n)).withColumn("padj", F.least(tail * F.col("m"), F.lit(1.0))).select("gene", "hits", "padj")  # one row each
 
 
-def predict_folds(df: DataFrame, genes: list[str], fold: str, c: float = 1.0, l1: float = 0.0) -> DataFrame:
-    """Each row's probability from a logistic model of all rows with another value of ``fold``: id, y, fold, p.
+def predict_folds(df: DataFrame, genes: list[str], fold: str, c: float = 1.0) -> DataFrame:
+    """Each row's probability from a ridge logistic model of all rows with another value of ``fold``: id, y, fold, p.
 
-    With a fold column this is cross-validation, with the dataset column it leaves one dataset out.
-    """
-    data = vectors(df, genes).persist()
-    parts = []
-    for value in [r[0] for r in data.select(fold).distinct().orderBy(fold).collect()]:
-        model = _logistic(data.where(F.col(fold) != value), c, l1)
-        parts.append(model.transform(data.where(F.col(fold) == value)).select("id", "y", fold, vector_to_array("probability")[1].alias("p")))
-    return reduce(DataFrame.unionByName, parts)
+    With a fold column this is cross-validation, with the dataset column it leaves one dataset out. All models are
+    fitted in one job a step; there is one for each value of ``fold``."""
+    values = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # a row for each model
+    keyed = df.join(F.broadcast(df.sparkSession.createDataFrame(list(enumerate(values)), f"__f int, {fold} {dict(df.dtypes)[fold]}")), fold)
+    fits = solve(prepared(keyed, genes, "__f"), [Fit(i, c, np.ones(len(genes), bool), np.zeros(len(genes) + 1)) for i in range(len(values))], logistic, Squares())
+    weights = df.sparkSession.createDataFrame([(f.fold, [float(b) for b in f.beta]) for f in fits], "__f int, b array<double>")
+    score = F.aggregate(F.zip_with(F.array(*(F.col(g).cast("double") for g in genes), F.lit(1.0)), "b", lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    return keyed.join(F.broadcast(weights), "__f").select("id", "y", fold, (1 / (1 + F.exp(-score))).alias("p"))
 
 
 def boosted_folds(df: DataFrame, genes: list[str], k: int = 5, rounds: int = 60, seed: int = 2026) -> DataFrame:
@@ -223,7 +225,7 @@ def pca_scores(matrix: DataFrame, samples: DataFrame, most: int = 2000, k: int =
     return scores.join(samples, "sample"), [float(x) for x in model.explainedVariance.toArray()]
 
 
-def nested_lodo(tests: DataFrame, matrix: DataFrame, batches: DataFrame, labels: DataFrame, most: int = 40, top: int = 12, costs: tuple[float, ...] = (0.05, 0.2, 1.0), rounds: int = 8, trees: int = 30, k: int = 4, svm_rounds: int = 50) -> DataFrame:
+def nested_lodo(tests: DataFrame, matrix: DataFrame, batches: DataFrame, labels: DataFrame, most: int = 40, top: int = 12, costs: tuple[float, ...] = (0.05, 0.2, 1.0), rounds: int = 8, trees: int = 30, k: int = 5, share: float = 0.0) -> DataFrame:
     """Leave one dataset out with every choice inside: (held_out, n_test, n_robust, n_core, core, auc).
 
     ``tests``: dataset, gene, b, p for all datasets, computed once; ``matrix``: sample, gene, value; ``batches``:
@@ -253,12 +255,12 @@ def nested_lodo(tests: DataFrame, matrix: DataFrame, batches: DataFrame, labels:
         train, test = ready(labels.where(F.col("dataset") != held)), ready(labels.where(F.col("dataset") == held))
         path = l1_path(train, names, list(costs), k=k)
         lasso = [r.gene for r in path.where(F.col("best") & (F.col("coef") != 0)).collect()]
-        ranked = svm_rfe(train, names, share=0.3, rounds=svm_rounds)[:top]
+        ranked = svm_rfe(train, names, share=share)[:top]
         forest = [r.gene for r in boruta(train, names, rounds, trees).where(F.col("hits") > rounds / 2).collect()]
         counts = {g: (g in lasso) + (g in ranked) + (g in forest) for g in names}
         core = [g for g in names if counts[g] >= 2] or names[:5]
-        model = _logistic(vectors(train, core), 1.0, 0.0)
-        score = auc(model.transform(vectors(test, core)).select("y", vector_to_array("probability")[1].alias("p"))).collect()[0][0]
+        both = train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1)))
+        score = auc(predict_folds(both, core, "part").where("part = 1")).collect()[0][0]
         out.append((str(held), test.count(), total, len(core), ";".join(sorted(core)), score))
     genes.unpersist()
     return tests.sparkSession.createDataFrame(out, "held_out string, n_test long, n_robust long, n_core int, core string, auc double")

@@ -157,28 +157,32 @@ def a17_pca(spark, v):
     return scores
 
 
+#: Costs of the path: 60 over five powers of ten; fixed values.
+COSTS = [10 ** (-3 + 5 * i / 59) for i in range(60)]
+
+
 @query()
 def m1_l1_path(spark, v):
     df, genes = labelled(v)
-    return md.l1_path(df, genes, [0.05, 0.5], k=2)
+    return md.l1_path(df, genes, COSTS)
 
 
 @query()
 def m2_svm_rfe(spark, v):
     df, genes = labelled(v)
-    return md.svm_rfe_cv(df, genes, 2, k=2, share=0.5, rounds=8)
+    return md.svm_rfe_cv(df, genes, 30, k=10)
 
 
 @query()
 def m3_boruta(spark, v):
     df, genes = labelled(v)
-    return md.boruta(df, genes, 5, 20)
+    return md.boruta(df, genes)
 
 
 @query()
 def m4_permutation_importance(spark, v):
     df, genes = labelled(v)
-    return md.permutation_importance(df, genes, repeats=2, rounds=8)
+    return md.permutation_importance(df, genes, repeats=50)
 
 
 AUC = "s AS (SELECT dataset, p, count(*) FILTER (WHERE y = 1) AS a, count(*) FILTER (WHERE y = 0) AS b FROM v_pred GROUP BY ALL), t AS (SELECT *, sum(b) OVER (PARTITION BY dataset ORDER BY p) - b AS below FROM s)"
@@ -206,7 +210,7 @@ def m8_nested_lodo(spark, v):
 
     meta = v("v_meta")
     labels = meta.select("sample", "dataset", F.col("grp").cast("int").alias("y"))
-    return md.nested_lodo(cut(ordered(v).select("dataset", "gene", "b", "p")), cut(expressed(v).select("gene", "sample", "value")), meta.select("sample", (F.col("dataset") * 10 + F.col("cell")).alias("batch")), labels, most=5, top=3, costs=(0.5,), rounds=1, trees=5, k=2, svm_rounds=8)
+    return md.nested_lodo(cut(ordered(v).select("dataset", "gene", "b", "p")), cut(expressed(v).select("gene", "sample", "value")), meta.select("sample", (F.col("dataset") * 10 + F.col("cell")).alias("batch")), labels, most=40, top=12, costs=tuple(COSTS[::3]), rounds=20)
 
 
 @query("""
