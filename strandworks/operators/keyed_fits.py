@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from strandworks.functions.storage import cut
 
 #: Half the width of the round corner of the hinge.
-CORNER = 0.25
-#: Gradient (relative to the rows) at which a fit counts as solved, and the most steps.
-SLACK, ROUNDS = 1e-6, 200
+CORNER = 0.5
+#: Gradient (relative to the rows) at which a fit counts as solved, for absolute and squared penalties; the most steps.
+SLACK, LOOSE, ROUNDS = 1e-6, 1e-4, 200
 #: Numbers that a task holds at once.
 NUMBERS = 4_000_000
 
@@ -98,16 +98,16 @@ def moments(rows: DataFrame, fits: list[Fit], betas: list[np.ndarray], loss: Cal
 
 
 def descend(start: np.ndarray, gradient: np.ndarray, information: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    """The best coefficients of a quadratic model under an absolute penalty for each, one coordinate at a time."""
-    new = start.copy()
-    for _ in range(1000):
-        moved = 0.0
-        for j in np.nonzero(np.diag(information) > 1e-12)[0]:
-            pull = information[j, j] * new[j] - gradient[j] - information[j] @ (new - start)
-            value = np.sign(pull) * max(abs(pull) - penalty[j], 0.0) / information[j, j]
-            moved = max(moved, abs(value - new[j]))
-            new[j] = value
-        if moved < 1e-10:
+    """The best coefficients of quadratic models, a row each, under an absolute penalty for every coefficient: one
+    coordinate at a time, all models together."""
+    new, size = start.copy(), np.diagonal(information, axis1=1, axis2=2)
+    for _ in range(2000):
+        before = new.copy()
+        for j in range(new.shape[1]):
+            h = np.maximum(size[:, j], 1e-300)
+            pull = h * new[:, j] - gradient[:, j] - np.einsum("fi,fi->f", information[:, j], new - start)
+            new[:, j] = np.where(size[:, j] > 1e-12, np.sign(pull) * np.maximum(np.abs(pull) - penalty[:, j], 0) / h, new[:, j])
+        if np.abs(new - before).max(initial=0.0) < 1e-10:
             break
     return new
 
@@ -126,9 +126,12 @@ class Absolute:
         g, lam = f.now["gradient"] / max(1.0, f.now["n"]), self.penalty(f)
         return float(np.where(f.beta == 0, np.maximum(np.abs(g) - lam, 0), np.abs(g + lam * np.sign(f.beta))).max())
 
-    def aim(self, f: Fit) -> np.ndarray:
-        n = max(1.0, f.now["n"])
-        return descend(f.beta, f.now["gradient"] / n, f.now["information"] / n + 1e-9 * np.eye(len(f.beta)), self.penalty(f))
+    def aims(self, fits: list[Fit]) -> list[np.ndarray]:
+        if not fits:
+            return []
+        n = [max(1.0, f.now["n"]) for f in fits]
+        slopes, bends = ([f.now[what] / k for f, k in zip(fits, n, strict=True)] for what in ("gradient", "information"))
+        return list(descend(np.array([f.beta for f in fits]), np.array(slopes), np.array(bends) + 1e-9 * np.eye(len(fits[0].beta)), np.array([self.penalty(f) for f in fits])))
 
 
 class Squares:
@@ -147,6 +150,9 @@ class Squares:
     def gap(self, f: Fit) -> float:
         return float(np.abs(self.slope(f)).max()) / max(1.0, f.cost * f.now["n"])
 
+    def aims(self, fits: list[Fit]) -> list[np.ndarray]:
+        return [self.aim(f) for f in fits]
+
     def aim(self, f: Fit) -> np.ndarray:
         on = self.free(f)
         h = f.cost * f.now["information"] + np.diag(np.r_[np.ones(len(f.beta) - 1), 1e-6])
@@ -159,23 +165,24 @@ def solve(rows: DataFrame, fits: list[Fit], loss: Callable, goal: Absolute | Squ
     """All fits at the best coefficients of their goal; raises if one does not meet its conditions in ``rounds`` steps."""
     for f, m in zip(fits, moments(rows, fits, [f.beta for f in fits], loss), strict=True):
         f.now = m
-    aims = {i: goal.aim(f) for i, f in enumerate(fits) if f.now["n"] and goal.gap(f) > slack}
+    todo = [i for i, f in enumerate(fits) if f.now["n"] and goal.gap(f) > slack]
+    aims = dict(zip(todo, goal.aims([fits[i] for i in todo]), strict=True))
     for _ in range(rounds):
         if not aims:
             return fits
         at = list(aims)
         tried = moments(rows, [fits[i] for i in at], [aims[i] for i in at], loss)
+        onward = []
         for i, m in zip(at, tried, strict=True):
-            f = fits[i]
-            small = np.abs(aims[i] - f.beta).max() < 1e-10
-            if goal.value(f, aims[i], m) <= goal.value(f, f.beta, f.now) + 1e-13 or small:
-                f.beta, f.now = aims[i], m
-                if small or goal.gap(f) <= slack:
-                    del aims[i]
-                else:
-                    aims[i] = goal.aim(f)
-            else:
-                aims[i] = (aims[i] + f.beta) / 2
+            f, aim = fits[i], aims.pop(i)
+            small = np.abs(aim - f.beta).max() < 1e-10
+            if not small and goal.value(f, aim, m) > goal.value(f, f.beta, f.now) + 1e-13:
+                aims[i] = (aim + f.beta) / 2
+                continue
+            f.beta, f.now = aim, m
+            if not small and goal.gap(f) > slack:
+                onward.append(i)
+        aims.update(zip(onward, goal.aims([fits[i] for i in onward]), strict=True))
     if aims:
         raise RuntimeError(f"{len(aims)} of {len(fits)} fits are not solved")
     return fits

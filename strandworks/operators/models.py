@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandworks.functions.columns import log_factorials
 from strandworks.functions.storage import cut
-from strandworks.operators.keyed_fits import Absolute, Fit, Squares, hinge, logistic, prepared, solve
+from strandworks.operators.keyed_fits import LOOSE, Absolute, Fit, Squares, hinge, logistic, prepared, solve
 from strandworks.operators.scan import numbered, running, spread
 
 
@@ -83,7 +83,7 @@ def eliminated(rows: DataFrame, genes: list[str], folds: list[int], keep: int =
     fits = [Fit(fold, c, np.ones(p, bool), np.zeros(p + 1)) for fold in folds]
     gone: dict[int, list[int]] = {f: [] for f in folds}
     while (left := int(fits[0].active.sum())) > keep:
-        solve(rows, fits, hinge, Squares())
+        solve(rows, fits, hinge, Squares(), LOOSE)
         for f in fits:
             order = sorted(np.flatnonzero(f.active), key=lambda i: (f.beta[i] ** 2, genes[i]))
             drop = order[: min(max(1, int(share * left)), left - keep)]
@@ -108,7 +108,7 @@ def svm_rfe_cv(df: DataFrame, genes: list[str], most: int, k: int = 5, seed: int
         out[[place[g] for g in ranks[fold][:n]]] = True
         return out
 
-    fits = solve(rows, [Fit(fold, 1.0, chosen(fold, n), np.zeros(len(genes) + 1)) for n in sizes for fold in range(k)], hinge, Squares())
+    fits = solve(rows, [Fit(fold, 1.0, chosen(fold, n), np.zeros(len(genes) + 1)) for n in sizes for fold in range(k)], hinge, Squares(), LOOSE)
     hits = {n: sum(f.now["held_hits"] for f in fits if f.active.sum() == n) for n in sizes}
     total = max(1.0, sum(f.now["held_n"] for f in fits if f.active.sum() == 1))
     best = max(hits, key=lambda n: (hits[n], -n))

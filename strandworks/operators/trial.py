@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandworks.functions.columns import average_rank, known
-from strandworks.functions.tails import normal_two_sided
+from strandworks.functions.tails import normal_two_sided, t_pvalue
 
 #: Pairs up to which the signed-rank null is exact, and smaller-group size up to which the rank-sum null is.
 EXACT_PAIRS, EXACT_GROUP = 50, 8
@@ -88,9 +88,11 @@ def mann_whitney(df: DataFrame, by: list[str], value: str = "score", group: str
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation within groups and its number of rows."""
+    """Rank correlation within groups, its number of rows, and p by t with two degrees of freedom less."""
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("rx", average_rank(x, by)).withColumn("ry", average_rank(y, by))
-    return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    out = ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    df = (F.col("n") - 2).cast("double")
+    return out.withColumn("p", t_pvalue(F.when(F.col("n") > 2, F.try_divide(F.col("rho") * F.sqrt(F.greatest(df, F.lit(0.0))), F.sqrt(F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(0.0))))), df))
 
 
 def parse_title(df: DataFrame, title: str = "title") -> DataFrame:

@@ -9,6 +9,7 @@ from strandworks.functions.columns import rounded
 from strandworks.functions.storage import cut
 from strandworks.operators import enrichment as en
 from strandworks.operators import expression as ex
+from strandworks.plans import sql_parts as parts
 from strandworks.plans.views import view, with_views
 from strandworks.sources import readers
 
@@ -146,9 +147,24 @@ def a5_lm_fit(spark, v):
     return fitted(v).select("dataset", "gene", "b", "s2", "ave_expr")
 
 
-@query()
+#: Variances shrunk to a prior matched on their logarithms; the prior's degrees of freedom by halving an interval. Fixed: a
+#: balanced design of eight samples has 5 degrees of freedom and an unscaled variance of one half.
+MODERATED = f"""
+z AS (SELECT dataset, ln(greatest(s2, 1e-12)) AS z FROM fit), zm AS (SELECT dataset, avg(z) - {parts.digamma("2.5")} + ln(2.5) AS centre, coalesce(var_samp(z), 0) - {parts.trigamma("2.5")} AS extra FROM z GROUP BY dataset),
+iv AS (SELECT dataset, extra, 0 AS i, ln(1e-8) AS low, ln(1e12) AS high FROM zm WHERE extra > 0
+  UNION ALL SELECT dataset, extra, i + 1, CASE WHEN {parts.trigamma("exp((low + high) / 2)")} > extra THEN (low + high) / 2 ELSE low END, CASE WHEN {parts.trigamma("exp((low + high) / 2)")} > extra THEN high ELSE (low + high) / 2 END FROM iv WHERE i < 120),
+d0 AS (SELECT zm.dataset, 2 * exp((low + high) / 2) AS d0, CASE WHEN low IS NULL THEN exp(centre) ELSE exp(centre + {parts.digamma("exp((low + high) / 2)")} - (low + high) / 2) END AS s02 FROM zm LEFT JOIN iv ON iv.dataset = zm.dataset AND i = 120),
+mt AS (SELECT fit.*, d0, s02, CASE WHEN d0 IS NULL THEN s02 ELSE (d0 * s02 + 5 * greatest(s2, 1e-12)) / (d0 + 5) END AS s2_post FROM fit JOIN d0 USING (dataset)),
+tt AS (SELECT *, b / sqrt(s2_post * 0.5) AS t FROM mt), tq AS (SELECT *, {parts.t_p("t", "(5 + coalesce(d0, 1e6))")} AS p FROM tt),
+fq AS (SELECT *, p * count(*) OVER (PARTITION BY dataset) / count(*) OVER (PARTITION BY dataset ORDER BY p RANGE UNBOUNDED PRECEDING) AS q FROM tq),
+fd AS (SELECT *, least(1.0, min(q) OVER (PARTITION BY dataset ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS fdr FROM fq)"""
+
+
+@query("WITH RECURSIVE " + ",".join([KEPT, FACTORS, CPM, FIT, MODERATED]) + """ SELECT dataset, gene, round(b, 6) + 0.0 AS b, round(s2, 6) + 0.0 AS s2, 5 AS df, 0.5 AS unscaled, round(ave_expr, 6) + 0.0 AS ave_expr, round(d0, 4) + 0.0 AS d0, round(s02, 6) + 0.0 AS s02, round(s2_post, 6) + 0.0 AS s2_post,
+  round(t, 5) + 0.0 AS t, round(p, 6) + 0.0 AS p, round(fdr, 5) + 0.0 AS fdr, CASE WHEN fdr < 0.05 AND b > 1 THEN 'Up' WHEN fdr < 0.05 AND b < -1 THEN 'Down' ELSE 'NS' END AS sig FROM fd""")
 def a6_a7_moderated_t(spark, v):
-    return ex.de_call(ex.bh_fdr(ex.moderated_t(ex.squeeze_var(fitted(v))), ["dataset"]))
+    out = ex.de_call(ex.bh_fdr(ex.moderated_t(ex.squeeze_var(fitted(v))), ["dataset"]))
+    return out.withColumns({"d0": F.round("d0", 4), "t": F.round("t", 5), "fdr": F.round("fdr", 5)})
 
 
 @query("""

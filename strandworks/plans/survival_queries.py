@@ -9,6 +9,7 @@ from strandworks.functions.columns import rounded
 from strandworks.operators import concordance as cc
 from strandworks.operators import survival as sv
 from strandworks.operators import trial as tr
+from strandworks.plans import sql_parts as parts
 from strandworks.plans.views import view, with_views
 
 QUERIES: dict = {}
@@ -55,9 +56,9 @@ WITH c AS (SELECT time, event, CASE WHEN stage = 'Stage I' THEN 1 ELSE 0 END AS
 t AS (SELECT time, sum(event) AS d, count(*) AS c, sum(event * g) AS d1, sum(g) AS c1 FROM c GROUP BY time),
 r AS (SELECT *, sum(c) OVER (ORDER BY time DESC) AS n, sum(c1) OVER (ORDER BY time DESC) AS n1 FROM t),
 s AS (SELECT CAST(sum(d1) AS DOUBLE) AS observed, sum(d * n1 / n) AS expected, sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS variance FROM r WHERE d > 0)
-SELECT round(observed, 6) + 0.0 AS observed, round(expected, 6) + 0.0 AS expected, round(variance, 6) + 0.0 AS variance, round(pow(observed - expected, 2) / variance, 6) + 0.0 AS chi2 FROM s""")
+SELECT round(observed, 6) + 0.0 AS observed, round(expected, 6) + 0.0 AS expected, round(variance, 6) + 0.0 AS variance, round(pow(observed - expected, 2) / variance, 6) + 0.0 AS chi2, round(""" + parts.normal_p("(abs(observed - expected) / sqrt(variance))") + """, 6) + 0.0 AS p FROM s""")
 def s3_logrank(spark, v):
-    return sv.logrank(v("v_cohort").withColumn("group", (F.col("stage") == "Stage I").cast("int"))).drop("p")
+    return sv.logrank(v("v_cohort").withColumn("group", (F.col("stage") == "Stage I").cast("int")))
 
 
 @query("""
@@ -74,12 +75,25 @@ def scaled(v) -> DataFrame:
     return v("v_cohort").withColumn("a", (F.col("age") - 55) / 10).withColumn("b", F.col("risk") / 5)
 
 
-@query()
+SCALED = """x AS MATERIALIZED (SELECT id, time, event, (age - 55) / 10 AS a, risk / 5 AS b,
+  CASE WHEN stage LIKE '%III%' OR stage LIKE '%IV%' THEN 'III-IV' WHEN stage LIKE '%II%' THEN 'II' WHEN stage LIKE '%Stage I%' THEN 'I' END AS stage FROM v_cohort)"""
+
+
+def term(name: str, coef: str, variance: str, source: str) -> str:
+    """One row of a summary of a Cox fit."""
+    ends = [f"round(exp({coef} {sign} 1.96 * sqrt({variance})), 6) + 0.0 AS {label}" for sign, label in (("-", "lower"), ("+", "upper"))]
+    return f"SELECT '{name}' AS term, round({coef}, 6) + 0.0 AS coef, round(exp({coef}), 6) + 0.0 AS hr, {', '.join(ends)}, round({parts.normal_p(f'({coef} / sqrt({variance}))')}, 6) + 0.0 AS p, CAST(n AS BIGINT) AS n FROM {source}"
+
+
+STAGED = SCALED + ", y AS MATERIALIZED (SELECT time, event, a, b, CASE WHEN stage = 'II' THEN 1 ELSE 0 END AS s2, CASE WHEN stage = 'III-IV' THEN 1 ELSE 0 END AS s3 FROM x WHERE stage IS NOT NULL)"
+
+
+@query("WITH " + STAGED + ", " + parts.cox("f", "y", ["a", "b", "s2", "s3"]) + " " + " UNION ALL ".join(term(t, f"b{i}", f"v{i}", "f") for i, t in enumerate(["a", "b", "stage_II", "stage_III-IV"])))
 def s4_cox_summary(spark, v):
     return sv.cox_summary(scaled(v).withColumn("stage", tr.stage_group(F.col("stage"))), ["a", "b", "stage"])
 
 
-@query()
+@query("WITH " + SCALED + ", " + parts.cox("fa", "x", ["a"]) + ", " + parts.cox("fb", "x", ["b"]) + " " + " UNION ALL ".join(f"SELECT '{g}' AS gene, round(b0, 6) + 0.0 AS beta, round(sqrt(v0), 6) + 0.0 AS se, CAST(n AS BIGINT) AS n, (SELECT CAST(sum(event) AS DOUBLE) FROM x) AS events FROM f{g}" for g in "ab"))
 def s4_cox_by_gene(spark, v):
     long = scaled(v).unpivot(["id", "time", "event"], ["a", "b"], "gene", "x")
     return sv.cox_by_gene(long, ["gene"])
@@ -143,7 +157,7 @@ def s9_predicted_risk(spark, v):
     return risks(v).select("id", "prob")
 
 
-@query()
+@query("WITH " + SCALED + ", " + parts.cox("f", "x", ["a"]) + ", " + parts.cox("g", "x", ["a", "b"]) + f" SELECT CAST(f.n AS BIGINT) AS n, round(f.ll, 6) + 0.0 AS ll_base, round(g.ll, 6) + 0.0 AS ll_full, round(2 * (g.ll - f.ll), 6) + 0.0 AS chi2, round({parts.normal_p('sqrt(greatest(0.0, 2 * (g.ll - f.ll)))')}, 6) + 0.0 AS p FROM f, g")
 def s10_likelihood_ratio(spark, v):
     return sv.likelihood_ratio(scaled(v), ["a"], ["b"])
 

@@ -11,6 +11,7 @@ from strandworks.operators import qpcr as qp
 from strandworks.operators import screen as sc
 from strandworks.operators import sequence as sq
 from strandworks.operators import trial as tr
+from strandworks.plans import sql_parts as parts
 from strandworks.plans.views import view, with_views
 
 QUERIES: dict = {}
@@ -76,7 +77,15 @@ def t1_paired_wilcoxon(spark, v):
     return tr.paired_wilcoxon(changes(v), ["arm"]).drop("p")
 
 
-@query()
+#: Paired tests by arm with p (``tp``).
+PAIRED = CHANGE + f""", {parts.SIGNED_NULL},
+pr AS (SELECT arm, d, {parts.ranked("abs(d)", "arm")} AS r, count(*) OVER (PARTITION BY arm, abs(d)) AS t FROM c WHERE d <> 0),
+ps AS (SELECT arm, count(*) AS n, median(d) AS m, count(*) FILTER (WHERE d = 0) AS zeros FROM c GROUP BY arm HAVING count(*) >= 5),
+pw AS (SELECT arm, count(*) AS m, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM pr GROUP BY arm),
+tp AS (SELECT ps.arm, ps.n, ps.m AS median_change, coalesce(pw.w, 0) AS w, {parts.signed_rank_p("coalesce(pw.w, 0)", "coalesce(pw.m, 0)", "coalesce(pw.ties, 0)", "ps.zeros")} AS p FROM ps LEFT JOIN pw USING (arm) LEFT JOIN sn ON sn.n = coalesce(pw.m, 0))"""
+
+
+@query("WITH RECURSIVE " + PAIRED + " SELECT arm, n, round(median_change, 6) + 0.0 AS median_change, round(w, 6) + 0.0 AS w, round(p, 6) + 0.0 AS p FROM tp")
 def t1_paired_wilcoxon_p(spark, v):
     return tr.paired_wilcoxon(changes(v), ["arm"])
 
@@ -88,11 +97,16 @@ def baseline(v) -> DataFrame:
     return v("v_scores").where("timepoint = 0").groupBy("arm", "patient").agg(F.first("response").alias("group"), F.round(F.avg("score"), 6).alias("score"))
 
 
-@query("WITH " + BASE + """, r AS (SELECT arm, response, score, rank() OVER (PARTITION BY arm ORDER BY score) + (count(*) OVER (PARTITION BY arm, score) - 1) / 2.0 AS r FROM b),
-s AS (SELECT arm, count(*) FILTER (WHERE response = 1) AS n1, count(*) FILTER (WHERE response = 0) AS n0, median(score) FILTER (WHERE response = 1) AS m1, median(score) FILTER (WHERE response = 0) AS m0, sum(r) FILTER (WHERE response = 1) AS s FROM r GROUP BY arm)
-SELECT arm, n1, n0, round(m1, 6) + 0.0 AS median1, round(m0, 6) + 0.0 AS median0, round(s - n1 * (n1 + 1) / 2, 6) + 0.0 AS u, round((s - n1 * (n1 + 1) / 2) / (n1 * n0), 6) + 0.0 AS auc FROM s WHERE n1 >= 4 AND n0 >= 4""")
+def two_groups(name: str, source: str, by: str, value: str, group: str) -> str:
+    """Rank sums of group 1 against group 0 (table ``name``): sizes, medians, U and p."""
+    return f"""{name}_r AS (SELECT {by}, {group} AS g, {value} AS x, {parts.ranked(value, by)} AS r, count(*) OVER (PARTITION BY {by}, {value}) AS t FROM {source} WHERE {value} IS NOT NULL AND {group} IS NOT NULL),
+{name}_s AS (SELECT {by}, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 0) AS n0, median(x) FILTER (WHERE g = 1) AS median1, median(x) FILTER (WHERE g = 0) AS median0, sum(r) FILTER (WHERE g = 1) - count(*) FILTER (WHERE g = 1) * (count(*) FILTER (WHERE g = 1) + 1) / 2 AS u, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM {name}_r GROUP BY {by}),
+{name} AS (SELECT {by}, n1, n0, median1, median0, u, u / (n1 * n0) AS auc, {parts.rank_sum_p("u", "n1", "n0", "ties")} AS p FROM {name}_s WHERE n1 >= 4 AND n0 >= 4)"""
+
+
+@query("WITH " + BASE + ", " + two_groups("mw", "b", "arm", "score", "response") + " SELECT arm, n1, n0, round(median1, 6) + 0.0 AS median1, round(median0, 6) + 0.0 AS median0, round(u, 6) + 0.0 AS u, round(auc, 6) + 0.0 AS auc, round(p, 6) + 0.0 AS p FROM mw")
 def t2_mann_whitney(spark, v):
-    return tr.mann_whitney(baseline(v), ["arm"]).drop("p")
+    return tr.mann_whitney(baseline(v), ["arm"])
 
 
 @query("SELECT event_id, CAST(user_id AS VARCHAR) AS patient, event_type AS timepoint FROM events")
@@ -101,7 +115,9 @@ def t3_parse_title(spark, v):
     return tr.parse_title(titled).select("event_id", "patient", "timepoint")
 
 
-@query()
+@query("WITH RECURSIVE " + PAIRED + ", " + BASE + ", who AS (SELECT arm, patient, any_value(response) AS response FROM v_scores GROUP BY ALL), cd AS (SELECT c.arm, c.d, who.response FROM c JOIN who USING (arm, patient)), " + two_groups("mw", "b", "arm", "score", "response") + ", " + two_groups("dl", "cd", "arm", "d", "response") + """
+SELECT 'change' AS analysis, arm, n, round(median_change, 6) + 0.0 AS value, round(p, 6) + 0.0 AS p FROM tp UNION ALL SELECT 'baseline', arm, n1 + n0, round(auc, 6) + 0.0, round(p, 6) + 0.0 FROM mw
+UNION ALL SELECT 'delta', arm, n1 + n0, round(median1 - median0, 6) + 0.0, round(p, 6) + 0.0 FROM dl""")
 def t4_result_table(spark, v):
     """Paired change by arm, baseline by response and change by response, as one long table keyed analysis, arm."""
     paired = tr.paired_wilcoxon(changes(v), ["arm"]).select(F.lit("change").alias("analysis"), "arm", "n", F.col("median_change").alias("value"), "p")
@@ -121,18 +137,23 @@ def activity(v) -> DataFrame:
     return act.join(risk, "sample")
 
 
-@query("WITH " + SAMPLE + """, j AS (SELECT pathway, rank() OVER (PARTITION BY pathway ORDER BY act) + (count(*) OVER (PARTITION BY pathway, act) - 1) / 2.0 AS x, rank() OVER (PARTITION BY pathway ORDER BY risk) + (count(*) OVER (PARTITION BY pathway, risk) - 1) / 2.0 AS y FROM a JOIN k USING (sample) WHERE act IS NOT NULL AND risk IS NOT NULL)
-SELECT pathway, round(corr(x, y), 6) + 0.0 AS rho, count(*) AS n FROM j GROUP BY pathway""")
+RHO = SAMPLE + f""", j AS (SELECT pathway, {parts.ranked("act", "pathway")} AS x, {parts.ranked("risk", "pathway")} AS y FROM a JOIN k USING (sample) WHERE act IS NOT NULL AND risk IS NOT NULL),
+rh AS (SELECT pathway, corr(x, y) AS rho, count(*) AS n FROM j GROUP BY pathway)"""
+
+
+@query("WITH " + RHO + f" SELECT pathway, round(rho, 6) + 0.0 AS rho, n, CASE WHEN abs(rho) < 1 THEN round({parts.t_p('(rho * sqrt((n - 2) / (1 - rho * rho)))', '(n - 2)')}, 6) + 0.0 END AS p FROM rh")
 def a20_hallmark_vs_risk(spark, v):
-    return tr.spearman(activity(v), ["pathway"], "act", "risk")
+    out = tr.spearman(activity(v), ["pathway"], "act", "risk").withColumn("rho", F.round("rho", 12))
+    return out.withColumn("p", F.when(F.abs("rho") < 1, F.col("p")))
 
 
-@query("WITH " + SAMPLE + ", h AS (SELECT pathway, act, risk > (SELECT median(risk) FROM k) AS high FROM a JOIN k USING (sample)) SELECT pathway, round(median(act) FILTER (WHERE high) - median(act) FILTER (WHERE NOT high), 6) + 0.0 AS median_diff FROM h GROUP BY pathway")
+@query("WITH " + SAMPLE + ", h AS (SELECT pathway, act, CAST(risk > (SELECT median(risk) FROM k) AS INTEGER) AS high FROM a JOIN k USING (sample)), " + two_groups("mw", "h", "pathway", "act", "high") + """,
+f AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS q FROM mw) SELECT pathway, round(median1 - median0, 6) + 0.0 AS median_diff, round(p, 6) + 0.0 AS p, round(least(1.0, min(q) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) + 0.0 AS fdr FROM f""")
 def a21_markers_by_risk(spark, v):
     rows = activity(v)
     mid = rows.select("sample", "risk").distinct().agg(F.median("risk").alias("m"))
     tested = tr.mann_whitney(rows.join(F.broadcast(mid)).withColumn("group", (F.col("risk") > F.col("m")).cast("int")), ["pathway"], "act")  # one row
-    return ex.bh_fdr(tested, []).select("pathway", (F.col("median1") - F.col("median0")).alias("median_diff"))
+    return ex.bh_fdr(tested, []).select("pathway", (F.col("median1") - F.col("median0")).alias("median_diff"), "p", "fdr")
 
 
 TECH = "te AS (SELECT gene, sample, avg(CASE WHEN cq <= 35 THEN cq END) AS mean, stddev_samp(CASE WHEN cq <= 35 THEN cq END) AS sd, count(CASE WHEN cq <= 35 THEN cq END) AS n FROM v_plate WHERE well_type = 'sample' GROUP BY ALL)"
@@ -209,11 +230,13 @@ def q6_normalised_quantity(spark, v):
     return qp.normalised_quantity(quantities(v), references(v)).select("sample", "gene", "nrq")
 
 
-@query("WITH " + NORM + """, l AS (SELECT model, gene, replicate, avg(log2(nrq)) FILTER (WHERE condition = 'resistant') - avg(log2(nrq)) FILTER (WHERE condition = 'parental') AS d FROM nq WHERE gene IN ('G0', 'G1', 'G2', 'G3', 'G4', 'G5') GROUP BY ALL)
-SELECT model, gene, count(d) AS n, round(avg(d), 6) + 0.0 AS log2fc, round(stddev_samp(d), 6) + 0.0 AS sd, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 4) + 0.0 AS t FROM l WHERE d IS NOT NULL GROUP BY ALL HAVING count(d) >= 2""")
+@query("WITH " + NORM + """, l AS (SELECT model, gene, replicate, avg(log2(nrq)) FILTER (WHERE condition = 'resistant') - avg(log2(nrq)) FILTER (WHERE condition = 'parental') AS d FROM nq WHERE gene IN ('G0', 'G1', 'G2', 'G3', 'G4', 'G5') GROUP BY ALL),
+s AS (SELECT model, gene, count(d) AS n, avg(d) AS log2fc, stddev_samp(d) AS sd, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t FROM l WHERE d IS NOT NULL GROUP BY ALL HAVING count(d) >= 2),
+p AS (SELECT *, """ + parts.t_p("t", "(n - 1)") + """ AS p FROM s), f AS (SELECT *, p * count(*) OVER (PARTITION BY model) / count(*) OVER (PARTITION BY model ORDER BY p RANGE UNBOUNDED PRECEDING) AS q FROM p)
+SELECT model, gene, n, round(log2fc, 6) + 0.0 AS log2fc, round(sd, 6) + 0.0 AS sd, round(t, 4) + 0.0 AS t, round(p, 6) + 0.0 AS p, round(least(1.0, min(q) OVER (PARTITION BY model ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) + 0.0 AS fdr FROM f""")
 def q7_fold_change(spark, v):
     out = qp.fold_change(qp.normalised_quantity(quantities(v), references(v)), [f"G{i}" for i in range(6)])
-    return out.select("model", "gene", "n", "log2fc", "sd", F.round("t", 4).alias("t"))
+    return out.select("model", "gene", "n", "log2fc", "sd", F.round("t", 4).alias("t"), "p", "fdr")
 
 
 TM_ROWS = ", ".join(f"('{a + b}', {h}, {s})" for (a, b), (h, s) in ((k, sq.NEIGHBOURS.get(k) or sq.NEIGHBOURS[k.translate(str.maketrans('ACGT', 'TGCA'))[::-1]]) for k in (x + y for x in "ACGT" for y in "ACGT")))
