@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,18 +213,46 @@ def permutation_importance(df: DataFrame, genes: list[str], repeats: int = 10, r
     return falls.groupBy(F.get(names, F.col("j")).alias("gene")).agg((F.lit(float(base)) - F.avg("auc")).alias("importance"), F.stddev_samp("auc").alias("sd"))
 
 
+def gram(rows: DataFrame, n: int) -> np.ndarray:
+    """The n x n sum of outer products of each row's ``at`` (places of samples) and ``c`` (numbers): a matrix a task, then
+    one sum by row of the matrix. ``n`` is the number of samples, not of genes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            x = np.zeros((len(batch), n))
+            for i, (at, c) in enumerate(zip(batch["at"], batch["c"], strict=True)):
+                x[i, at] = c
+            total += x.T @ x
+        yield pd.DataFrame({"i": np.arange(n), "g": list(total)})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": group["i"].iloc[:1], "g": [np.sum(np.stack(group["g"].to_numpy()), axis=0)]})
+
+    kind = "i int, g array<double>"
+    found = {r["i"]: r["g"] for r in rows.select("at", "c").mapInPandas(run, kind).groupBy("i").applyInPandas(add, kind).collect()}  # n rows
+    return np.array([found.get(i, [0.0] * n) for i in range(n)])
+
+
 def pca_scores(matrix: DataFrame, samples: DataFrame, most: int = 2000, k: int = 2, value: str = "value") -> tuple[DataFrame, list[float]]:
-    """First components of the samples over the most variable genes, and the share of variance of each."""
+    """First components of the samples over the most variable genes, and the share of variance of each.
+
+    The genes' rows, centred, are summed into the Gram matrix of the samples, whose eigenvectors are the scores' directions;
+    no matrix of genes by genes is made. A component's largest score in size is positive; missing values are the mean."""
     top = matrix.groupBy("gene").agg(F.var_samp(value).alias("v")).orderBy(F.desc("v"), "gene").limit(most).select("gene")
-    genes = [r.gene for r in top.orderBy("gene").collect()]
-    kept = matrix.join(top, "gene", "left_semi")
-    centred = kept.withColumn("c", F.col(value) - F.avg(value).over(Window.partitionBy("gene")))
-    index = F.create_map(*(F.lit(x) for i, g in enumerate(genes) for x in (g, i)))
-    rows = centred.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(F.element_at(index, F.col("gene")).alias("i"), "c"))).alias("a"))
-    data = rows.select("sample", array_to_vector(F.transform("a", lambda x: x["c"])).alias("features"))
-    model = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
-    scores = model.transform(data).select("sample", *(vector_to_array("pc")[i].alias(f"pc{i + 1}") for i in range(k)))
-    return scores.join(samples, "sample"), [float(x) for x in model.explainedVariance.toArray()]
+    names = [r[0] for r in matrix.select("sample").distinct().orderBy("sample").collect()]  # the samples
+    kind = matrix.schema["sample"].dataType.simpleString()
+    places = matrix.sparkSession.createDataFrame(list(enumerate(names)), f"at int, sample {kind}")
+    kept = matrix.join(top, "gene", "left_semi").join(F.broadcast(places), "sample")
+    centre = kept.groupBy("gene").agg(F.avg(value).alias("m"), F.collect_list(F.struct("at", F.col(value).alias("x"))).alias("a"))
+    rows = centre.select(F.transform("a", lambda r: r["at"]).alias("at"), F.transform("a", lambda r: F.coalesce(r["x"] - F.col("m"), F.lit(0.0))).alias("c"))
+    sizes, directions = np.linalg.eigh(gram(rows, len(names)))
+    sizes, directions = np.maximum(sizes[::-1], 0), directions[:, ::-1]
+    scores = directions[:, :k] * np.sqrt(sizes[:k])
+    for j in range(scores.shape[1]):
+        scores[:, j] *= -1 if scores[np.argmax(np.abs(scores[:, j])), j] < 0 else 1
+    table = matrix.sparkSession.createDataFrame([(s, *map(float, x)) for s, x in zip(names, scores, strict=True)], f"sample {kind}, " + ", ".join(f"pc{i + 1} double" for i in range(k)))
+    return table.join(samples, "sample"), [float(x) for x in sizes[:k] / (sizes.sum() or 1.0)]
 
 
 def nested_lodo(tests: DataFrame, matrix: DataFrame, batches: DataFrame, labels: DataFrame, most: int = 40, top: int = 12, costs: tuple[float, ...] = (0.05, 0.2, 1.0), rounds: int = 8, trees: int = 30, k: int = 5, share: float = 0.0) -> DataFrame:

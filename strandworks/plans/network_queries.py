@@ -149,12 +149,44 @@ def labelled(v) -> tuple[DataFrame, list[str]]:
     return cut(md.wide(z.withColumn("z", F.coalesce("z", F.lit(0.0))), genes).join(meta, "id")), genes
 
 
-@query()
-def a17_pca(spark, v):
+#: Two eigenvectors of the samples' Gram matrix by repeated products; the second after the first is taken out.
+POWER = 4000
+PCA = f"""pv AS (SELECT gene, sample, value - avg(value) OVER (PARTITION BY gene) AS c FROM cpm JOIN (SELECT gene FROM cpm GROUP BY gene ORDER BY var_samp(value) DESC, gene LIMIT 2000) USING (gene)),
+pg AS (SELECT a.sample AS s, b.sample AS t, sum(a.c * b.c) AS g FROM pv a JOIN pv b ON a.gene = b.gene GROUP BY ALL),
+pf AS (SELECT p.sample AS s, q.sample AS t, coalesce(g, 0) AS g FROM (SELECT DISTINCT sample FROM pv) p CROSS JOIN (SELECT DISTINCT sample FROM pv) q LEFT JOIN pg ON pg.s = p.sample AND pg.t = q.sample),
+pm AS (SELECT list(r ORDER BY s) AS m, list(s ORDER BY s) AS names, sum(r[i]) AS trace FROM (SELECT s, list(g ORDER BY t) AS r, row_number() OVER (ORDER BY s) AS i FROM pf GROUP BY s)),
+w1 AS (SELECT 0 AS i, m, list_transform(m, lambda r: CAST(1 + 0.01 * list_position(m, r) AS DOUBLE)) AS v FROM pm UNION ALL SELECT i + 1, m, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y)))) FROM (SELECT i, m, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM w1 WHERE i < {POWER})),
+e1 AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS size FROM w1 WHERE i = {POWER}),
+pd AS (SELECT list_transform(range(1, len(m) + 1), lambda a: list_transform(range(1, len(m) + 1), lambda b: m[a][b] - size * v[a] * v[b])) AS m FROM pm, e1),
+w2 AS (SELECT 0 AS i, m, list_transform(m, lambda r: CAST(1 + 0.01 * list_position(m, r) AS DOUBLE)) AS v FROM pd UNION ALL SELECT i + 1, m, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y)))) FROM (SELECT i, m, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM w2 WHERE i < {POWER})),
+e2 AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS size FROM w2 WHERE i = {POWER}),
+sg AS (SELECT v, size, CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END AS sign FROM {{}})"""
+
+
+def components(v):
     from strandworks.plans.expression_queries import expressed
 
-    scores, _ = md.pca_scores(expressed(v).select("gene", "sample", "value"), v("v_meta").select("sample", "dataset", "grp"))
-    return scores
+    return md.pca_scores(expressed(v).select("gene", "sample", "value"), v("v_meta").select("sample", "dataset", "grp"))
+
+
+def pca_sql() -> str:
+    from strandworks.plans.expression_queries import CPM, FACTORS, KEPT
+
+    parts, last = PCA.split("sg AS ")
+    signs = ", ".join("s" + str(i) + " AS " + last.format(f"e{i}") for i in (1, 2))
+    score = ", ".join(f"round(s{i}.v[k] * sqrt(s{i}.size) * s{i}.sign, 5) + 0.0 AS pc{i}" for i in (1, 2))
+    return "WITH RECURSIVE " + ",".join([KEPT, FACTORS, CPM]) + ", " + parts + signs + f", sc AS (SELECT names[k] AS sample, {score} FROM s1, s2, (SELECT names, unnest(range(1, len(names) + 1)) AS k FROM pm)) "
+
+
+@query(pca_sql() + "SELECT sc.*, dataset, grp FROM sc JOIN v_meta USING (sample)")
+def a17_pca(spark, v):
+    scores = components(v)[0]
+    return scores.withColumns({c: F.round(c, 5) for c in ("pc1", "pc2")})
+
+
+@query(pca_sql() + "SELECT 1 AS component, round(size / trace, 6) + 0.0 AS share FROM e1, pm UNION ALL SELECT 2, round(size / trace, 6) + 0.0 FROM e2, pm")
+def a17_explained(spark, v):
+    return spark.createDataFrame(list(enumerate(components(v)[1], 1)), "component int, share double")
 
 
 #: Costs of the path: 60 over five powers of ten; fixed values.

@@ -56,8 +56,9 @@ def rank_sum_p(u: str, a: str, b: str, ties: str) -> str:
     return f"least(1.0, {normal_p(z)})"
 
 
-def cox(name: str, source: str, terms: list[str], rounds: int = 8) -> str:
-    """Common tables that end in ``name``: one row with b0.. (coefficients), v0.. (variances), ll and n, by Newton steps.
+def cox(name: str, source: str, terms: list[str], rounds: int = 8, by: str = "") -> str:
+    """Common tables that end in ``name``: one row (for each ``by``) with b0.. (coefficients), v0.. (variances), ll and n,
+    by Newton steps.
 
     ``source`` has time, event and ``terms``. Each step sums moments by time, runs them from the latest time on, and
     eliminates the unknowns of p equations with the unit matrix beside them.
@@ -65,26 +66,27 @@ def cox(name: str, source: str, terms: list[str], rounds: int = 8) -> str:
     p = len(terms)
     k = range(p)
     pairs = [(i, j) for i in k for j in range(i, p)]
-    out = [f"{name}_b0 AS MATERIALIZED (SELECT {', '.join(f'0.0::DOUBLE AS b{i}' for i in k)})"]
+    key, using, part, group = (f"{by}, ", f" JOIN {{}} USING ({by})", f"PARTITION BY {by} ", f" GROUP BY {by}") if by else ("", ", {}", "", "")
+    out = [f"{name}_b0 AS MATERIALIZED (SELECT {'DISTINCT ' if by else ''}{key}{', '.join(f'0.0::DOUBLE AS b{i}' for i in k)}{f' FROM {source}' if by else ''})"]
     for r in range(rounds):
         eta = " + ".join(f"b{i} * {t}" for i, t in enumerate(terms))
-        out.append(f"{name}_x{r} AS MATERIALIZED (SELECT time, event, {', '.join(f'{t} AS z{i}' for i, t in enumerate(terms))}, {eta} AS eta FROM {source}, {name}_b{r})")
+        out.append(f"{name}_x{r} AS MATERIALIZED (SELECT {key}time, event, {', '.join(f'{t} AS z{i}' for i, t in enumerate(terms))}, {eta} AS eta FROM {source}{using.format(f'{name}_b{r}')})")
         sums = ["sum(event) AS d", "sum(event * eta) AS e", "sum(exp(eta)) AS s", *(f"sum(event * z{i}) AS g{i}" for i in k), *(f"sum(exp(eta) * z{i}) AS a{i}" for i in k), *(f"sum(exp(eta) * z{i} * z{j}) AS q{i}_{j}" for i, j in pairs)]
-        out.append(f"{name}_t{r} AS MATERIALIZED (SELECT time, count(*) AS c, {', '.join(sums)} FROM {name}_x{r} GROUP BY time)")
+        out.append(f"{name}_t{r} AS MATERIALIZED (SELECT {key}time, count(*) AS c, {', '.join(sums)} FROM {name}_x{r} GROUP BY {key}time)")
         run = ["sum(s) OVER w AS s", *(f"sum(a{i}) OVER w AS a{i}" for i in k), *(f"sum(q{i}_{j}) OVER w AS q{i}_{j}" for i, j in pairs)]
-        out.append(f"{name}_r{r} AS MATERIALIZED (SELECT d, e, c, {', '.join(f'g{i}' for i in k)}, {', '.join(run)} FROM {name}_t{r} WINDOW w AS (ORDER BY time DESC))")
+        out.append(f"{name}_r{r} AS MATERIALIZED (SELECT {key}time, d, e, c, {', '.join(f'g{i}' for i in k)}, {', '.join(run)} FROM {name}_t{r} WINDOW w AS ({part}ORDER BY time DESC))")
         slope = [f"sum(CASE WHEN d > 0 THEN g{i} - d * a{i} / s END) AS m{i}_{2 * p}" for i in k]
         bend = [f"sum(CASE WHEN d > 0 THEN d * (q{min(i, j)}_{max(i, j)} / s - a{i} * a{j} / s / s) END) AS m{i}_{j}" for i in k for j in k]
         unit = [f"{1.0 if i == j else 0.0}::DOUBLE AS m{i}_{p + j}" for i in k for j in k]
-        out.append(f"{name}_e{r}_0 AS MATERIALIZED (SELECT sum(CASE WHEN d > 0 THEN e - d * ln(s) END) AS ll, sum(c) AS n, {', '.join(slope + bend + unit)} FROM {name}_r{r})")
+        out.append(f"{name}_e{r}_0 AS MATERIALIZED (SELECT {key}sum(CASE WHEN d > 0 THEN e - d * ln(s) END) AS ll, sum(c) AS n, {', '.join(slope + bend + unit)} FROM {name}_r{r}{group})")
         for i in k:
             cells = []
             for row in k:
                 for col in range(2 * p + 1):
                     pivot = f"m{i}_{col} / m{i}_{i}"
                     cells.append(f"{pivot if row == i else f'm{row}_{col} - m{row}_{i} * {pivot}'} AS m{row}_{col}")
-            out.append(f"{name}_e{r}_{i + 1} AS MATERIALIZED (SELECT ll, n, {', '.join(cells)} FROM {name}_e{r}_{i})")
-        out.append(f"{name}_b{r + 1} AS MATERIALIZED (SELECT {', '.join(f'b{i} + m{i}_{2 * p} AS b{i}' for i in k)} FROM {name}_b{r}, {name}_e{r}_{p})")
+            out.append(f"{name}_e{r}_{i + 1} AS MATERIALIZED (SELECT {key}ll, n, {', '.join(cells)} FROM {name}_e{r}_{i})")
+        out.append(f"{name}_b{r + 1} AS MATERIALIZED (SELECT {key}{', '.join(f'b{i} + m{i}_{2 * p} AS b{i}' for i in k)} FROM {name}_b{r}{using.format(f'{name}_e{r}_{p}')})")
     last = rounds - 1
-    out.append(f"{name} AS MATERIALIZED (SELECT ll, n, {', '.join(f'b{i}, m{i}_{p + i} AS v{i}' for i in k)} FROM {name}_b{last}, {name}_e{last}_{p})")
+    out.append(f"{name} AS MATERIALIZED (SELECT {key}ll, n, {', '.join(f'b{i}, m{i}_{p + i} AS v{i}' for i in k)} FROM {name}_b{last}{using.format(f'{name}_e{last}_{p}')})")
     return ", ".join(out)
