@@ -84,11 +84,17 @@ def dimer(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else complementary_stretch(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
+def share_complement(a: Column, b: Column, k: int) -> Column:
+    """Whether some ``k`` letters in a row of a also stand in the reverse complement of b: ``dimer(a, b) >= k``."""
+    other = reverse_complement(b)
+    return F.when(F.length(a) >= k, F.exists(F.sequence(F.lit(1), F.length(a) - (k - 1)), lambda i: F.contains(other, F.substring(a, i, F.lit(k))))).otherwise(F.lit(False))
+
+
 def primer_candidates(transcripts: DataFrame, lengths: tuple[int, int] = (19, 24), tm: tuple[float, float] = (58.5, 62.0)) -> DataFrame:
     """All primers of each transcript's coding part that meet the rules, on both strands.
 
     ``transcripts``: gene, seq, low, high (1-based coding part). Returns gene, strand, first and last base, primer, tm.
-    Cheap rules run before the melting temperature, and the dimer helper runs on what is left.
+    Cheap rules run before the melting temperature, and the look for complements runs on what is left.
     """
     start = F.explode(F.sequence(F.col("low"), F.greatest(F.col("low"), F.least(F.col("high"), F.length("seq")) - lengths[0] + 1)))
     every = transcripts.select("gene", "seq", F.least("high", F.length("seq")).alias("high"), start.alias("first")).withColumn("n", F.explode(F.sequence(F.lit(lengths[0]), F.lit(lengths[1])))).withColumn("last", F.col("first") + F.col("n") - 1).where(F.col("last") <= F.col("high"))
@@ -99,7 +105,7 @@ def primer_candidates(transcripts: DataFrame, lengths: tuple[int, int] = (19, 24
     tail = F.length(F.translate(F.substring(p, -5, 5), "AT", ""))
     sound = plus.unionByName(minus).where(gc_fraction(p).between(0.40, 0.62) & F.substring(p, -1, 1).isin("G", "C") & (tail <= 3) & ~p.rlike("A{4}|C{4}|G{4}|T{4}"))
     warm = sound.withColumn("tm", melting_temp(p)).where(F.col("tm").between(*tm))
-    return warm.where(dimer("primer", "primer") <= 6)
+    return warm.where(~share_complement(p, p, 7))
 
 
 def primer_pairs(candidates: DataFrame, exons: DataFrame, amplicon: tuple[int, int] = (80, 160), junction: bool = True) -> DataFrame:
@@ -113,7 +119,7 @@ def primer_pairs(candidates: DataFrame, exons: DataFrame, amplicon: tuple[int, i
     r = candidates.where(F.col("strand") == "R").select("gene", F.col("first").alias("r1"), F.col("last").alias("r2"), F.col("primer").alias("rev"), F.col("tm").alias("rev_tm"), F.floor(F.col("last") / high).alias("bucket"))
     size = F.col("r2") - F.col("f1") + 1
     near = f.join(r, ["gene", "bucket"]).where(size.between(low, high) & (F.abs(F.col("fwd_tm") - F.col("rev_tm")) <= 1.5)).withColumn("amplicon", size)
-    apart = near.where((dimer(F.substring("fwd", -5, 5), F.substring("rev", -5, 5)) < 4) & (dimer("fwd", "rev") <= 7))
+    apart = near.where(~share_complement(F.substring("fwd", -5, 5), F.substring("rev", -5, 5), 4) & ~share_complement(F.col("fwd"), F.col("rev"), 8))
     held = apart.join(exons, "gene", "left").withColumn("ends", F.coalesce("ends", F.array().cast("array<int>")))
 
     def spans(a: str, b: str) -> Column:
@@ -123,7 +129,7 @@ def primer_pairs(candidates: DataFrame, exons: DataFrame, amplicon: tuple[int, i
     cross = F.exists("ends", lambda j: (j >= F.col("f2")) & (j < F.col("r1")))
     score = F.when(own, 2).otherwise(0) + F.when(cross, 1).otherwise(0) - F.abs(F.col("fwd_tm") - F.col("rev_tm")) - F.abs(gc_fraction(F.col("fwd")) - 0.5) - F.abs(gc_fraction(F.col("rev")) - 0.5)
     kind = F.when(own, "primer spans junction").when(cross, "amplicon spans junction").otherwise("no junction")
-    out = held.withColumn("junction", kind).withColumn("score", score)
+    out = held.withColumn("junction", kind).withColumn("score", F.round(score, 9))
     out = out.where(own | cross) if junction else out
     return out.select("gene", "fwd", "fwd_tm", F.col("f1").alias("fwd_pos"), "rev", "rev_tm", F.col("r2").alias("rev_pos"), "amplicon", "junction", "score")
 
@@ -154,10 +160,15 @@ TIERS = (((80, 160), (58.5, 62.0), (19, 24), True), ((70, 200), (57.5, 63.0), (1
 
 
 def design_primers(transcripts: DataFrame, exons: DataFrame, tiers: tuple = TIERS, most: int = 3) -> DataFrame:
-    """Ranked primer pairs of each gene, from the first tier that has any."""
-    left, done = transcripts, []
-    for i, (product, tm, lengths, junction) in enumerate(tiers):
-        found = cut(pick_pairs(primer_pairs(primer_candidates(left, lengths, tm), exons, product, junction), most).withColumn("tier", F.lit(i)))
+    """Ranked primer pairs of each gene, from the first tier that has any.
+
+    Primers are found once, under the widest rules of all tiers; a tier takes those that meet its own."""
+    lengths = (min(t[2][0] for t in tiers), max(t[2][1] for t in tiers))
+    left = cut(primer_candidates(transcripts, lengths, (min(t[1][0] for t in tiers), max(t[1][1] for t in tiers))))
+    done = []
+    for i, (product, tm, (short, long), junction) in enumerate(tiers):
+        own = left.where(F.col("tm").between(*tm) & (F.col("last") - F.col("first") + 1).between(short, long))
+        found = cut(pick_pairs(primer_pairs(own, exons, product, junction), most).withColumn("tier", F.lit(i)))
         done.append(found)
         left = left.join(found.select("gene").distinct(), "gene", "left_anti")
     return reduce(DataFrame.unionByName, done)

@@ -268,7 +268,43 @@ def transcripts(v) -> DataFrame:
     return v("benchmark").select(F.col("item_id").alias("gene"), letters.alias("seq")).where(F.length("seq") > 0).select("gene", "seq", F.lit(1).alias("low"), F.length("seq").alias("high"))
 
 
-@query()
+def meets(a: str, b: str, k: int) -> str:
+    """Whether k letters of a stand in the reverse complement of b."""
+    return f"len(list_filter(range(1, length({a}) - {k - 2}), lambda i: contains(reverse(translate({b}, 'ACGT', 'TGCA')), substr({a}, i, {k})))) > 0"
+
+
+def primer_sql() -> str:
+    """Every start, length, strand and pair, and the best three by hand, tier by tier."""
+    salt = "ln((50 + 120 * sqrt(3 - 0.8)) / 1000)"
+    gc = "(length(translate({0}, 'AT', '')) / CAST(length({0}) AS DOUBLE))"
+    ends = lambda a, b: f"len(list_filter([60, 120], lambda j: j >= {a} AND j < {b} AND j - {a} + 1 >= 4 AND {b} - j >= 4)) > 0"
+    out = [f"""
+WITH t AS (SELECT item_id AS gene, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTTGCAACGTGTCAGATCCTGAAC') AS seq FROM benchmark),
+s AS (SELECT gene, first, first + n - 1 AS last, substr(seq, first, n) AS sub FROM (SELECT gene, seq, unnest(range(1, length(seq) + 1)) AS first FROM t), (SELECT unnest(range(18, 27)) AS n) WHERE first + n - 1 <= length(seq)),
+b AS (SELECT gene, 'F' AS strand, first, last, sub AS p FROM s UNION ALL SELECT gene, 'R', first, last, reverse(translate(sub, 'ACGT', 'TGCA')) FROM s),
+g AS (SELECT *, {gc.format("p")} AS gc FROM b WHERE {gc.format("p")} BETWEEN 0.4 AND 0.62 AND right(p, 1) IN ('G', 'C') AND length(translate(right(p, 5), 'AT', '')) <= 3 AND NOT regexp_matches(p, 'A{{4}}|C{{4}}|G{{4}}|T{{4}}')),
+n AS (SELECT * FROM (VALUES {TM_ROWS}) t(d, h, s)),
+e AS (SELECT p, sum(h)::DOUBLE AS h, sum(s)::DOUBLE AS s FROM (SELECT p, substr(p, i, 2) AS d FROM (SELECT p, unnest(range(1, length(p))) AS i FROM (SELECT DISTINCT p FROM g))) JOIN n USING (d) GROUP BY p),
+w AS (SELECT gene, strand, first, last, p, gc, 1 / ((s + list_sum(list_transform([p[1], p[-1]], lambda c: CASE WHEN c IN ('G', 'C') THEN -2.8 ELSE 4.1 END)) + 1.987 * ln(0.2e-6 / 4)) / ((h + list_sum(list_transform([p[1], p[-1]], lambda c: CASE WHEN c IN ('G', 'C') THEN 0.1 ELSE 2.3 END))) * 1000) + (4.29 * gc - 3.95) * 1e-5 * {salt} + 9.40e-6 * {salt} * {salt}) - 273.15 AS tm FROM g JOIN e USING (p)),
+c AS MATERIALIZED (SELECT * FROM w WHERE tm BETWEEN 57 AND 64 AND NOT {meets("p", "p", 7)})"""]
+    for i, ((low, high), (cold, hot), (short, long), junction) in enumerate(sq.TIERS):
+        before = "".join(f" AND gene NOT IN (SELECT gene FROM k{j})" for j in range(i))
+        own, cross = f"({ends('f.first', 'f.last')} OR {ends('r.first', 'r.last')})", "len(list_filter([60, 120], lambda j: j >= f.last AND j < r.first)) > 0"
+        out.append(f"""o{i} AS (SELECT * FROM c WHERE tm BETWEEN {cold} AND {hot} AND last - first + 1 BETWEEN {short} AND {long}{before}),
+j{i} AS MATERIALIZED (SELECT f.gene, f.p AS fwd, f.tm AS fwd_tm, f.first AS fwd_pos, r.p AS rev, r.tm AS rev_tm, r.last AS rev_pos, r.last - f.first + 1 AS amplicon, CASE WHEN {own} THEN 'primer spans junction' WHEN {cross} THEN 'amplicon spans junction' ELSE 'no junction' END AS junction,
+  round(CASE WHEN {own} THEN 2 ELSE 0 END + CASE WHEN {cross} THEN 1 ELSE 0 END - abs(f.tm - r.tm) - abs(f.gc - 0.5) - abs(r.gc - 0.5), 9) AS score
+  FROM o{i} f JOIN o{i} r ON f.gene = r.gene AND f.strand = 'F' AND r.strand = 'R' AND r.last - f.first + 1 BETWEEN {low} AND {high} AND abs(f.tm - r.tm) <= 1.5
+  WHERE {f'({own} OR {cross})' if junction else 'TRUE'} AND NOT {meets("right(f.p, 5)", "right(r.p, 5)", 4)} AND NOT {meets("f.p", "r.p", 8)}),
+u{i} AS (SELECT * FROM j{i} QUALIFY row_number() OVER (PARTITION BY gene, fwd_pos ORDER BY score DESC, rev_pos, fwd, rev) = 1)""")
+        for rank in (1, 2, 3):
+            far = "".join(f" AND (SELECT abs(x.fwd_pos - u.fwd_pos) FROM a{i}_{k} x WHERE x.gene = u.gene) > 30" for k in range(1, rank))
+            out.append(f"a{i}_{rank} AS MATERIALIZED (SELECT u.*, {rank} AS rank FROM u{i} u WHERE TRUE{far} QUALIFY row_number() OVER (PARTITION BY gene ORDER BY score DESC, fwd_pos, rev_pos) = 1)")
+        out.append(f"k{i} AS (SELECT *, {i} AS tier FROM (SELECT * FROM a{i}_1 UNION ALL SELECT * FROM a{i}_2 UNION ALL SELECT * FROM a{i}_3))")
+    columns = "gene, fwd, round(fwd_tm, 6) + 0.0 AS fwd_tm, fwd_pos, rev, round(rev_tm, 6) + 0.0 AS rev_tm, rev_pos, amplicon, junction, round(score, 6) + 0.0 AS score, rank, tier"
+    return ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT {columns} FROM k{i}" for i in range(len(sq.TIERS)))
+
+
+@query(primer_sql())
 def p1_p3_p4_p5_design_primers(spark, v):
     rows = transcripts(v)
     return sq.design_primers(rows, rows.select("gene", F.array(F.lit(60), F.lit(120)).alias("ends")))
