@@ -86,3 +86,27 @@ def io6_atoms(spark, v):
     line = F.format_string("ATOM  %5d %-4s %-3s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f    %6.3f %-2s", mol % 100000, F.concat(F.lit("C"), (mol % 10).cast("string")), F.lit("RES"), mol % 100, "x", "y", "z", F.lit(1.0), F.lit(0.0), F.lit(0.1), "atype")
     other = v("v_atoms").select(F.concat(F.lit("REMARK "), mol.cast("string")).alias("value"))
     return rd.read_pdbqt(spark, as_text(v("v_atoms").select(line.alias("value")).unionByName(other))).select("atom", "res", "x", "y", "z", "atype")
+
+
+@query("SELECT concat('g', gene) AS row, concat('S', sample) AS \"column\", round(count, 6) + 0.0 AS value FROM v_counts WHERE count <> 0")
+def io2_wide_text_matrix(spark, v):
+    samples = list(range(24))
+    wide = v("v_counts").groupBy("gene").pivot("sample", samples).agg(F.first("count"))
+    body = wide.select(F.concat_ws("\t", F.concat(F.lit("g"), F.col("gene").cast("string")), *(F.coalesce(F.col(str(i)).cast("string"), F.lit("0")) for i in samples)).alias("value"))
+    head = spark.createDataFrame([("\t".join(["gene", *(f"S{i}" for i in samples)]), 0)], "value string, o int")
+    one = head.unionByName(body.withColumn("o", F.lit(1))).repartition(1).sortWithinPartitions("o").select("value")
+    return rd.read_wide_matrix(spark, as_text(one))  # one file, as the format has one header
+
+
+@query("WITH r AS (SELECT p_brand AS analysis, p_type AS arm, count(*) AS n, round(avg(p_retailprice), 6) + 0.0 AS value FROM part GROUP BY ALL) SELECT kind, r.* FROM r, (SELECT unnest(['parquet', 'csv', 'json']) AS kind)")
+def io7_result_sinks(spark, v):
+    results = v("part").groupBy(F.col("p_brand").alias("analysis"), F.col("p_type").alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 6).alias("value"))
+    schema, out = "arm string, n long, value double, analysis string", None
+    for kind in ("parquet", "csv", "json"):
+        path = folder(spark)
+        rd.write_results(results, path, ["analysis"], kind)
+        read = spark.read.schema(schema)
+        back = read.option("header", True).csv(path) if kind == "csv" else read.json(path) if kind == "json" else read.parquet(path)
+        back = back.select(F.lit(kind).alias("kind"), "analysis", "arm", "n", "value")
+        out = back if out is None else out.unionByName(back)
+    return out

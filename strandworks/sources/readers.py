@@ -21,11 +21,11 @@ def matrix_to_long(df: DataFrame, ids: list[str], value: str = "value", name: st
 def read_wide_matrix(spark: SparkSession, path: str, sep: str = "\t", keep_zeros: bool = False) -> DataFrame:
     """(row, column, value) of a text matrix with very many columns: lines are split, never made columns.
 
-    The first line names the row column and the others. Zeros are left out unless asked for.
+    The first line of the file names the row column and the others. Zeros are left out unless asked for.
     """
     lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    head = lines.orderBy("n").limit(1).select(F.split("value", sep).alias("names"), "n")
-    cells = lines.join(F.broadcast(head.select(F.col("n").alias("h"), "names")), F.col("n") > F.col("h")).select(F.split("value", sep).alias("v"), "names")
+    head = lines.agg(F.min(F.struct("n", "value")).alias("m")).select(F.col("m.n").alias("h"), F.split("m.value", sep).alias("names"))  # one row
+    cells = lines.join(F.broadcast(head), F.col("n") > F.col("h")).select(F.split("value", sep).alias("v"), "names")
     long = cells.select(F.col("v")[0].alias("row"), F.col("names"), F.posexplode(F.slice("v", F.lit(2), F.size("v") - 1)).alias("i", "x"))
     out = long.select("row", F.get("names", F.col("i") + 1).alias("column"), F.expr("try_cast(x AS double)").alias("value"))
     return out if keep_zeros else out.where(F.col("value") != 0)
