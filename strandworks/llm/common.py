@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandworks.functions.storage import cut, shared_dir, stored
+
+__all__ = ["bounded_batches", "cut", "cut_and_release", "is_train", "partitions", "read_table", "sample_of", "shared_dir", "stored", "worker_state"]
+
 #: Rows in one Arrow batch for operators that hold whole texts in a Python worker.
 TEXT_BATCH_ROWS = 1000
 #: Bytes in one such batch, whichever is reached first.
@@ -26,42 +27,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one in local mode only."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+def cut_and_release(df: DataFrame) -> DataFrame:
+    """``cut``, then ask the driver's JVM to collect, so that files of shuffles to which nothing refers are deleted now.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, keep it in the shared folder, and cut its lineage there.
-
-    Spark deletes the files of a shuffle once the driver's JVM has collected what refers to it, which a driver with
-    memory to spare rarely does; iterative joins would keep those of all rounds on the executors' disks. So the JVM is
-    asked to collect here.
+    For jobs whose rounds of large joins would otherwise add up on the executors' disks: Spark has no public call for
+    this, only ``spark.cleaner.periodicGC.interval``, which is set before a session starts.
     """
-    shared_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
+    done = cut(df)
     df.sparkSession.sparkContext._jvm.System.gc()
     return done
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once as a Parquet table in the shared folder and read that table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _STATE: dict = {}
 
 

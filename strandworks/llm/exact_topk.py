@@ -28,24 +28,32 @@ BLOCK, QUERIES = 4096, 1024
 STAGES = (0.125, 0.25, 0.5)
 #: Rounding of the rotated products, relative to the product of lengths.
 SLACK = 1e-9
-#: Products below this are exact in double precision.
-EXACT = 2.0**52
-#: Length from which integer vectors take no part.
-LONGEST = 2.0**31
-#: How many times as many blocks a band has as those before it, and the blocks whose lengths are looked at to choose them.
-GROWTH, LOOKED_AT = 3, 1000
+#: Products below these are exact in double precision, and in longs; others are added as integers of any size.
+EXACT, LONG = 2.0**52, 2.0**62
+#: The largest score and its negative, to which scores beyond are set.
+ENDS = (1 - 2**63, 2**63 - 1)
+#: Length from which integer vectors take no part: sums of their squares may not fit a double.
+LONGEST = 2.0**400
+#: Blocks of the first band, how many times as many a band has as those before it, and the blocks whose lengths are
+#: looked at to choose them.
+FIRST, GROWTH, LOOKED_AT = 4, 3, 1000
 PACKED = "block long, most double, n int, dim int, ids binary, data binary"
 
 
 def integer_vectors(table: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id`` and ``v`` = floor(scale * x) of the vectors that take part; a row for each row.
 
-    Null vectors and ids, and vectors that hold null or non-finite components, take no part; nor do vectors whose
-    integers have a length of 2^31 or more, as their products may not fit a long.
+    Null vectors and ids, and vectors that hold null or non-finite components, take no part; nor do those of a length of
+    LONGEST or more. The integers are doubles, which hold them exactly: below 2^53 any whole number is one, and above it
+    a double times the scale, a power of two, is whole.
     """
-    wide = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
+    if scale < 1 or scale & (scale - 1):
+        raise ValueError("the scale is a power of two")
+    # the function floor gives a long, which may be too small: large doubles are whole as they are
+    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)
+    wide = F.transform(F.col(vector_col), lambda x: whole(x.cast("double") * F.lit(float(scale))))
     sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(LONGEST / scale)))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     rows = table.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), wide.alias("v"))
     return rows.withColumn("norm", square).where(F.col("norm") < F.lit(LONGEST**2))
 
@@ -53,9 +61,9 @@ def integer_vectors(table: DataFrame, scale: int = 256, id_col: str = "vec_id",
 def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     """The vectors of a batch as rows; shorter ones end in zeros."""
     lists = batch.column(batch.schema.get_field_index("v"))
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
     sizes = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(sizes), dim), np.int64)
+    out = np.zeros((len(sizes), dim))
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
@@ -66,7 +74,7 @@ def _gram(vectors: DataFrame, dim: int) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for batch in batches:
-            x = _matrix(batch, dim).astype(float)
+            x = _matrix(batch, dim)
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim), pa.int32()), pa.array(total.ravel())], names=["i", "g"])
 
@@ -85,7 +93,7 @@ def _packed(vectors: DataFrame, dim: int, rows: int) -> DataFrame:
                 part = batch.slice(at, rows)
                 x = _matrix(part, dim)
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                most = float(np.sqrt((x.astype(float) ** 2).sum(axis=1).max()))
+                most = float(np.sqrt((x**2).sum(axis=1).max()))
                 yield pa.RecordBatch.from_pylist([{"most": most, "n": len(ids), "dim": dim, "ids": ids.tobytes(), "data": x.tobytes()}], schema=pa.schema([("most", pa.float64()), ("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]))
 
     packed = vectors.select("id", "v").mapInArrow(pack, "most double, n int, dim int, ids binary, data binary")
@@ -95,22 +103,27 @@ def _packed(vectors: DataFrame, dim: int, rows: int) -> DataFrame:
 
 
 def _unpack(row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.int64).reshape(row["n"], row["dim"])
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], float).reshape(row["n"], row["dim"])
+
+
+def exact_product(x: np.ndarray, y: np.ndarray) -> int:
+    """The inner product of whole numbers of any size, set to the ends of a long if it is beyond."""
+    total = sum(int(a) * int(b) for a, b in zip(x, y, strict=True) if a and b)
+    return min(max(total, ENDS[0]), ENDS[1])
 
 
 def search_block(qids: np.ndarray, q: np.ndarray, beat: np.ndarray, cids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of all candidates that may be among a query's k best, given the scores to beat."""
-    order = np.lexsort((cids, -(c.astype(float) ** 2).sum(axis=1)))
+    order = np.lexsort((cids, -(c**2).sum(axis=1)))
     cids, c = cids[order], c[order]
-    qf, cf = q.astype(float), c.astype(float)
-    qr, cr = qf @ rotation, cf @ rotation
-    qn, cn = np.linalg.norm(qf, axis=1), np.linalg.norm(cf, axis=1)
+    qr, cr = q @ rotation, c @ rotation
+    qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
     dim = c.shape[1]
     stages = sorted({min(dim, max(1, round(dim * s))) for s in STAGES})
     rest_q = {m: np.linalg.norm(qr[:, m:], axis=1) for m in stages}
     rest_c = {m: np.linalg.norm(cr[:, m:], axis=1) for m in stages}
     slack = SLACK * qn[:, None] * (cn.max() if len(cn) else 0) + 1e-6
-    beat = beat.copy()
+    beat = beat.copy()  # at the ends of a long a double is no more than the long itself, so ties stay in
     found: list[tuple[int, int, int]] = []
     for at in range(0, len(cids), 512):
         part = slice(at, at + 512)
@@ -127,10 +140,13 @@ def search_block(qids: np.ndarray, q: np.ndarray, beat: np.ndarray, cids: np.nda
         i, j = np.nonzero(keep)
         if not len(i):
             continue
-        if qn.max() * cn[at] < EXACT:
-            score = (qf[alive] @ cf[part].T)[i, j].astype(np.int64) if len(i) * 8 > keep.size else np.einsum("ij,ij->i", q[alive[i]], c[part][j])
+        longest = qn.max() * cn[at]
+        if longest < EXACT:
+            score = ((q[alive] @ c[part].T)[i, j] if len(i) * 8 > keep.size else np.einsum("ij,ij->i", q[alive[i]], c[part][j])).astype(np.int64)
+        elif longest < LONG:
+            score = np.einsum("ij,ij->i", q[alive[i]].astype(np.int64), c[part][j].astype(np.int64))
         else:
-            score = np.einsum("ij,ij->i", q[alive[i]], c[part][j])
+            score = np.array([exact_product(x, y) for x, y in zip(q[alive[i]], c[part][j], strict=True)], np.int64)
         sound = (score >= beat[alive[i]]) & (qids[alive[i]] != cids[part][j])
         i, j, score = i[sound], j[sound], score[sound]
         best = np.lexsort((cids[part][j], -score, i))
@@ -195,8 +211,8 @@ def top_k(table: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256, id
 
     ``is_query`` is a condition on the column ``id``. Vectors become floor(scale * x); see :func:`integer_vectors` for
     the rows that take no part. Shorter vectors end in zeros. Every row is a candidate, also where rows share an id,
-    but rows of the query's own id are not; if several rows of an id ask, their pairs are ranked together. Returns
-    ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; fewer rows if there are fewer candidates, none for an
+    but rows of the query's own id are not; if several rows of an id ask, their pairs are ranked together. Scores beyond
+    a long are set to its ends before they are ranked. Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; fewer rows if there are fewer candidates, none for an
     empty table. Blocks of queries meet blocks of rows; a pair of blocks is one group, so no task and not the driver
     holds more than two blocks.
     """
@@ -215,7 +231,7 @@ def top_k(table: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256, id
         return empty
     blocks = candidates.count()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found, first, width = None, 0, 1
+    found, first, width = None, 0, FIRST
     while first < blocks:
         last = min(blocks, first + width) - 1
         asked = queries.withColumn("lows", F.lit(None).cast("binary")).withColumn("need", F.lit(float("-inf"))) if found is None else queries.join(_lows(queries, found.where(F.col("rank") == k)), "block", "left")
@@ -233,7 +249,7 @@ def _lows(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, data, n, dim in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                size = np.linalg.norm(np.frombuffer(data, np.int64).reshape(n, dim).astype(float), axis=1)
+                size = np.linalg.norm(np.frombuffer(data, float).reshape(n, dim), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.frombuffer(ids, np.int64)), pa.array(size), pa.array(np.arange(n), pa.int32())], names=["block", "query_id", "size", "at"])
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

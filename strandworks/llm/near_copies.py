@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strandworks.llm.common import bounded_batches, cut
+from strandworks.llm.common import bounded_batches
+from strandworks.llm.common import cut_and_release as cut
 from strandworks.llm.simhash_golay import links
 from strandworks.operators.graph import connected_components
 

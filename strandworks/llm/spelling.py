@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandworks.llm.common import bounded_batches, cut
+from strandworks.llm.common import bounded_batches
+from strandworks.llm.common import cut_and_release as cut
 
 #: Fewest code points and occurrences of a word, and how much more frequent a word's form must be.
 LEAST_CHARS, LEAST_COUNT, TIMES = 6, 5, 5

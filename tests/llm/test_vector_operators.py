@@ -1,5 +1,9 @@
 """Vector searches against brute force, with vectors that take no part, ties, repeated rows and empty tables."""
 
+import math
+from fractions import Fraction
+from operator import mul
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -45,8 +49,8 @@ def test_top_k_and_its_sql_with_repeated_ids(spark):
     large = [(1005, [1e18] * 8), (1006, [8388607.9] * 8), (1007, [])]
     docs = table(spark, x, [*ODD, *again, *large])
     got = top_k(docs, F.col("id") % 50 == 0).collect()
-    rows = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v in [*enumerate(x), *again]]
-    want = every_pair(rows, lambda a, b: int(a @ b), lambda i: i % 50 == 0)
+    rows = [(i, [int(u) for u in np.floor(256 * np.array(v, np.float32).astype(float))]) for i, v in [*enumerate(x), *again, *large[:2]]]
+    want = every_pair(rows, lambda a, b: min(max(sum(map(mul, a, b)), 1 - 2**63), 2**63 - 1), lambda i: i % 50 == 0)
     # an empty vector scores 0 and belongs to no query's best
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
     embeddings = docs.where("size(embedding) > 0").select("vec_id", "embedding").toArrow()  # noqa: F841
@@ -91,6 +95,24 @@ def test_top_k_small_and_empty(spark):
     assert top_k(table(spark, x), F.col("id") == 99).count() == 0
 
 
+def test_top_k_of_very_long_vectors(spark):
+    """Lengths from 2^31 on take part: products up to a long are exact, those beyond are set to its ends."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(80, 4)) * np.array([1.0, 1e7, 1e9, 1e14])[rng.integers(0, 4, 80)][:, None]
+    x[5], x[6], x[7] = 1e30, -1e30, 1e200
+    rows = [(i, [float(v) for v in x[i]]) for i in range(80)] + [(80, [math.inf, 0.0, 0.0, 0.0]), (81, [math.nan, 0.0, 0.0, 0.0]), (82, [1e300, 0.0, 0.0, 0.0]), (83, None)]
+    whole = {i: [math.floor(Fraction(v) * 256) for v in x[i]] for i in range(80) if i != 7}
+    whole[7] = [math.floor(Fraction(v) * 256) for v in x[7]] if 256 * 1e200 < 2.0**400 else None
+    whole = {i: v for i, v in whole.items() if v is not None}
+    got = {}
+    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 4 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 80, 4):
+        scores = {i: min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), 1 - 2**63), 2**63 - 1) for i, v in whole.items() if i != q}
+        assert got[q] == sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:5]
+    assert set(got) == set(range(0, 80, 4))
+
+
 def test_search_block_prunes_nothing_that_counts():
     rng = np.random.default_rng(3)
     c = rng.integers(-300, 300, (2000, 16))
