@@ -36,6 +36,8 @@ LEAST_CHARS, LEAST_COUNT, TIMES = 6, 5, 5
 DELETES = 199
 #: Groups of letters, how many counts a join looks at, words and searches of one task.
 GROUPS, STEP, BLOCK, SEARCHES = 12, 4, 2_000, 20_000
+#: Rows up to which a table of nodes or keys is broadcast; a larger one is shuffled.
+BROADCAST = 200_000
 RUN = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST_CHARS)
 #: What a search may do at a level by what it has spent (0: nothing, 1: the surplus, 2: both): change of the count, then spent.
 MOVES = {0: ((0, 0), (1, 1)), 1: ((0, 1), (-1, 2)), 2: ((0, 2),)}
@@ -122,13 +124,20 @@ def _walk(searches: dict, words: dict, spent: int, found: list) -> None:
                 _leaf(below, there, then, found)
 
 
-def _search(group: pd.DataFrame) -> pd.DataFrame:
-    """The near pairs of one task: rows with ``search`` look for those without."""
-    rows = [(bool(s), int(t), (tuple(r), (w, int(n), bool(k)))) for s, t, r, w, n, k in zip(group["search"], group["spent"], group["rest"], group["word"], group["n"], group["back"], strict=True)]
+def _search(group: pd.DataFrame, table: bytes, groups: int) -> pd.DataFrame:
+    """The near pairs of one task: rows with ``search`` look for those without. ``table`` has the group of each letter, by
+    its number in Latin-1; the counts from the group ``at`` on have not been looked at yet."""
+    left = range(int(group["at"].iloc[0]), groups)
+
+    def rest(word: str) -> tuple[int, ...]:
+        marks = word.encode("latin-1").translate(table)
+        return tuple(map(marks.count, left))
+
+    rows = [(s, t, (rest(w), (w, n, k))) for s, t, w, n, k in zip(*(group[c].tolist() for c in ("search", "spent", "word", "n", "back")), strict=True)]
     words, found = [x for s, _, x in rows if not s], []
     for spent in MOVES:
         searches = [x for s, t, x in rows if s and t == spent]
-        if len(rows[0][2][0]):
+        if left:
             _walk(_trie(searches), _trie(words), spent, found)
         else:  # no count is left to look at
             _leaf([held for _, held in searches], [held for _, held in words], spent, found)
@@ -162,6 +171,10 @@ def _half(skip: int, at: F.Column) -> tuple[F.Column, F.Column]:
     return F.substring(word, F.lit(1), at), F.substring(word, at + 1 + skip, F.length(word))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def near_pairs(vocabulary: DataFrame, groups: int = GROUPS, block: int = BLOCK, most: int = SEARCHES) -> DataFrame:
     """(a, an, b, bn): every pair of near words with their counts, once. ``vocabulary``: distinct ``word`` and ``n``."""
     letters = letter_groups(vocabulary, groups)
@@ -169,40 +182,50 @@ def near_pairs(vocabulary: DataFrame, groups: int = GROUPS, block: int = BLOCK,
     words = cut(vocabulary.withColumn("vector", vector))
     searches = words.withColumn("path", F.array().cast("array<int>")).withColumn("spent", F.lit(0))
     tasks: list[DataFrame] = []
+
+    def task(rows: DataFrame, at: int, search: bool, spent: F.Column | None = None, back: F.Column | None = None) -> None:
+        none = F.lit(False)
+        tasks.append(rows.select("key", F.lit(at).alias("at"), F.lit(search).alias("search"), (F.lit(0) if spent is None else spent).alias("spent"), (none if back is None else back).alias("back"), "word", "n"))
+
     for at in range(0, groups, STEP):
         end = min(at + STEP, groups)
         here = words.withColumn("key", F.concat_ws(",", F.slice("vector", 1, end)))
         cells = cut(here.groupBy("key").agg((F.count("*") <= block).alias("small")))
-        here = here.join(cells, "key")
-        searches = cut(_stepped(searches, at, end - at).withColumn("key", F.concat_ws(",", "path")).join(cells, "key"))
-        rest = F.slice("vector", end + 1, groups) if end < groups else F.array().cast("array<int>")
-        own = here.where("small").select("key", F.lit(False).alias("back"), F.lit(False).alias("search"), F.lit(0).alias("spent"), rest.alias("rest"), "word", "n")
-        ask = searches.where("small").select("key", F.lit(False).alias("back"), F.lit(True).alias("search"), "spent", rest.alias("rest"), "word", "n")
-        tasks += [own, ask]
-        words, searches = here.where(~F.col("small")).drop("small", "key"), searches.where(~F.col("small"))
+        here = here.join(_few(cells), "key")
+        searches = _stepped(searches, at, end - at).withColumn("key", F.concat_ws(",", "path")).join(_few(cells), "key")
+        task(here.where("small"), end, False)
+        task(searches.where("small"), end, True, F.col("spent"))
         if not cells.where(~F.col("small")).take(1):
             break
+        words = cut(here.where(~F.col("small")).drop("small", "key"))
+        searches = cut(searches.where(~F.col("small")).select("word", "n", "vector", "path", "spent"))
         if end == groups:
-            none = F.array().cast("array<int>")
             size = F.length("word")
             whole = words.withColumn("key", F.concat_ws(",", "vector"))
-            own = _halved(whole, [("e", *_half(0, F.floor(size / 2).cast("int"))), ("l", *_half(1, F.floor((size - 1) / 2).cast("int")))])
-            same = _halved(searches.where("spent <> 1"), [("e", *_half(0, F.floor(size / 2).cast("int")))])
-            longer = _halved(searches.where("spent = 1"), [("l", *_half(0, F.floor(size / 2).cast("int")))])
-            tasks.append(own.select("key", "back", F.lit(False).alias("search"), F.lit(0).alias("spent"), none.alias("rest"), "word", "n"))
-            tasks += [x.select("key", "back", F.lit(True).alias("search"), "spent", none.alias("rest"), "word", "n") for x in (same, longer)]
-        else:
-            searches = searches.select("word", "n", "vector", "path", "spent")
+            asked = searches.withColumn("key", F.concat_ws(",", "path"))
+            task(_halved(whole, [("e", *_half(0, F.floor(size / 2).cast("int"))), ("l", *_half(1, F.floor((size - 1) / 2).cast("int")))]), end, False, None, F.col("back"))
+            for kind, which in (("e", "spent <> 1"), ("l", "spent = 1")):
+                task(_halved(asked.where(which), [(kind, *_half(0, F.floor(size / 2).cast("int")))]), end, True, F.col("spent"), F.col("back"))
     every = tasks[0]
     for t in tasks[1:]:
         every = every.unionByName(t)
-    sizes = every.groupBy("key").agg(F.count_if(~F.col("search")).alias("w"), F.count_if("search").alias("s")).where("w > 0 AND s > 0")
-    sized = every.join(sizes, "key").withColumn("ws", F.ceil(F.col("w") / block).cast("int")).withColumn("ss", F.ceil(F.col("s") / most).cast("int"))
+    every = cut(every)
+    sizes = cut(every.groupBy("key").agg(F.count_if(~F.col("search")).alias("w"), F.count_if("search").alias("s")).where("w > 0 AND s > 0"))
+    sized = every.join(_few(sizes), "key").withColumn("ws", F.ceil(F.col("w") / block).cast("int")).withColumn("ss", F.ceil(F.col("s") / most).cast("int"))
     own, other = F.pmod(F.hash("word"), F.when(F.col("search"), F.col("ss")).otherwise(F.col("ws"))), F.when(F.col("search"), F.col("ws")).otherwise(F.col("ss"))
     dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
     i, j = F.when(F.col("search"), F.col("other")).otherwise(F.col("own")), F.when(F.col("search"), F.col("own")).otherwise(F.col("other"))
-    grouped = dealt.select("key", i.alias("i"), j.alias("j"), "search", "spent", "rest", "word", "n", "back").groupBy("key", "i", "j")
-    return grouped.applyInPandas(_search, "a string, an long, b string, bn long")
+    grouped = dealt.select("key", i.alias("i"), j.alias("j"), "at", "search", "spent", "word", "n", "back").groupBy("key", "i", "j")
+    marks = bytearray([255] * 256)
+    for g, group in enumerate(letters):
+        for letter in group:
+            marks[ord(letter)] = g
+    table = bytes(marks)
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        return _search(group, table, groups)
+
+    return grouped.applyInPandas(search, "a string, an long, b string, bn long")
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_COUNT, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
