@@ -65,4 +65,4 @@ def test_empty(spark, stage):
 def test_run_and_names(spark, tmp_path):
     documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 100
-    assert len(queries()) == 10 and set(oracle_sql()) <= set(queries())
+    assert len(queries()) == 13 and set(oracle_sql()) <= set(queries())
