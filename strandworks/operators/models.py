@@ -188,7 +188,7 @@ def predict_folds(df: DataFrame, genes: list[str], fold: str, c: float = 1.0) ->
 
 def boosted_folds(df: DataFrame, genes: list[str], k: int = 5, rounds: int = 60, seed: int = 2026) -> DataFrame:
     """Cross-validated probabilities of boosted trees."""
-    data = vectors(stratified_folds(df, k, seed), genes).persist()
+    data = cut(vectors(stratified_folds(df, k, seed), genes))
     parts = []
     for i in range(k):
         model = GBTClassifier(maxIter=rounds, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, seed=seed).fit(data.where(F.col("fold") != i))
