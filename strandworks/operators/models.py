@@ -180,7 +180,7 @@ def predict_folds(df: DataFrame, genes: list[str], fold: str, c: float = 1.0) ->
     fitted in one job a step; there is one for each value of ``fold``."""
     values = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # a row for each model
     keyed = df.join(F.broadcast(df.sparkSession.createDataFrame(list(enumerate(values)), f"__f int, {fold} {dict(df.dtypes)[fold]}")), fold)
-    fits = solve(prepared(keyed, genes, "__f"), [Fit(i, c, np.ones(len(genes), bool), np.zeros(len(genes) + 1)) for i in range(len(values))], logistic, Squares())
+    fits = solve(prepared(keyed, genes, "__f"), [Fit(i, c, np.ones(len(genes), bool), np.zeros(len(genes) + 1)) for i in range(len(values))], logistic, Squares(), 1e-9)
     weights = df.sparkSession.createDataFrame([(f.fold, [float(b) for b in f.beta]) for f in fits], "__f int, b array<double>")
     score = F.aggregate(F.zip_with(F.array(*(F.col(g).cast("double") for g in genes), F.lit(1.0)), "b", lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
     return keyed.join(F.broadcast(weights), "__f").select("id", "y", fold, (1 / (1 + F.exp(-score))).alias("p"))

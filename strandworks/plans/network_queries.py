@@ -230,10 +230,32 @@ def m6_auc_ci(spark, v):
     return cc.auc_ci(v("v_pred"))
 
 
-@query()
+def ridge_sql(rounds: int = 9) -> str:
+    """Newton's method for the ridge logistic model without each dataset; its equations are eliminated row by row."""
+    from strandworks.plans.expression_queries import CPM, FACTORS, FIT, KEPT, RANK, RRA
+
+    out = [*(x.strip() for x in (KEPT, FACTORS, CPM, FIT, RANK, RRA)), """
+rb AS (SELECT DISTINCT gene FROM rra JOIN eff USING (gene) WHERE score < 0.05 AND abs(mean_lfc) > 1 AND consistent AND (direction = 'Up') = (mean_lfc > 0)),
+fg AS (SELECT gene FROM cpm JOIN rb USING (gene) GROUP BY gene HAVING count(DISTINCT sample) = (SELECT count(DISTINCT sample) FROM v_meta)),
+cb AS (SELECT gene, c.sample, value - avg(value) OVER (PARTITION BY c.dataset, m.cell, gene) AS c FROM cpm c JOIN fg USING (gene) JOIN v_meta m USING (sample)),
+zz AS (SELECT gene, sample, coalesce((c - avg(c) OVER (PARTITION BY gene)) / nullif(stddev_samp(c) OVER (PARTITION BY gene), 0), 0) AS z FROM cb),
+lx AS MATERIALIZED (SELECT z.sample AS id, any_value(grp) AS y, any_value(dataset) AS own, list_append(list(z ORDER BY CAST(gene AS VARCHAR)), 1.0) AS x FROM zz z JOIN v_meta USING (sample) GROUP BY z.sample),
+b0 AS (SELECT DISTINCT l.own AS fit, list_transform(r.x, lambda v: 0.0::DOUBLE) AS b FROM lx l, (SELECT x FROM lx LIMIT 1) r)"""]
+    for r in range(rounds):
+        out.append(f"""
+q{r} AS MATERIALIZED (SELECT fit, b, x, 2 * y - 1 AS s, 1 / (1 + exp((2 * y - 1) * list_dot_product(x, b))) AS q FROM lx JOIN b{r} ON fit <> own),
+h{r} AS (SELECT fit, i, j, sum(q * (1 - q) * x[i] * x[j]) + any_value(CASE WHEN i <> j THEN 0 WHEN i < len(b) THEN 1 ELSE 1e-6 END) AS h FROM q{r}, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM lx))) AS i), (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM lx))) AS j) GROUP BY fit, i, j
+  UNION ALL SELECT fit, i, 1000 AS j, sum(-s * q * x[i]) + any_value(CASE WHEN i < len(b) THEN b[i] ELSE 0 END) FROM q{r}, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM lx))) AS i) GROUP BY fit, i),
+e{r} AS (SELECT fit, 1 AS k, list(w ORDER BY i) AS m FROM (SELECT fit, i, list(h ORDER BY j) AS w FROM h{r} GROUP BY fit, i) GROUP BY fit
+  UNION ALL SELECT fit, k + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k THEN v ELSE list_transform(range(1, len(v) + 1), lambda j: m[i][j] - m[i][k] * v[j]) END) FROM (SELECT fit, k, m, list_transform(m[k], lambda z: z / m[k][k]) AS v FROM e{r} WHERE k <= len(m))),
+b{r + 1} AS MATERIALIZED (SELECT fit, list_transform(range(1, len(b) + 1), lambda i: b[i] - m[i][len(b) + 1]) AS b FROM b{r} JOIN e{r} USING (fit) WHERE k = len(b) + 1)""")
+    return "WITH RECURSIVE " + ", ".join(out) + f" SELECT id, CAST(y AS INTEGER) AS y, own AS dataset, round(1 / (1 + exp(-list_dot_product(x, b))), 5) + 0.0 AS p FROM lx JOIN b{rounds} ON fit = own"
+
+
+@query(ridge_sql())
 def m7_leave_one_dataset_out(spark, v):
     df, genes = labelled(v)
-    return md.predict_folds(df, genes, "dataset")
+    return md.predict_folds(df, genes, "dataset").withColumn("p", F.round("p", 5))
 
 
 @query()
