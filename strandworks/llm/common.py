@@ -14,6 +14,8 @@ __all__ = ["bounded_batches", "cut", "cut_and_release", "is_train", "partitions"
 TEXT_BATCH_ROWS = 1000
 #: Bytes in one such batch, whichever is reached first.
 TEXT_BATCH_BYTES = 32 << 20
+#: Spark's setting that deletes the files of a query's shuffles at its end.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +30,18 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def cut_and_release(df: DataFrame) -> DataFrame:
-    """``cut``, then ask the driver's JVM to collect, so that files of shuffles to which nothing refers are deleted now.
+    """``cut``, with the files of its shuffles deleted on all executors as soon as it is computed.
 
-    For jobs whose rounds of large joins would otherwise add up on the executors' disks: Spark has no public call for
-    this, only ``spark.cleaner.periodicGC.interval``, which is set before a session starts.
+    For jobs whose rounds of large joins would otherwise add up on the executors' disks. The session's setting holds for
+    this one checkpoint and is put back; nothing reads the shuffles again, as the rows come from the checkpoint.
     """
-    done = cut(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return done
+    conf = df.sparkSession.conf
+    before = conf.get(RELEASE)
+    conf.set(RELEASE, "true")
+    try:
+        return cut(df.select("*"))  # a new query, as each one keeps the setting that it was made under
+    finally:
+        conf.set(RELEASE, before)
 
 
 _STATE: dict = {}
