@@ -2,8 +2,10 @@
 
 Numbers and dates that pass their format's own validation are permuted by a keyed Feistel network within that
 format: a card number becomes a card number with a valid check digit, a date a calendar date written the same way,
-an address an address. The permutation depends on the key, the kind and the format alone, so equal values get equal
-pseudonyms in all documents, different ones different pseudonyms, and the holder of the key can undo it.
+an address an address. The permutation depends on the key and the kind alone, so equal values get equal pseudonyms in
+all documents, different ones different pseudonyms, and the holder of the key can undo it. What is permuted is the
+value, not its notation: a date, a phone number, a card, an IBAN or a social-security number is linked to itself however
+its parts are separated, ordered or bracketed.
 
 Card numbers and IBANs are looked for within runs of groups: a value begins and ends with a group, as digits inside a
 longer unbroken number are no card. Where a pseudonym and a group beside it happen to be valid together, which is
@@ -108,26 +110,33 @@ def _card(f: Feistel, m: str, back: bool) -> str | None:
 
 
 def _phone(f: Feistel, m: str, back: bool) -> str | None:
-    """The ten digits. Where neither a country code nor brackets mark a number, area and exchange must begin with 2 to
-    9, as in the numbering plan, and do so afterwards."""
+    """The ten digits, whatever stands between and before them. Numbers of the numbering plan (area and exchange begin
+    with 2 to 9) stay ones; others, which a country code or brackets must mark, stay others."""
     d = "".join(c for c in m if c in DIGITS)
-    if len(d) == 10 and m[0] != "(":
-        if d[0] in "01" or d[3] in "01":
-            return None
-        return _spread(m, f.string("phone-plain", d, [DIGITS[2:] if i in (0, 3) else DIGITS for i in range(10)], back))
-    lead = len(d) - 10
-    return _spread(m, d[:lead] + f.string(f"phone{d[:lead]}", d[lead:], [DIGITS] * 10, back))
+    lead, n = len(d) - 10, d[-10:]
+    planned = n[0] not in "01" and n[3] not in "01"
+    if planned:
+        n = f.string("phone", n, [DIGITS[2:] if i in (0, 3) else DIGITS for i in range(10)], back)
+    elif lead or m[0] == "(":
+        n = f.string("phone-other", n, [DIGITS] * 10, back)
+        while n[0] not in "01" and n[3] not in "01":
+            n = f.string("phone-other", n, [DIGITS] * 10, back)
+    else:
+        return None
+    return _spread(m, d[:lead] + n)
 
 
 def _ssn(f: Feistel, m: str, back: bool) -> str | None:
-    """Area 001 to 899 without 666, group 01 to 99, serial 0001 to 9999."""
-    area, group, serial = map(int, m.split("-"))
+    """Area 001 to 899 without 666, group 01 to 99, serial 0001 to 9999; with hyphens, or with spaces and no further
+    group of digits beside it."""
+    mark = m[3]
+    area, group, serial = map(int, m.split(mark))
     if not (0 < area < 900 and area != 666 and group and serial):
         return None
     x = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
     x, serial = divmod(f.permute("ssn", x, 898 * 99 * 9999, back), 9999)
     area, group = divmod(x, 99)
-    return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+    return f"{area + 1 + (area >= 665):03d}{mark}{group + 1:02d}{mark}{serial + 1:04d}"
 
 
 def _ip(f: Feistel, m: str, back: bool) -> str | None:
@@ -139,7 +148,10 @@ def _ip(f: Feistel, m: str, back: bool) -> str | None:
 
 
 def _date(f: Feistel, m: str, back: bool) -> str | None:
-    """ISO dates and dates with slashes or dots (day first, else month first), if the calendar has them."""
+    """ISO dates and dates with slashes or dots (day first, else month first), if the calendar has them.
+
+    Days up to the 12th are permuted among themselves, and so are later ones, so that a date that can only be read month
+    first stays one and the permutation is the same for all notations."""
     mark = next(c for c in m if c not in DIGITS)
     parts = m.split(mark)
     orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]
@@ -149,9 +161,9 @@ def _date(f: Feistel, m: str, back: bool) -> str | None:
         except ValueError:
             continue
         number, (first, last) = next((i, span) for i, span in enumerate(DAYS) if span[0] <= day <= span[1])
-        x, new = day - first, None
-        while new is None or (order == (2, 0, 1) and new.day <= 12):  # else it would read as day first
-            x = f.permute(f"date{mark}{order}{number or ''}", x, last - first + 1, back)
+        x, new, early = day - first, None, int(parts[order[2]]) <= 12
+        while new is None or (new.day <= 12) != early:
+            x = f.permute(f"date{number}{early}", x, last - first + 1, back)
             new = datetime.date.fromordinal(first + x)
         out = ["", "", ""]
         for i, (at, value) in enumerate(zip(order, (new.year, new.month, new.day), strict=True)):
@@ -180,23 +192,26 @@ def _secret(f: Feistel, m: str, back: bool) -> str | None:
 
 
 def _international(f: Feistel, m: str, back: bool) -> str | None:
-    """A number of 8 to 15 digits after a plus sign; its first group (at most three digits) is the country's and stays."""
+    """A number of 8 to 15 digits after a plus sign; its country code stays."""
     d = "".join(c for c in m if c in DIGITS)
-    lead = re.match(r"\d+", m[1:])
-    keep = len(lead[0]) if lead and len(lead[0]) <= 3 else 2
+    keep = 1 if d[0] in "17" else 2 if d[:2] in COUNTRIES_OF_TWO else 3
     if not 8 <= len(d) <= 15 or d[0] == "0":
         return None
     return "+" + _spread(m[1:], d[:keep] + f.string(f"phone+{d[:keep]}", d[keep:], [DIGITS] * (len(d) - keep), back))
 
 
 def _token(f: Feistel, m: str, back: bool) -> str | None:
-    """An access key: its published prefix stays, every other character stays within its kind."""
+    """An access key, web token or private key: its published lead (and a private key's last line) stays, every other
+    character stays within its kind."""
     lead = TOKEN_LEAD.match(m).end()
+    m, rest = (m[: m.rindex("-----END")], m[m.rindex("-----END") :]) if m.startswith("-----") else (m, "")
     at = [next((a for a in ALPHABETS[:3] if c in a), "") for c in m[lead:]]
     inside = [(c, a) for c, a in zip(m[lead:], at, strict=True) if a]
     form = "".join(str(ALPHABETS.index(a)) if a else c for c, a in zip(m[lead:], at, strict=True))
-    it = iter(f.string(f"token{m[:lead]}{form}", "".join(c for c, _ in inside), [a for _, a in inside], back))
-    return m[:lead] + "".join(next(it) if a else c for c, a in zip(m[lead:], at, strict=True))
+    # in lines of bounded length, each tied to its place, as a key may be long
+    kept = "".join(f.string(f"token{m[:lead]}{form}{i or ''}", "".join(c for c, _ in part), [a for _, a in part], back) for i in range(0, len(inside), LINE) if (part := inside[i : i + LINE]))
+    it = iter(kept)
+    return m[:lead] + "".join(next(it) if a else c for c, a in zip(m[lead:], at, strict=True)) + rest
 
 
 def _email(f: Feistel, m: str, back: bool) -> str | None:
@@ -212,17 +227,21 @@ def _email(f: Feistel, m: str, back: bool) -> str | None:
 
 
 #: Published prefixes of access keys; fixed values.
-TOKEN_LEAD = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|AIza")
+TOKEN_LEAD = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|AIza|eyJ|-----BEGIN [A-Z ]*PRIVATE KEY-----")
+#: Characters of an access key that are permuted together.
+LINE = 512
+#: Country codes of two digits; 1 and 7 have one, all others three. Fixed values.
+COUNTRIES_OF_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 IBAN_FORM = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 #: Kind, pattern, what may not stand before it, and the permutation. Earlier kinds win where they overlap.
 KINDS: tuple[tuple[str, re.Pattern, re.Pattern, Callable], ...] = (
     ("secret", re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"), re.compile(r"[0-9A-Za-z]"), _secret),
-    ("token", re.compile(r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9_-]{32,}+|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"), re.compile(r"[0-9A-Za-z_-]"), _token),
+    ("token", re.compile(r"(?:-----BEGIN (?P<form>[A-Z ]{0,40})PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]+?-----END (?P=form)PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{20,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9_-]{32,}+|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"), re.compile(r"[0-9A-Za-z_-]"), _token),
     ("iban", re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9])*"), re.compile(r"[A-Za-z0-9]"), _iban),
     ("phone", re.compile(r"(?:(?:\+1[ .-]?\(\d{3}\)|\+1[ .-]\d{3}|\(\d{3}\))[ .-]?\d{3}[ .-]\d{4}|\+1\d{10}|(?<![\d.-])\d{3}([ .-])\d{3}\1\d{4}(?!-\d))(?!\d)"), re.compile(r"\d"), _phone),
     ("international", re.compile(r"\+[1-9]\d{0,2}(?:[ .-]?\(0?\d{1,4}\)|[ .-]?\d{1,4}){2,6}(?!\d)"), re.compile(r"[\d+]"), _international),
     ("card", re.compile(r"\d(?:[ -]?\d){12,}"), re.compile(r"[\d.]"), _card),
-    ("ssn", re.compile(r"\d{3}-\d{2}-\d{4}(?![\d-])"), re.compile(r"[\d-]"), _ssn),
+    ("ssn", re.compile(r"(?:\d{3}-\d{2}-\d{4}|(?<!\d )\d{3} \d{2} \d{4}(?! ?\d))(?![\d-])"), re.compile(r"[\d-]"), _ssn),
     ("date", re.compile(r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d])"), re.compile(r"[\d./-]"), _date),
     ("ip", re.compile(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"), re.compile(r"[\d.]"), _ip),
 )
@@ -234,7 +253,7 @@ GROUPED = {
 }
 WORD = re.compile(r"[A-Za-z0-9]")
 EMAIL = re.compile(r"(?<![\w.+%-])([\w.+%-]++)@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
-ANY = re.compile(r"[\d@]|[0-9A-Fa-f]{32}|AIza|AKIA|ASIA|gh[pousr]_|_pat_|glpat-|xox[abprs]-|sk[_-]")
+ANY = re.compile(r"[\d@]|[0-9A-Fa-f]{32}|eyJ|PRIVATE KEY-|AIza|AKIA|ASIA|gh[pousr]_|_pat_|glpat-|xox[abprs]-|sk[_-]")
 
 
 def spans(text: str | None, f: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
