@@ -23,6 +23,12 @@ def t_p(t: str, df: str) -> str:
     return f"greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi() * {df}) * {_simpson(f'abs({t})', f'pow(1 + {{x}} * {{x}} / {df}, -({df} + 1) / 2.0)')})"
 
 
+def t_p_by_angle(t: str, df: str) -> str:
+    """``t_p`` with x = sqrt(df) * tan(angle): the steps stay fine however large t is."""
+    density = _simpson(f"atan(abs({t}) / sqrt({df}))", f"pow(cos({{x}}), {df} - 1)")
+    return f"greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {density})"
+
+
 def digamma(x: str) -> str:
     y = f"({x} + 30)"
     return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - list_sum(list_transform(range(0, 30), lambda i: 1 / ({x} + i))))"
