@@ -34,8 +34,10 @@ def read_wide_matrix(spark: SparkSession, path: str, sep: str = "\t", keep_zeros
 def read_gmt(spark: SparkSession, path: str, library: str | None = None) -> DataFrame:
     """(library, term, gene): a line is a term, a description and genes; a weight after a comma and blanks are dropped."""
     parts = F.split("value", "\t")
-    genes = F.explode(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))))
-    named = spark.read.text(path).select(F.coalesce(F.lit(library), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.gmt|\.txt)?$", 1)).alias("library"), parts[0].alias("term"), genes.alias("g"))
+    genes = F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0)))
+    # the term and the genes are columns of the line before the genes become rows: a line is not split again for each
+    lines = spark.read.text(path).select(F.coalesce(F.lit(library), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.gmt|\.txt)?$", 1)).alias("library"), parts[0].alias("term"), genes.alias("genes"))
+    named = lines.select("library", "term", F.explode("genes").alias("g"))
     return named.select("library", "term", F.trim(F.split_part("g", F.lit(","), F.lit(1))).alias("gene")).where(F.col("gene") != "").distinct()
 
 
