@@ -47,23 +47,50 @@ def longest_run(seq: Column) -> Column:
     return F.greatest(*(F.coalesce(F.array_max(F.transform(F.regexp_extract_all(seq, F.lit(f"({c}+)")), F.length)), F.lit(0)) for c in "ACGTN"))
 
 
+def _pair_energies() -> np.ndarray:
+    """Energies of letter pairs (in the order ACGT) in whole tenths, negated: enthalpy times 2^32 plus entropy."""
+    out = np.zeros((5, 5), np.int64)  # the fifth is any other letter
+    for i, a in enumerate("ACGT"):
+        for j, b in enumerate("ACGT"):
+            h, s = NEIGHBOURS.get(a + b) or NEIGHBOURS[(b + a).translate(str.maketrans("ACGT", "TGCA"))]
+            out[i, j] = (round(-10 * h) << 32) + round(-10 * s)
+    return out.ravel()
+
+
+PAIR_ENERGIES = _pair_energies()
+CODES = np.full(256, 4, np.intp)
+CODES[list(b"ACGT")] = range(4)
+
+
+@F.pandas_udf(T.LongType())
+def _energies(seq: pd.Series) -> pd.Series:
+    """Sum of a sequence's pairs; null for fewer than two letters or others than ACGT. A batch is one array of letters."""
+    texts = ["" if x is None else x for x in seq]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    end = np.cumsum(size)
+    code = CODES[np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)]
+    summed = np.concatenate([[0, 0], np.cumsum(PAIR_ENERGIES[code[:-1] * 5 + code[1:]])])  # up to the pair that ends before a place
+    other = np.concatenate([[0], np.cumsum(code == 4)])
+    some = size > 1
+    ok = some & (other[end] == other[end - size])
+    value = np.zeros(len(texts), np.int64)
+    value[some] = summed[end[some]] - summed[end[some] - size[some] + 1]
+    return pd.Series(value, dtype="Int64").mask(~ok)
+
+
 def melting_temp(seq: Column, primer: float = PRIMER, sodium: float = SODIUM, magnesium: float = MAGNESIUM, nucleotides: float = NUCLEOTIDES) -> Column:
-    """Nearest-neighbour melting temperature in degrees with a salt correction, as one column expression.
+    """Nearest-neighbour melting temperature in degrees with a salt correction; magnesium counts as sodium.
 
-    Counts of dinucleotides (overlapping, by letter pairs) times their energies; magnesium counts as sodium.
-    """
-    comp = {"A": "T", "C": "G", "G": "C", "T": "A"}
-    pairs = {a + b: NEIGHBOURS.get(a + b) or NEIGHBOURS[comp[b] + comp[a]] for a in "ACGT" for b in "ACGT"}
-    energy = F.create_map(*(F.lit(x) for k, (h, s) in pairs.items() for x in (k, h)))
-    entropy = F.create_map(*(F.lit(x) for k, (h, s) in pairs.items() for x in (k, s)))
-    steps = F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.substring(seq, i, F.lit(2)))
+    The energies of all letter pairs of a batch are summed as whole numbers; the rest is a column expression. Null for
+    sequences of one letter, or of others than A, C, G and T."""
+    total, size = _energies(seq), F.length(seq)
     ends = [F.when(F.substring(seq, at, 1).isin("G", "C"), F.lit(ENDS["GC"][k])).otherwise(F.lit(ENDS["AT"][k])) for k in (0, 1) for at in (1, -1)]
-    h = F.aggregate(steps, F.lit(0.0), lambda a, d: a + F.element_at(energy, d)) + ends[0] + ends[1]
-    s = F.aggregate(steps, F.lit(0.0), lambda a, d: a + F.element_at(entropy, d)) + ends[2] + ends[3]
+    h = F.shiftright(total, 32) / F.lit(-10.0) + ends[0] + ends[1]
+    s = total.bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(-10.0) + ends[2] + ends[3]
     salt = math.log((sodium + 120 * math.sqrt(max(magnesium - nucleotides, 0.0))) / 1000)
-    kelvin = h * 1000 / (s + GAS * math.log(primer / 4))
-    inverse = 1 / kelvin + (4.29 * gc_fraction(seq) - 3.95) * 1e-5 * salt + 9.40e-6 * salt**2
-    return F.when(F.length(seq) > 1, 1 / inverse - ZERO)
+    gc = F.try_divide((2 * size - F.length(F.replace(seq, F.lit("G"), F.lit(""))) - F.length(F.replace(seq, F.lit("C"), F.lit("")))).cast("double"), size)
+    inverse = (s + GAS * math.log(primer / 4)) / (h * 1000) + (4.29 * gc - 3.95) * 1e-5 * salt + 9.40e-6 * salt**2
+    return 1 / inverse - ZERO
 
 
 def complementary_stretch(a: str, b: str) -> int:
