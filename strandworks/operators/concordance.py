@@ -25,6 +25,8 @@ from strandworks.operators.scan import PART, numbered, ranges_of, running, sprea
 
 #: Bits of a digit in plain sums and with replicates; numbers of a vector that a task holds at once.
 BITS, VECTOR_BITS, NUMBERS = 4, 2, 2_000_000
+#: Weights are summed by group first for this many groups at most, of this many rows each on average.
+GROUPS, EQUAL = 1000, 4
 #: Increment and multipliers that mix a hash with a replicate's number (fixed values of a known generator).
 STEP, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -125,12 +127,47 @@ def _across(events: np.ndarray, later: np.ndarray, tie: float) -> tuple[np.ndarr
     return (events * (below + tie * later)).sum(axis=0), events.sum(axis=0) * later.sum(axis=0)
 
 
+def summed_weights(rows: DataFrame, replicates: int) -> DataFrame:
+    """(time, event, risk, replicate, weight): the Poisson weights of rows that are equal in all three, summed.
+
+    Rows are dealt in their order, so a task emits a vector for each of its groups: as many as there are groups and tasks."""
+    group = ["time", "event", "risk"]
+    chunk = max(1, NUMBERS // replicates)
+    ranged = rows.select(*group, "key").repartitionByRange(ranges_of(rows), *group, "key").sortWithinPartitions(*group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, np.zeros(replicates)
+        for batch in batches:
+            out = []
+            for at in range(0, len(batch), chunk):
+                b = batch.iloc[at : at + chunk]
+                key = b[group].to_numpy(float)
+                starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+                for k, w in zip(key[starts], np.add.reduceat(poisson_weights(b["key"].to_numpy(), replicates), starts, axis=0), strict=True):
+                    if now is not None and tuple(k) != now:
+                        out.append((*now, total))
+                        total = np.zeros(replicates)
+                    now, total = tuple(k), total + w
+            yield pd.DataFrame(out, columns=[*group, "w"])
+        if now is not None:
+            yield pd.DataFrame([(*now, total)], columns=[*group, "w"])
+
+    vectors = ranged.mapInPandas(run, "time double, event double, risk double, w array<double>")
+    each = vectors.select(*group, F.posexplode("w").alias("replicate", "weight"))
+    return each.groupBy(*group, "replicate").agg(F.sum("weight").alias("weight"))
+
+
 def cindex_replicates(rows: DataFrame, replicates: int, factors: bool = False) -> DataFrame:
     """(replicate, pairs, agree, cindex) under the Poisson weights of every replicate.
 
     ``rows``: time, event, risk (no nulls), ``key`` (a hash of the row's id) and, with ``factors``, an array by which a
-    row's weights are multiplied when it is the earlier one of a pair.
+    row's weights are multiplied when it is the earlier one of a pair. Where many rows are equal but for their id, their
+    weights are summed first and each row is drawn once; otherwise it is drawn once a level.
     """
+    if not factors:
+        groups = rows.groupBy("time", "event", "risk").agg(F.count("*").alias("n")).agg(F.count("*").alias("g"), F.sum("n").alias("n")).collect()[0]
+        if 0 < groups["g"] <= GROUPS and groups["n"] >= EQUAL * groups["g"]:
+            return cindex(summed_weights(rows, replicates), by=["replicate"], weight="weight")
     dealt, levels = by_level(ranked(rows, [], "risk"), VECTOR_BITS)
     digits, chunk = 1 << VECTOR_BITS, max(1, NUMBERS // replicates)
     order = ["level", "prefix", F.desc("time")]
