@@ -8,7 +8,9 @@ import random
 from pyspark.sql import functions as F
 
 from strandworks.functions.columns import nearest
+from strandworks.operators import expression as ex
 from strandworks.operators import screen as sc
+from strandworks.plans import registry
 
 
 def plan(df) -> str:
@@ -34,3 +36,32 @@ def test_atom_pairs_are_dealt_within_a_cube(spark):
     want = sorted((a[0], b[0], round(math.dist(a[1:4], b[1:4]), 9)) for a in lig for b in rec if math.dist(a[1:4], b[1:4]) < 4)
     assert sorted((x.mol, x.res, round(x.d, 9)) for x in pairs.collect()) == want
     assert "block" in plan(pairs) and "POWER" not in plan(pairs).upper()
+
+
+def test_pseudobulk_deals_rows_by_cell_once(spark):
+    r = random.Random(8)
+    rows = [(r.choice("abc"), i % 50, r.randrange(6), float(r.randrange(5))) for i in range(900)]  # genes repeat, cells lie in several biopsies
+    rows += [("d", 100 + i, 1, 2.0) for i in range(3)] + [("e", 200, 7, 0.0), ("a", 200, 2, 0.0), ("a", None, 1, 9.0), (None, 7, 1, 4.0), ("b", 8, 3, None), ("b", 8, None, 5.0)]
+    held = [x for x in rows if x[1] is not None]
+    totals, sums, cells = {}, {}, {}
+    for biopsy, cell, gene, count in held:
+        totals[cell] = totals.get(cell, 0.0) + (count or 0.0)
+        cells.setdefault(biopsy, set()).add(cell)
+        sums[biopsy, gene, cell] = sums.get((biopsy, gene, cell), 0.0) + (count or 0.0)
+    want = {}
+    for (biopsy, gene, cell), count in sums.items():
+        if biopsy is not None and len(cells[biopsy]) >= 4:
+            want[biopsy, gene] = want.get((biopsy, gene), 0.0) + (math.log2(count / totals[cell] * 1e6 + 1) if totals[cell] else 0.0) / len(cells[biopsy])
+    counts = spark.createDataFrame(rows, "biopsy string, cell long, gene int, count double")
+    got = {(x.biopsy, x.gene): x for x in ex.pseudobulk(counts, least_cells=4).collect()}
+    assert {k: round(x["value"], 9) for k, x in got.items()} == {k: round(x, 9) for k, x in want.items()}
+    assert all(x.n_cells == len(cells[b]) for (b, _), x in got.items())
+    # with the cells in a table of their own: those without any count are cells too
+    single, members = counts.where("biopsy in ('d', 'e')").drop("biopsy"), spark.createDataFrame([("d", 100 + i) for i in range(5)], "biopsy string, cell long")
+    asked = ex.pseudobulk(single, members, spark.createDataFrame([(1,), (2,)], "gene int"), least_cells=4).collect()
+    assert [(x.biopsy, x.gene, round(x["value"], 9), x.n_cells) for x in asked] == [("d", 1, round(3 * math.log2(1e6 + 1) / 5, 9), 5)]
+
+
+def test_pseudobulk_query_joins_once_and_sums_no_rows_beside_the_join(spark):
+    shown = plan(registry.queries()["a4_pseudobulk"](spark, "/root/testdata/sf0.001"))
+    assert shown.count("Join Inner") == 1 and shown.count("RepartitionByExpression") == 1
